@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, sharding
+from . import byte_bpe, decontaminate, line_dedup, sharding
 from .common import read_table
 
 
+def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digests(decontaminate.find_contamination(documents, read_table(spark, sf_dir, "benchmark")))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(texts, path, token_offsets=False).select("doc_id", "ids")
+    return byte_bpe.digests(byte_bpe.decode(encoded, path))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +54,8 @@ SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM kept
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_wu_manber_decontamination": op5_wu_manber_decontamination,
+        "op6_byte_bpe": op6_byte_bpe,
         "op7_feistel_shards": op7_feistel_shards,
         "op8_line_dedup": op8_line_dedup,
     }
