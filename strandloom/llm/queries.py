@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, line_dedup, sharding
+from . import byte_bpe, decontaminate, line_dedup, sharding, toxicity
 from .common import read_table
 
 
+def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.scored_documents(documents, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digests(decontaminate.find_contamination(documents, read_table(spark, sf_dir, "benchmark")))
@@ -54,6 +60,7 @@ SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM kept
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_subword_toxicity": op4_subword_toxicity,
         "op5_wu_manber_decontamination": op5_wu_manber_decontamination,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_feistel_shards": op7_feistel_shards,
