@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, line_dedup, sharding, toxicity
+from . import byte_bpe, decontaminate, line_dedup, sharding, simhash, toxicity
 from .common import read_table
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.scored_documents(documents, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -60,6 +64,7 @@ SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM kept
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_subword_toxicity": op4_subword_toxicity,
         "op5_wu_manber_decontamination": op5_wu_manber_decontamination,
         "op6_byte_bpe": op6_byte_bpe,
