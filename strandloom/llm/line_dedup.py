@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import filter_bits, probes, test_bits, twice_filter
 from .common import Scratch, text_key
 
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
-PROBES = 3
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -41,78 +41,21 @@ def hashes_of(keys: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
-def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions for each hash, by double hashing."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * high) % np.uint64(bits) for i in range(PROBES)])
+def _line_hashes(min_chars: int):
+    """The hashes of each document's distinct lines."""
 
-
-def test_bits(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
-
-
-def set_bits(filter_: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(filter_, (at >> np.uint64(3)).astype(np.int64).ravel(), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)).ravel())
-
-
-def fold_batch(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray, bits: int) -> None:
-    """Adds hashes of (document, line) pairs: what the batch holds twice or ``once`` has already goes to ``twice``."""
-    unique, counts = np.unique(hashes, return_counts=True)
-    at = probes(unique, bits)
-    again = test_bits(once, at) | (counts > 1)
-    set_bits(twice, at[:, again])
-    set_bits(once, at)
-
-
-def _filter_pieces(bits: int, block_bytes: int, min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            found = []
-            for text in batch.column(0):
-                found.extend({k for k in line_keys(text.as_py()) if len(k) >= min_chars})
-                if len(found) > 200_000:
-                    fold_batch(once, twice, hashes_of(found), bits)
-                    found = []
-            if found:
-                fold_batch(once, twice, hashes_of(found), bits)
-        for block in range(bits // 8 // block_bytes):
-            a, b = (x[block * block_bytes : (block + 1) * block_bytes] for x in (once, twice))
-            if a.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "once": [zlib.compress(a.tobytes(), 1)], "twice": [zlib.compress(b.tobytes(), 1)]})
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        found: list[bytes] = []
+        for text in batch.column(0):
+            found.extend({k for k in line_keys(text.as_py()) if len(k) >= min_chars})
+            if len(found) > 200_000:
+                yield hashes_of(found)
+                found = []
+        yield hashes_of(found)
 
     return run
 
 
-def _folded(block_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for block, once, twice in zip(*(batch.column(i) for i in range(3)), strict=True):
-                a, b = (np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in (once, twice))
-                if (had := held.get(block.as_py())) is None:
-                    held[block.as_py()] = (a.copy(), b.copy())
-                else:
-                    had[1][:] |= b | (had[0] & a)
-                    had[0][:] |= a
-        for block, (_, twice) in held.items():
-            if twice.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    return run
-
-
-def twice_filter(texts: DataFrame, bits: int, min_chars: int) -> bytes:
-    """The compressed twice-seen filter; ``bits`` bounds what the driver gets."""
-    block_bytes = min(bits // 8, 1 << 15)
-    pieces = texts.mapInArrow(_filter_pieces(bits, block_bytes, min_chars), "block int, once binary, twice binary")
-    merged = pieces.repartition("block").mapInArrow(_folded(block_bytes), "block int, twice binary")
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        whole[row["block"] * block_bytes : (row["block"] + 1) * block_bytes] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-    return zlib.compress(whole.tobytes(), 1)
-
-
 def _suspects(shared, bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(zlib.decompress(shared.value), np.uint8)
@@ -192,8 +135,8 @@ def dedup_lines(
     documents = documents.drop("n_lines", "n_dropped", "kept_text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_lines = documents.select(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).alias("n")).first()["n"] or 1
-    bits = min(max_filter_bits, 1 << max(16, int(n_lines * bits_a_line - 1).bit_length()))
-    shared = spark.sparkContext.broadcast(twice_filter(documents.select(F.col(text_col).alias("_text")), bits, min_chars))
+    bits = filter_bits(n_lines, bits_a_line, max_filter_bits)
+    shared = spark.sparkContext.broadcast(twice_filter(documents.select(F.col(text_col).alias("_text")), _line_hashes(min_chars), bits))
 
     keyed = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("_text"), F.unhex(text_key(id_col, text_col)).alias("doc"))
     suspects = keyed.mapInArrow(_suspects(shared, bits, min_chars), "key binary, id string, doc binary")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, line_dedup, sharding, simhash, toxicity
+from . import byte_bpe, decontaminate, line_dedup, sharding, simhash, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -43,6 +43,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.dedup_lines(documents))
 
 
+def op10_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(documents))
+
+
 OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_feistel_shards": op7_feistel_shards,
         "op8_line_dedup": op8_line_dedup,
+        "op10_suffix_sort_dedup": op10_suffix_sort_dedup,
     }
 
 
