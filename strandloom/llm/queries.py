@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, sharding, simhash, suffix_dedup, toxicity
+from . import byte_bpe, decontaminate, line_dedup, resampling, sharding, simhash, suffix_dedup, toxicity, unit_dedup, vector_search
 from .common import read_table
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read_table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & ~toxicity.held_out()).select("doc_id")
+    return resampling.resample(documents, good)
+
+
+def op2_unit_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unit_dedup.dedup_units(documents).select("doc_id", "n_units", "n_removed", "removed_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -43,6 +55,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.dedup_lines(documents))
 
 
+def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.digests(suffix_dedup.remove_repeats(documents))
@@ -69,12 +85,15 @@ SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM kept
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_importance_resampling": op1_importance_resampling,
+        "op2_unit_hash_dedup": op2_unit_hash_dedup,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_subword_toxicity": op4_subword_toxicity,
         "op5_wu_manber_decontamination": op5_wu_manber_decontamination,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_feistel_shards": op7_feistel_shards,
         "op8_line_dedup": op8_line_dedup,
+        "op9_anisotropic_search": op9_anisotropic_search,
         "op10_suffix_sort_dedup": op10_suffix_sort_dedup,
     }
 
