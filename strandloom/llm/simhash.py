@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, string_bytes
+from .common import Scratch, slices, string_bytes, text_key
 
 SEGMENTS, SEGMENT_BITS = 32, 2
 #: The chance that two random two-bit counts agree.
@@ -277,21 +277,35 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
 
 
 def near_duplicates(documents: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 4096) -> DataFrame:
-    """One row a document: its id, ``fingerprint`` (16 hex digits), ``component_id`` and ``fp``.
+    """One row a document: its id, ``fingerprint`` (16 hex digits), ``component_id``, ``group`` and ``row_key``.
 
     Fingerprints within ``distance`` bits are linked; ``component_id`` is the smallest id reachable
-    (null only if no reachable document has an id). Documents without words have fingerprint zero
-    and are linked like others; repeated rows share a fingerprint; an empty table gives no rows.
+    (null only if no reachable document has an id), ``group`` a fingerprint that stands for the
+    component and ``row_key`` a digest of id and text. Documents without words have fingerprint
+    zero and are linked like others; repeated rows share a fingerprint; an empty table gives no rows.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "simhash")
-    printed = scratch.save(with_fingerprints(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle).select("id", "fp"), "prints")
+    rows = documents.select(F.col(id_col).alias("id"), F.unhex(text_key(id_col, text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    printed = scratch.save(with_fingerprints(rows, shingle).select("id", "row_key", "fp"), "prints")
     distinct = scratch.save(printed.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     labels = components(links_between(distinct.select("fp"), distance, scratch, cell_rows), scratch)
-    labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_print = scratch.save(labelled.join(named, "label").select("fp", "component_id"), "named")
-    return printed.join(of_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("group"))
+    named = labelled.groupBy("group").agg(F.min("least").alias("component_id"))
+    of_print = scratch.save(labelled.join(named, "group").select("fp", "component_id", "group"), "named")
+    return printed.join(of_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "row_key")
+
+
+def keep_one(documents: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates, with all columns: that of the smallest id (null ids last), then text digest.
+
+    Of rows with equal ids and texts one stays, whichever.
+    """
+    groups = near_duplicates(documents, distance, shingle, id_col, text_col)
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_key")).alias("best"))
+    chosen = Scratch(documents.sparkSession, "chosen").save(best.select(F.col("best.row_key").alias("_key")), "keys")
+    keyed = documents.withColumn("_key", F.unhex(text_key(id_col, text_col)))
+    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def brute_force(rows: list[tuple], distance: int = 4, shingle: int = 4) -> list[tuple]:
