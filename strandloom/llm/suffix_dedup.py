@@ -14,7 +14,7 @@ suffixes of a whole corpus needs all of it in one place, so the sort is cut up b
    extension of two suffixes by binary search over the prefix hashes. Neighbours with a common
    extension of 200 bytes are verified byte by byte. Only suffixes with the same anchor and offset
    are compared. Anchors with over ``most_kinds`` kinds of segments are not sorted in one task:
-   their windows are counted by digest, in a shuffle with partial sums.
+   a binary search over halved blocks of windows counts digests in shuffles with partial sums.
 4. The covered bytes of a document are the union of its repeated windows.
 """
 
@@ -326,22 +326,73 @@ def _sorted_repeats(width: int, most_bytes: int = 1 << 21):
     return run
 
 
-def _window_digests(width: int):
+NODE = "settled boolean, key binary, at bigint, n int, rel int, bytes binary, first int, hull1 bigint, hull2 bigint, core1 bigint, core2 bigint"
+
+
+def _nodes(width: int, block: int, halved: bool):
+    """Cuts segments (or the nodes of the level above) into blocks of ``block`` anchor offsets.
+
+    A node gets two digests: of its hull, all bytes under its windows, and of its core, the bytes
+    that every window of the block covers. Equal hulls repeat as a whole; nodes whose cores differ
+    share no window.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                n, at, copies = (part.column(c).to_numpy() for c in ("n", "at", "copies"))
-                digests = b"".join([digest(x[w : w + width]) for x, k in zip(part.column("bytes").to_pylist(), n.tolist(), strict=True) for w in range(k)])
-                two = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                row = np.repeat(np.arange(len(n)), n)
-                window = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), part.column("key").take(pa.array(row)), pa.array(at[row] + window), pa.array(copies[row])], ["w1", "w2", "key", "low", "copies"])
+            for a in range(0, batch.num_rows, 5000):
+                part = batch.slice(a, 5000)
+                n, rel = (part.column(c).to_numpy().tolist() for c in ("n", "rel"))
+                above = part.column("first").to_pylist() if halved else [None] * part.num_rows
+                row, first, digests = [], [], []
+                for i, (data, size, r, f) in enumerate(zip(part.column("bytes").to_pylist(), n, rel, above, strict=True)):
+                    low = r - size + 1  # the windows have offsets low..r to the anchor; the one at offset o begins at r - o
+                    for o in (f, f + block) if halved else range(low // block * block, r + 1, block):
+                        x, y = max(low, o), min(r, o + block - 1)
+                        if x > y:
+                            continue
+                        row.append(i)
+                        first.append(o)
+                        digests.append(digest(data[r - y : r - x + width], (o << 32) + (x << 16) + y))
+                        digests.append(digest(data[r - o : r - (o + block - 1) + width], (o << 32) + block))
+                if not row:
+                    continue
+                four = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 4)
+                taken = part.take(pa.array(row))
+                settled = taken.column("settled") if halved else pa.array(taken.column("copies").to_numpy() > 1)
+                yield pa.RecordBatch.from_arrays(
+                    [settled, *(taken.column(c) for c in ("key", "at", "n", "rel", "bytes")), pa.array(first, pa.int32()), *(pa.array(four[:, c].copy()) for c in range(4))],
+                    ["settled", "key", "at", "n", "rel", "bytes", "first", "hull1", "hull2", "core1", "core2"],
+                )
 
     return run
 
 
+def halved_repeats(segments: DataFrame, scratch: Scratch, width: int, gram: int) -> DataFrame:
+    """(key, low, high) for anchors with very many kinds of segments, without bringing a group together.
+
+    A distributed binary search for common extensions: hulls are counted (partial sums before the
+    shuffle); where one core has several hulls, one node of each hull is halved and counted again.
+    """
+    block = 1 << max(0, min((width - gram + 1).bit_length() - 1, (width // 2).bit_length() - 1))
+    spans, halved, level = None, False, segments
+    hull, core = ["hull1", "hull2", "core1", "core2"], ["core1", "core2"]
+    while block:
+        nodes = scratch.save(level.mapInArrow(_nodes(width, block, halved), NODE), f"nodes{block}")
+        one = F.min(F.struct("settled", "key", "at", "n", "rel", "bytes", "first")).alias("one")
+        hulls = scratch.save(nodes.groupBy(*hull).agg(F.count("*").alias("times"), one), f"hulls{block}")
+        often = hulls.filter("times > 1").select(*hull)
+        offset = F.least(F.col("rel"), F.col("first") + block - 1)  # the largest offset is the first window
+        begin = F.col("at") + F.col("rel") - offset
+        end = F.col("at") + F.col("rel") - F.greatest(F.col("rel") - F.col("n") + 1, F.col("first")) + width
+        own = nodes.filter("not settled").join(often, hull).select("key", begin.alias("low"), end.alias("high"))
+        spans = own if spans is None else spans.unionByName(own)
+        open_cores = scratch.save(hulls.groupBy(*core).agg(F.count("*").alias("hulls")).filter("hulls > 1").select(*core), f"cores{block}")
+        level = hulls.join(open_cores, core).select("one.*", "times").withColumn("settled", F.col("settled") | (F.col("times") > 1)).drop("times")
+        block, halved = block // 2, True
+    return spans
+
+
 def repeated_spans(documents: DataFrame, scratch: Scratch, width: int, gram: int, most_kinds: int, bits_each: int, max_filter_bits: int) -> DataFrame:
     """(key, low, high): bytes low..high-1 of the documents with that key are covered by repeated windows."""
     spark = documents.sparkSession
@@ -361,9 +412,9 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, width: int, gram: int
     small, large = fetched.filter(F.col("kinds") <= most_kinds), fetched.filter(F.col("kinds") > most_kinds)
     spans = "key binary, low bigint, high bigint"
     by_sort = small.repartition("anchor").sortWithinPartitions(*kind).mapInArrow(_sorted_repeats(width), spans)
-    windows = scratch.save(large.dropDuplicates(kind).mapInArrow(_window_digests(width), "w1 bigint, w2 bigint, key binary, low bigint, copies bigint"), "windows")
-    often = scratch.save(windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1").select("w1", "w2"), "often")
-    by_count = windows.filter("copies = 1").join(often, ["w1", "w2"]).select("key", "low", (F.col("low") + width).alias("high"))
+    if large.isEmpty():
+        return whole.unionByName(by_sort)
+    by_count = halved_repeats(large.dropDuplicates(kind), scratch, width, gram)
     return whole.unionByName(by_sort).unionByName(by_count)
 
 
