@@ -68,7 +68,7 @@ OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), keyed AS (
-  SELECT doc_id, ls, list_transform(ls, x -> translate(trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks
+  SELECT doc_id, ls, list_transform(ls, lambda x: translate(trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks
   FROM lines
 ), hot AS (
   SELECT k FROM (SELECT DISTINCT doc_id, unnest(ks) AS k FROM keyed) WHERE k <> '' GROUP BY k HAVING count(*) >= 10
