@@ -56,20 +56,18 @@ def amino_acid(codon: Column, code: str = GENETIC_CODE) -> Column:
 
 def codons(s: Column, frame: int = 0) -> Column:
     """The whole codons of a frame, as an array."""
-    n = F.floor((F.length(s) - frame) / 3)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(s, i * 3 + 1 + frame, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.substring(s, frame + 1, 1 << 30), F.lit("(.{3})"), 1)
 
 
 def translate(s: Column, frame: int = 0) -> Column:
     """I48, I84."""
-    return F.array_join(F.transform(codons(s, frame), amino_acid), "")
+    return F.array_join(F.transform(codons(s, frame), lambda c: amino_acid(c)), "")
 
 
 def identity_count(a: Column, b: Column) -> Column:
     """Positions with equal letters, whatever their case."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: F.upper(F.substring(a, i, F.lit(1))) == F.upper(F.substring(b, i, F.lit(1)))))
-    return F.coalesce(F.size(same), F.lit(0))
+    pairs = F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: (x == y) & (x != ""))
+    return F.size(F.filter(pairs, lambda same: F.coalesce(same, F.lit(False))))
 
 
 def count_letter(s: Column, letter: str) -> Column:

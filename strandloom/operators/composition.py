@@ -15,10 +15,12 @@ def base_counts(seqs: DataFrame) -> DataFrame:
 
 
 def words(seqs: DataFrame, k: int, keep: list[str] = ["id"]) -> DataFrame:  # noqa: B006
-    """Overlapping words of length k with 0-based places."""
-    long = seqs.filter(F.length("seq") >= k)
-    at = long.select(*keep, "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    return at.select(*keep, "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("word"))
+    """Overlapping words of length k with 0-based places.
+
+    One pass of a look-ahead pattern: taking substrings one by one would walk the text anew each time.
+    """
+    found = F.regexp_extract_all("seq", F.lit(f"(?=(.{{{k}}}))"), 1)
+    return seqs.select(*keep, F.posexplode(found).alias("pos", "word"))
 
 
 def dinucleotides(seqs: DataFrame) -> DataFrame:
@@ -94,15 +96,21 @@ ENZYMES = [("EcoRI", "GAATTC", 1), ("BamHI", "GGATCC", 1), ("HindIII", "AAGCTT",
 def restriction_sites(seqs: DataFrame) -> DataFrame:
     """Every site of every enzyme; cuts are 1-based.
 
-    A string search for each enzyme inside the row: no join of enzymes with positions.
+    A split at the sites of each enzyme inside the row: no join of enzymes with positions.
     """
-    found = []
-    for name, site, cut in ENZYMES:
-        hits = F.expr(f"filter(sequence(1, greatest(1, length(seq) - {len(site) - 1})), i -> substring(seq, i, {len(site)}) = '{site}')")
-        found.append(F.transform(hits, lambda i, name=name, cut=cut: F.struct(F.lit(name).alias("enzyme"), (i + cut).alias("cut"))))
-    # most sequences lack most sites: look before walking over the places
-    gated = [F.when(F.contains(F.col("seq"), F.lit(site)), f).otherwise(F.array().cast("array<struct<enzyme:string,cut:int>>")) for f, (_, site, _) in zip(found, ENZYMES)]
-    return seqs.select("id", F.length("seq").alias("length"), F.explode(F.concat(*gated)).alias("x")).select("id", "length", "x.enzyme", "x.cut")
+    def cuts(name: str, site: str, cut: int) -> Column:
+        before = F.split("seq", f"(?={site})")  # pieces begin at sites, all but the first
+        ends = F.aggregate(
+            F.slice(before, 1, F.size(before) - 1),
+            F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all")),
+            lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["all"], F.array(s["at"] + F.length(x))).alias("all")),
+            lambda s: s["all"],
+        )
+        places = F.when(F.startswith(F.col("seq"), F.lit(site)), F.concat(F.array(F.lit(1)), ends)).otherwise(ends)
+        found = F.when(F.contains(F.col("seq"), F.lit(site)), F.array_distinct(places)).otherwise(F.array().cast("array<int>"))
+        return F.transform(found, lambda i: F.struct(F.lit(name).alias("enzyme"), (i + cut).alias("cut")))
+
+    return seqs.select("id", F.length("seq").alias("length"), F.explode(F.concat(*[cuts(*e) for e in ENZYMES])).alias("x")).select("id", "length", "x.enzyme", "x.cut")
 
 
 def fragments(sites: DataFrame) -> DataFrame:

@@ -156,3 +156,10 @@ def snp_candidates(bases: DataFrame, least: int) -> DataFrame:
 def first_column(columns: DataFrame, condition: Column, cursor: int = 0) -> DataFrame:
     """The first column at or after a cursor that meets a condition, by contig (C23..C26)."""
     return columns.filter(condition & (F.col("pos") >= cursor)).groupBy("contig_id").agg(F.min("pos").alias("pos"))
+
+
+def call_runs(calls: DataFrame, least: int) -> DataFrame:
+    """Homopolymer runs of the consensus (S12: E57)."""
+    w = Window.partitionBy("contig_id", "base").orderBy("pos")
+    marked = calls.filter("base in ('A', 'C', 'G', 'T')").withColumn("island", F.col("pos") - F.row_number().over(w))
+    return marked.groupBy("contig_id", "base", "island").agg(F.min("pos").alias("pos"), F.count("*").alias("run")).filter(F.col("run") >= least).drop("island")

@@ -1 +1,12 @@
+"""Registered queries: name to (function of session and folder, SQL for an oracle or None)."""
 
+from __future__ import annotations
+
+
+def registered() -> dict:
+    from . import clipping, consensus, formats, reads, sequences
+
+    out: dict = {}
+    for module in (reads, sequences, consensus, clipping, formats):
+        out |= module.QUERIES
+    return out
