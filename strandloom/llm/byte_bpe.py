@@ -35,7 +35,7 @@ JOINING, LAST_BLANK, SHORT, LONG = range(4, 8)
 START = 8
 #: States: what the character before belongs to; ONE and TWO letters of a contraction to come; a token ended.
 IN_OTHER, IN_LETTER, IN_NUMBER, IN_BLANK, JOINED, ONE, TWO, ENDED = range(8)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 LONG_PIECE = 96
 
 
@@ -138,7 +138,7 @@ def token_starts(data: bytes, text_starts: np.ndarray) -> np.ndarray:
 class Merger:
     """Ids of a piece by repeated merging of the adjacent pair of lowest rank, with a cache of two generations."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
         self.ranks, self.most = ranks, most
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
