@@ -205,6 +205,22 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
 
 
+@lru_cache(maxsize=1)
+def _merger(content: bytes) -> Merger:
+    """One merger a Python worker: pieces that its earlier tasks met stay cached."""
+    return Merger(parse_ranks(content))
+
+
+@lru_cache(maxsize=1)
+def _tokens(content: bytes) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = parse_ranks(content)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    return tokens
+
+
 def encode_texts(data: bytes, offsets: np.ndarray, merge: Merger) -> tuple[np.ndarray, np.ndarray]:
     """(ids, n + 1 offsets into them) of the texts data[offsets[i]:offsets[i + 1]]."""
     counts = np.zeros(len(offsets), np.int64)
@@ -234,11 +250,8 @@ def _valid(column: pa.Array) -> pa.Array:
 
 def _encoder(shared, token_offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = parse_ranks(shared.value)
-        merge = Merger(ranks)
-        widths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            widths[i] = len(token)
+        merge = _merger(shared.value)
+        widths = np.fromiter(map(len, _tokens(shared.value)), np.int64) if token_offsets else None
         for batch in batches:
             column = batch.column("_text")
             raw, at = string_bytes(column)
@@ -290,10 +303,7 @@ def encode(documents: DataFrame, ranks_path: str, text_col: str = "text", token_
 
 def _decoder(shared, ids_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = parse_ranks(shared.value)
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            tokens[i] = token
+        tokens = _tokens(shared.value)
         for batch in batches:
             column = batch.column(ids_col)
             cuts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
