@@ -10,6 +10,10 @@
    a spanning forest of its links, not all pairs. Cells over ``cell_rows`` fingerprints are dealt
    into chunks and compared chunk by chunk in tasks of their own.
 4. Components of the links by alternating large-star and small-star steps, in tables.
+
+``keep_one_copy`` links by the share of equal five-word shingles instead. Texts that share 0.8 of
+them lie about 10 of 64 bits apart and some 18, for which no grid has small cells; so candidates
+come from bands of minimal shingle hashes, and an exact comparison of the shingle sets decides.
 """
 
 from __future__ import annotations
@@ -31,13 +35,15 @@ SEGMENTS, SEGMENT_BITS = 32, 2
 #: The chance that two random two-bit counts agree.
 AGREE = 0.375
 SLICE_BYTES = 1 << 22
+#: Keys of a shingle set and the minimal hashes in each.
+BANDS, BAND_ROWS = 24, 4
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """A bit is set if it is set in over half of the shingles' hashes; a text without words gives 0."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hash of each run of ``shingle`` words, of all words where they are fewer; none for a text without words."""
     words = text.lower().split()  # bytes: A-Z and the six ASCII blanks only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     if len(words) < shingle:
@@ -46,7 +52,12 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
         starts = np.concatenate([[0], ends[: len(words) - shingle] + 1])
         cuts = zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in cuts), np.uint64, max(1, len(words) - shingle + 1))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in cuts), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """A bit is set if it is set in over half of the shingles' hashes; a text without words gives 0."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -296,18 +307,121 @@ def near_duplicates(documents: DataFrame, distance: int = 4, shingle: int = 4, i
     return printed.join(of_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "row_key")
 
 
-def keep_one(documents: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near duplicates, with all columns: that of the smallest id (null ids last), then text digest.
+def _signatures(shingle: int):
+    """Of each text: the digest of its set of shingles, the set's size and its band keys."""
 
-    Of rows with equal ids and texts one stays, whichever.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
+        times, plus = (rng.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+        mix = np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            raw, at = string_bytes(batch.column("text"))
+            for a, b in slices(at, SLICE_BYTES):
+                own, sets, sizes, keys = at[a : b + 1].tolist(), [], [], []
+                for x, y in zip(own, own[1:]):
+                    hashes = np.unique(shingle_hashes(raw[x:y].tobytes(), shingle))
+                    least = np.full(len(times), np.iinfo(np.uint64).max)
+                    for i in range(0, len(hashes), 1 << 12):
+                        least = np.minimum(least, (hashes[None, i : i + (1 << 12)] * times + plus).min(1))
+                    key = np.arange(BANDS, dtype=np.uint64)
+                    for column in least.reshape(BANDS, BAND_ROWS).T:
+                        key = (key ^ column) * mix
+                        key ^= key >> np.uint64(29)
+                    sets.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+                    sizes.append(len(hashes))
+                    keys.append(key.view(np.int64))
+                rest = batch.slice(a, b - a)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS), pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([rest.column("id"), rest.column("row_key"), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["id", "row_key", "set", "n", "bands"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = string_bytes(batch.column("text"))
+            for a, b in slices(at, SLICE_BYTES):
+                own = at[a : b + 1].tolist()
+                hashes = [np.unique(shingle_hashes(raw[x:y].tobytes(), shingle)).view(np.int64) for x, y in zip(own, own[1:])]
+                ends = np.cumsum([0, *map(len, hashes)])
+                yield pa.RecordBatch.from_arrays([batch.column("set").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))], ["set", "hashes"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("hashes_a"), batch.column("hashes_b"))):
+                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                found[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(found))
+
+    return run
+
+
+def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row_key, group): texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
+
+    Equal sets are one from the start. Sets meet in the cells of ``BANDS`` keys of ``BAND_ROWS``
+    minimal hashes each: a pair of similarity 0.8 misses all of them 3 times in a million, a closer
+    one less often. All pairs of a cell that can still join two groups are compared: first those
+    with the cell's least member, then, where a cell still holds several groups, all others
+    between its groups. Texts without words are one group.
     """
-    groups = near_duplicates(documents, distance, shingle, id_col, text_col)
+    scratch = Scratch(documents.sparkSession, "copies")
+    rows = documents.select(F.col(id_col).alias("id"), F.unhex(text_key(id_col, text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    kind = documents.schema[id_col].dataType.simpleString()
+    signed = scratch.save(rows.mapInArrow(_signatures(shingle), f"id {kind}, row_key binary, set bigint, n bigint, bands array<bigint>"), "signed")
+    distinct = signed.groupBy("set").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    dealt = scratch.save(distinct.select("set", "row_key", "n", F.explode("bands").alias("cell")), "dealt")
+    # cells of equal members are one
+    cells = dealt.groupBy("cell").agg(F.count("*").alias("m"), F.min("set").alias("least"), *[F.bit_xor(F.xxhash64("set", F.lit(i))).alias(f"x{i}") for i in (1, 2)]).filter("m > 1")
+    cells = scratch.save(cells.groupBy("m", "least", "x1", "x2").agg(F.min("cell").alias("cell")).select("cell", "least"), "cells")
+    members = scratch.save(dealt.join(cells, "cell").select("cell", "least", "set", "row_key", "n"), "members")
+    texts = members.groupBy("set").agg(F.min("row_key").alias("row_key"))
+    named = rows.join(texts, "row_key").dropDuplicates(["set"]).select("set", "text")
+    sets = scratch.save(named.mapInArrow(_sets(shingle), "set bigint, hashes array<bigint>"), "sets")
+
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.filter((F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (F.col("a") < F.col("b"))).select("a", "b").dropDuplicates()
+        both = pairs.join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+        return scratch.save(both.mapInArrow(_alike(similarity), "a bigint, b bigint"), name)
+
+    sizes = members.groupBy("set").agg(F.first("n").alias("n_a")).withColumnRenamed("set", "a")
+    links = alike(members.select(F.col("least").alias("a"), F.col("set").alias("b"), F.col("n").alias("n_b")).dropDuplicates().join(sizes, "a"), "links")
+    labels = components(links, Scratch(documents.sparkSession, "copies"))
+    now = scratch.save(members.join(labels, members["set"] == labels["node"], "left").select("cell", "least", "set", "n", F.coalesce("label", "set").alias("label")), "labelled")
+    # what was compared with the least member needs no second look
+    open_cells = now.groupBy("cell").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("m")).filter("first <> last and m > 2").select("cell")
+    rest = scratch.save(now.join(open_cells, "cell").filter("set <> least"), "rest")
+    side = lambda x: rest.select("cell", F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"))
+    more = alike(side("a").join(side("b"), "cell").filter("label_a <> label_b"), "more")
+    labels = components(links.unionByName(more), Scratch(documents.sparkSession, "copies"))
+    return signed.join(labels, signed["set"] == labels["node"], "left").select(F.col("id").alias(id_col), "row_key", F.coalesce("label", "set").alias("group"))
+
+
+def _one_of_each(documents: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The document of the smallest id of each group (null ids last), then text digest; of rows with equal ids and texts one, whichever."""
     best = groups.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_key")).alias("best"))
     chosen = Scratch(documents.sparkSession, "chosen").save(best.select(F.col("best.row_key").alias("_key")), "keys")
     keyed = documents.withColumn("_key", F.unhex(text_key(id_col, text_col)))
     return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
+def keep_one(documents: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates by fingerprints, with all columns."""
+    return _one_of_each(documents, near_duplicates(documents, distance, shingle, id_col, text_col), id_col, text_col)
+
+
+def keep_one_copy(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near copies by shared shingles, with all columns."""
+    return _one_of_each(documents, near_copies(documents, similarity, shingle, id_col, text_col), id_col, text_col)
+
+
 def brute_force(rows: list[tuple], distance: int = 4, shingle: int = 4) -> list[tuple]:
     """For tests: (doc_id, fingerprint, component_id) by comparing all pairs."""
     prints = []
