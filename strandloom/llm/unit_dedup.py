@@ -2,7 +2,7 @@
 
 Units (lines, or paragraphs between blank lines) are normalised (lower case, runs of blanks as
 one), digested to 128 bits and grouped over all documents; the earliest ranked occurrence
-(smallest id, then smallest text digest, then first place in the text) stays and the others go.
+(smallest id, then smallest text digest, then copy of the row, then first place in the text) stays and the others go.
 Spans keep the original offsets. A digest is added up before the shuffle, so a unit in a third of
 all documents is one row a task; only units that repeat return to their documents.
 """
@@ -43,7 +43,7 @@ def _units(unit: str, min_words: int):
 
             def told():
                 take = pa.array(rows, pa.int64())
-                return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column("rank_id").take(take), batch.column("doc").take(take), pa.array(at, pa.int32())], ["digest", "rank_id", "doc", "at"])
+                return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column("rank_id").take(take), batch.column("doc").take(take), batch.column("copy").take(take), pa.array(at, pa.int32())], ["digest", "rank_id", "doc", "copy", "at"])
 
             for row, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
@@ -93,30 +93,34 @@ def _removed(unit: str):
     return run
 
 
-def dedup_units(documents: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_units(documents: DataFrame, unit: str = "line", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", number_rows: bool = False) -> DataFrame:
     """All columns of ``documents`` plus n_units, n_removed, removed_spans and kept_text.
 
     Spans are code points of the original text; the separator after a removed unit goes with it.
     Units under ``min_words`` words stay. A null text is empty; ids sort numerically where they
-    are numbers, null ids last. Rows with equal ids and texts keep and lose the same units. Input
+    are numbers, null ids last. Rows with equal ids and texts keep and lose the same units, unless
+    ``number_rows`` is set: then one of them, whichever, is the first, and the others lose what it keeps. Input
     columns with the names of results are replaced; an empty table gives no rows.
     """
     if unit not in SEPARATORS:
         raise ValueError(f"unit is one of {sorted(SEPARATORS)}")
     scratch = Scratch(documents.sparkSession, "units")
     documents = documents.drop("n_units", "n_removed", "removed_spans", "kept_text")
-    doc = F.unhex(text_key(id_col, text_col))
-    units = documents.select(F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("rank_id"), doc.alias("doc")).mapInArrow(_units(unit, min_words), "digest binary, rank_id string, doc binary, at int")
+    fields, doc = documents.schema.fields, F.unhex(text_key(id_col, text_col))
+    documents = documents.withColumn("_doc", doc).withColumn("_copy", F.monotonically_increasing_id() if number_rows else F.lit(0).cast("long"))
+    if number_rows:  # written, so that the numbers are the same wherever they are read
+        documents = scratch.save(documents, "numbered")
+    units = documents.select(F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("rank_id"), F.col("_doc").alias("doc"), F.col("_copy").alias("copy")).mapInArrow(_units(unit, min_words), "digest binary, rank_id string, doc binary, copy bigint, at int")
     units = scratch.save(units, "units")
     number = F.expr("try_cast(rank_id as decimal(38,0))")
-    rank = F.struct(number.isNull().alias("no_number"), number.alias("number"), "rank_id", "doc", "at")
+    rank = F.struct(number.isNull().alias("no_number"), number.alias("number"), "rank_id", "doc", "copy", "at")
     repeated = scratch.save(
         units.groupBy("digest").agg(F.count("*").alias("times"), F.min(rank).alias("first")).filter("times > 1").select("digest", "first"), "repeated"
     )
-    later = units.join(repeated, "digest").filter((F.col("first.doc") != F.col("doc")) | (F.col("first.at") != F.col("at"))).select("doc", "at")
-    lists = later.dropDuplicates().groupBy("doc").agg(F.collect_list("at").alias("_gone"))  # units of one document
-    joined = documents.withColumn("_text", F.col(text_col)).withColumn("_doc", doc).join(lists.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields), "n_units bigint, n_removed bigint, removed_spans array<struct<start: bigint, end: bigint>>, kept_text string"])
+    later = units.join(repeated, "digest").filter((F.col("first.doc") != F.col("doc")) | (F.col("first.copy") != F.col("copy")) | (F.col("first.at") != F.col("at"))).select("doc", "copy", "at")
+    lists = later.dropDuplicates().groupBy(F.col("doc").alias("_doc"), F.col("copy").alias("_copy")).agg(F.collect_list("at").alias("_gone"))  # units of one document
+    joined = documents.withColumn("_text", F.col(text_col)).join(lists, ["_doc", "_copy"], "left").drop("_doc", "_copy")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_units bigint, n_removed bigint, removed_spans array<struct<start: bigint, end: bigint>>, kept_text string"])
     return joined.mapInArrow(_removed(unit), schema)
 
 
