@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,10 +19,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one temporary folder a session."""
+    """The folder in spark.checkpoint.dir; where that is unset, one temporary folder a session, in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_strandloom_dir", None)
     if own is None:
         own = spark.sparkContext._strandloom_dir = "file://" + tempfile.mkdtemp(prefix="strandloom-")
@@ -55,6 +58,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for internal columns that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_fields(df: DataFrame, added: str) -> StructType:
+    """The schema of ``df`` and after it the fields of a DDL string."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+
+
+def split_hot(counts: DataFrame, count_col: str, total: int, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(hot, rest) of keys with counts that sum to ``total`` at most: no more than ``most`` keys can be hot.
+
+    A key is hot with ``total / most`` rows or more, so hot keys have a proven bound for a broadcast
+    and no other key brings more than that share of all rows into one task.
+    """
+    least = max(2, -(-total // most))
+    return counts.filter(F.col(count_col) >= least), counts.filter(F.col(count_col) < least)
+
+
 def text_key(id_col: str, text_col: str) -> Column:
     """A 128-bit key of a row's id and text; equal rows share it, nulls differ from empty texts."""
     return F.md5(

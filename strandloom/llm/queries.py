@@ -19,7 +19,9 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_unit_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return unit_dedup.dedup_units(documents, min_words=1, number_rows=True).select("doc_id", "n_units", "n_removed", "removed_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+    # sentences of lines, in runs of 25 words: half of a passage of 50, whose two ends may lie inside other sentences
+    found = unit_dedup.dedup_units(documents, "sentence", min_words=25)
+    return found.select("doc_id", "n_removed", "n_units", "removed_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

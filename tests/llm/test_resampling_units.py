@@ -64,13 +64,15 @@ def unit_rows():
     return [*rows, (-5, shared[1]), (200, None), (201, ""), (202, rows[0][1]), (203, (shared[4] + "\n") * 2000)]
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_units_match_brute_force(spark, unit):
-    rows = unit_rows()
-    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, n_units int").repartition(3)
-    got = unit_dedup.dedup_units(df, unit).collect()
+@pytest.mark.parametrize(("unit", "min_words"), [("line", 1), ("line", 8), ("paragraph", 1), ("sentence", 25)])
+def test_units_match_brute_force(spark, unit, min_words):
+    rows = [(i, t.replace("b ", "b. ") if t else t) for i, t in unit_rows()]
+    columns = "doc_id long, text string, n_units int, _text string, _row int, _repeated string"
+    df = spark.createDataFrame([(a, b, 1, "x", 2, "y") for a, b in rows], columns).repartition(3)
+    got = unit_dedup.dedup_units(df, unit, min_words).collect()
     found = sorted((r.doc_id, r.n_units, [tuple(s) for s in r.removed_spans]) for r in got)
-    assert found == unit_dedup.brute_force(rows, unit)
+    assert found == unit_dedup.brute_force(rows, unit, min_words)
+    assert any(f[2] for f in found) and {(r["_text"], r["_row"], r["_repeated"]) for r in got} == {("x", 2, "y")}
     texts = dict(rows)
     for r in got:
         gone = {i for a, b in map(tuple, r.removed_spans) for i in range(a, b)}
@@ -82,5 +84,23 @@ def test_units_odd_rows(spark):
     line = "one two three four five six seven eight"
     df = spark.createDataFrame([(None, line), (None, line), (3, line), (3, line), (10, line)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_removed) for r in unit_dedup.dedup_units(df).collect()), key=str)
-    assert got == [(10, 1), (3, 0), (3, 0), (None, 1), (None, 1)]
+    assert got == [(10, 1), (3, 0), (3, 1), (None, 1), (None, 1)]  # of equal rows one is the first
     assert unit_dedup.dedup_units(df.limit(0)).count() == 0
+
+
+def test_runs_of_units():
+    sizes = [3, 0, 4, 2, 5, 1]
+    assert unit_dedup.gone_units(sizes, {0, 2, 4}, 7) == {0, 2} and unit_dedup.gone_units(sizes, {0, 2, 4}, 8) == set()
+    assert unit_dedup.gone_units(sizes, {3, 4, 5}, 8) == {3, 4, 5}
+    assert unit_dedup.gone_units([2, 0], {0}, 50) == {0} and unit_dedup.gone_units([0], set(), 1) == set()
+    assert unit_dedup.units_of("One two. Three?  Four\nfive.", "sentence") == [(0, 8), (9, 15), (17, 21), (22, 27)]
+
+
+def test_passage_inside_other_text_is_found(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(4, 9))) + "."
+    passage = " ".join(sentence() for _ in range(9))
+    rows = [(i, " ".join([*(sentence() for _ in range(5)), word(), *([passage] if i % 3 == 0 else []), word(), sentence()])) for i in range(60)]
+    got = unit_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), "sentence", 25).collect()
+    assert {r.doc_id for r in got if r.n_removed} == set(range(3, 60, 3))
