@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, spare, with_fields
+
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5, 6)
@@ -31,9 +33,8 @@ CACHE = 150_000
 #: The softmax works on means over many words; this keeps its weights of order one.
 SCALE = 8.0
 BASE = np.uint64(0x100000001B3)
-POWERS = np.cumprod(np.full(64, BASE, np.uint64), dtype=np.uint64)
-#: Words hashed at once, and characters of text scored at once (one text at least).
-BLOCK_WORDS, BLOCK_CHARS = 20_000, 1 << 20
+#: Characters of words hashed at once (one word at least), and of text scored at once (one text at least).
+BLOCK_LETTERS, BLOCK_CHARS = 160_000, 1 << 20
 
 
 def words_of(text: str | None) -> set[str]:
@@ -41,19 +42,40 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def powers(n: int) -> np.ndarray:
+    """The first powers of the base; they grow with the longest word met."""
+    if len(POWERS[0]) < n:
+        POWERS[0] = np.cumprod(np.full(max(n, 64), BASE, np.uint64), dtype=np.uint64)
+    return POWERS[0]
+
+
+POWERS = [np.zeros(0, np.uint64)]
+
+
+def blocks_of(words: list[str]) -> Iterator[list[str]]:
+    """The words in blocks of about ``BLOCK_LETTERS`` letters."""
+    first, letters = 0, 0
+    for i, w in enumerate(words):
+        letters += len(w)
+        if letters >= BLOCK_LETTERS:
+            yield words[first : i + 1]
+            first, letters = i + 1, 0
+    if first < len(words):
+        yield words[first:]
+
+
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the words and of their n-grams, word after word, and how many each word has.
 
-    All words are hashed at once, by polynomials over their code points; long words count by their
-    first 40 characters.
+    All words are hashed at once, by polynomials over their code points.
     """
-    marked = [f"<{w[:40]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     word_of = np.repeat(np.arange(len(marked)), lengths)
     starts = np.cumsum(lengths) - lengths
     left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))  # characters up to the end of the word
-    whole = np.add.reduceat(codes * POWERS[np.arange(len(codes)) - np.repeat(starts, lengths)], starts) if len(marked) else codes
+    whole = np.add.reduceat(codes * powers(int(lengths.max()))[np.arange(len(codes)) - np.repeat(starts, lengths)], starts) if len(marked) else codes
     hashes, owners, rolling = [_mixed(whole, 0)], [np.arange(len(marked))], codes
     for n in range(2, max(GRAMS) + 1):
         rolling = rolling[:-1] * BASE + codes[n - 1 :]
@@ -84,8 +106,8 @@ class Model:
     def word_margins(self, words: list[str]) -> list[float]:
         """The mean margin over each word's n-grams."""
         out: list[float] = []
-        for a in range(0, len(words), BLOCK_WORDS):
-            grams, sizes = grams_of(words[a : a + BLOCK_WORDS])
+        for block in blocks_of(words):
+            grams, sizes = grams_of(block)
             sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.margins[grams], len(sizes))
             out.extend((sums / sizes).tolist())
         return out
@@ -125,8 +147,8 @@ def train(texts: Iterable[str | None], labels: list[int], dim: int = 4, epochs:
         docs.append((own, np.full(len(words), 1 / max(1, len(words)), np.float32)))
     known, grams, lengths = list(vocabulary), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     vocabulary.clear()
-    for a in range(0, len(known), BLOCK_WORDS):
-        own, counts = grams_of(known[a : a + BLOCK_WORDS])
+    for block in blocks_of(known):
+        own, counts = grams_of(block)
         grams.append(own)
         lengths.append(counts)
     del known
@@ -179,15 +201,16 @@ def fit(
     labels: DataFrame,
     usable: Column | None = None,
     sample_rows: int = 12_000,
-    sample_text_bytes: int = 16 << 10,
+    sample_bytes: int = 64 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> Model:
     """Fits the model on a bounded sample of labelled rows.
 
-    The bounds are ``sample_rows`` labelled ids, smallest by a hash of the id, and texts of at most
-    ``sample_text_bytes`` bytes. ``usable`` (over the labels' columns) says which labels may be
+    The bounds are ``sample_rows`` labelled ids, smallest by a hash of the id, and ``sample_bytes``
+    bytes of words: tasks reduce each whole text to its distinct words, and the sample ends before
+    the row that would pass the bound. ``usable`` (over the labels' columns) says which labels may be
     learned. Ids with several labels count by the largest, several texts of an id by the smallest;
     null ids, labels and texts are not learned. Without both classes the score is a constant.
     """
@@ -200,27 +223,47 @@ def fit(
         .orderBy("_order", "_id")
         .limit(sample_rows)
     )
-    texts = documents.filter(F.octet_length(text_col) <= sample_text_bytes).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = documents.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     joined = texts.join(F.broadcast(sample), "_id")  # sample_rows rows at most
-    rows = joined.groupBy("_order", "_id", "_label").agg(F.min("_text").alias("_text")).toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["_order"][i].as_py(), str(rows["_id"][i])))
-    labels_of = rows["_label"].to_pylist()
-    return train((rows["_text"][i].as_py() for i in order), [int(labels_of[i] > 0) for i in order])
+    one_each = joined.groupBy("_order", "_id", "_label").agg(F.min("_text").alias("_text"))
+    bags = Scratch(documents.sparkSession, "toxicity").save(one_each.select("_order", F.col("_id").cast("string").alias("_id"), "_label", "_text").mapInArrow(_bags, "place bigint, id string, label int, words string"), "bags")
+    sizes = sorted(_rows(bags.select("place", "id", F.octet_length("words").alias("size"))))
+    total, last = 0, None
+    for place, own_id, size in sizes:
+        total += size
+        if total > sample_bytes:
+            break
+        last = (place, own_id)
+    if last is None:
+        return train([], [])
+    rows = sorted(_rows(bags.filter((F.col("place") < last[0]) | (F.col("place") == last[0]) & (F.col("id") <= last[1]))))
+    return train((words for _, _, _, words in rows), [int(label > 0) for _, _, label, _ in rows])
+
+
+def _rows(df: DataFrame) -> list[tuple]:
+    """The rows of a table of bounded size."""
+    return list(zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True))
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [" ".join(sorted(words_of(x.as_py()))) for x in batch.column("_text")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_order", "_id", "_label")), pa.array(words, pa.string())], ["place", "id", "label", "words"])
 
 
-def _scorer(shared):
+def _scorer(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = pickle.loads(shared.value), {}
         for batch in batches:
             scores, block, chars = [], [], 0
-            for x in batch.column("_text"):
+            for x in batch.column(text_col):
                 block.append(x.as_py())
                 chars += len(block[-1] or "")
                 if chars >= BLOCK_CHARS:
                     scores += model.scores(block, cache)
                     block, chars = [], 0
             scores += model.scores(block, cache)
-            names = [c for c in batch.schema.names if c != "_text"]
+            names = [c for c in batch.schema.names if c != text_col]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], [*names, "score"])
 
     return run
@@ -234,8 +277,8 @@ def score_documents(documents: DataFrame, model: Model, text_col: str = "text")
     """
     documents = documents.drop("score")
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # one number a bucket
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields), "score double"])
-    return documents.withColumn("_text", F.col(text_col)).mapInArrow(_scorer(shared), schema)
+    (text,) = spare(documents, "_text")
+    return documents.withColumn(text, F.col(text_col)).mapInArrow(_scorer(shared, text), with_fields(documents, "score double"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
