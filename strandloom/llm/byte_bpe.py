@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, string_bytes
+from .common import slices, spare, string_bytes, with_fields
 
 #: The characters of Unicode's White_Space property.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -36,6 +37,9 @@ START = 8
 #: States: what the character before belongs to; ONE and TWO letters of a contraction to come; a token ended.
 IN_OTHER, IN_LETTER, IN_NUMBER, IN_BLANK, JOINED, ONE, TWO, ENDED = range(8)
 SLICE_BYTES = 1 << 20
+#: Longer texts are encoded in stretches, cut where a token begins whatever stands around.
+STRETCH_BYTES = 1 << 22
+SAFE_CUT = re.compile(rb"[A-Za-z](?= [A-Za-z])")
 LONG_PIECE = 96
 
 
@@ -243,30 +247,51 @@ def encode_texts(data: bytes, offsets: np.ndarray, merge: Merger) -> tuple[np.nd
     return np.fromiter(chain.from_iterable(rows), np.int32, int(sizes[-1])), sizes[np.searchsorted(starts, offsets)]
 
 
+def stretches(data: bytes, most: int = STRETCH_BYTES) -> list[int]:
+    """Cuts of a long text: before a space between two letters a token begins whatever stands around.
+
+    A text without such a place is one stretch.
+    """
+    cuts = [0]
+    while len(data) - cuts[-1] > most and (found := SAFE_CUT.search(data, cuts[-1] + most)):
+        cuts.append(found.end())
+    return [*cuts, len(data)]
+
+
+def encode_long(data: bytes, merge: Merger, most: int = STRETCH_BYTES) -> np.ndarray:
+    """The ids of one long text, stretch by stretch."""
+    cuts = stretches(data, most)
+    return np.concatenate([encode_texts(data[a:b], np.array([0, b - a]), merge)[0] for a, b in zip(cuts, cuts[1:])])
+
+
 def _valid(column: pa.Array) -> pa.Array:
     """Texts with bytes that are no UTF-8 get the replacement character for them."""
     return pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()], pa.string())
 
 
-def _encoder(shared, token_offsets: bool):
+def _encoder(shared, token_offsets: bool, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = _merger(shared.value)
         widths = np.fromiter(map(len, _tokens(shared.value)), np.int64) if token_offsets else None
         for batch in batches:
-            column = batch.column("_text")
+            column = batch.column(text_col)
             raw, at = string_bytes(column)
             for a, b in slices(at, SLICE_BYTES):
                 data = raw[at[a] : at[b]].tobytes()
                 own = at[a : b + 1] - at[a]
                 try:
-                    ids, cuts = encode_texts(data, own, merge)
+                    if b - a == 1 and len(data) > STRETCH_BYTES:
+                        ids = encode_long(data, merge)
+                        cuts = np.array([0, len(ids)])
+                    else:
+                        ids, cuts = encode_texts(data, own, merge)
                 except UnicodeDecodeError:
                     raw2, own = string_bytes(_valid(column.slice(a, b - a)))
                     data = raw2[own[0] : own[-1]].tobytes()
                     own = own - own[0]
                     ids, cuts = encode_texts(data, own, merge)
                 rest = batch.slice(a, b - a)
-                names = [c for c in rest.schema.names if c != "_text"]
+                names = [c for c in rest.schema.names if c != text_col]
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
                 arrays = [*(rest.column(c) for c in names), lists]
                 if token_offsets:
@@ -278,10 +303,6 @@ def _encoder(shared, token_offsets: bool):
     return run
 
 
-def _schema(df: DataFrame, *more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
-
-
 def read_ranks(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -293,12 +314,13 @@ def encode(documents: DataFrame, ranks_path: str, text_col: str = "text", token_
     ``ranks_path`` is a file of the driver with base64 tokens and ranks; its content (under a
     megabyte for 50,000 tokens) is broadcast. A null text is encoded as the empty one, to no ids.
     Input columns with the names of results are replaced; rows are independent, so repeated rows
-    and ties need no rule. A text is limited to 2**31 bytes, as any Spark string.
+    and ties need no rule. A text is limited to 2**31 bytes, as any Spark string; long ones are
+    encoded in stretches.
     """
     documents = documents.drop("ids", "token_offsets")
     shared = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    more = ["ids array<int>", *(["token_offsets array<int>"] if token_offsets else [])]
-    return documents.withColumn("_text", F.col(text_col)).mapInArrow(_encoder(shared, token_offsets), _schema(documents, *more))
+    more, (text,) = "ids array<int>, token_offsets array<int>" if token_offsets else "ids array<int>", spare(documents, "_text")
+    return documents.withColumn(text, F.col(text_col)).mapInArrow(_encoder(shared, token_offsets, text), with_fields(documents, more))
 
 
 def _decoder(shared, ids_col: str):
@@ -323,14 +345,15 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     """All columns plus ``decoded`` binary, the bytes of the ids; null ids decode to no bytes."""
     encoded = encoded.drop("decoded").withColumn(ids_col, F.coalesce(F.col(ids_col), F.expr("cast(array() as array<int>)")))
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    return encoded.mapInArrow(_decoder(shared, ids_col), _schema(encoded, "decoded binary"))
+    return encoded.mapInArrow(_decoder(shared, ids_col), with_fields(encoded, "decoded binary"))
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    """The rows of op6: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """The rows of op6: doc_id, n_tokens, ids_sha256, decoded_sha256, and a checksum of the tokens' offsets."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *([F.xxhash64("token_offsets").alias("offsets_xxhash64")] if "token_offsets" in decoded.columns else []),
     )

@@ -44,7 +44,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
 
     path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     texts = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(texts, path, token_offsets=False).select("doc_id", "ids")
+    encoded = byte_bpe.encode(texts, path).select("doc_id", "ids", "token_offsets")
     return byte_bpe.digests(byte_bpe.decode(encoded, path))
 
 

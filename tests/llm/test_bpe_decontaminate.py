@@ -39,6 +39,20 @@ def test_encode_like_the_library_and_back(spark, library):
     assert byte_bpe.encode(df.limit(0), PATH).count() == 0
 
 
+def test_long_texts_in_stretches(library):
+    import numpy as np
+
+    merge = byte_bpe.Merger(byte_bpe.parse_ranks(byte_bpe.read_ranks(PATH)))
+    for text in [" ".join(t for t in texts() if t), "a b" * 400, "x" * 500, "don't  we 'll \n be a  c d'e f" * 50]:
+        for most in (1, 7, 100):
+            data = text.encode()
+            cuts = byte_bpe.stretches(data, most)
+            assert cuts[0] == 0 and cuts[-1] == len(data) and cuts == sorted(set(cuts))
+            assert byte_bpe.encode_long(data, merge, most).tolist() == library.encode_ordinary(text)
+    assert len(byte_bpe.stretches(b"a b" * 400, 7)) > 100
+    assert np.array_equal(byte_bpe.encode_long(b"word " * 1_000_000, merge), byte_bpe.encode_texts(b"word " * 1_000_000, np.array([0, 5_000_000]), merge)[0])
+
+
 def test_bpe_digests(spark, library):
     import hashlib
 
