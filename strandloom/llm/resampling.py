@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_key
+from .common import Scratch, spare, text_key, with_fields
 from .sharding import with_row_numbers
 
 WORD = re.compile(r"\w+|[^\w\s]+")
@@ -53,13 +53,24 @@ class Hasher:
 
 def _counted(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = Hasher(buckets), np.zeros((2, buckets), np.int64)
+        hasher, counts, held, size = Hasher(buckets), np.zeros((2, buckets), np.int64), ([], []), 0
+
+        def count():
+            for i in range(2):
+                if held[i]:
+                    counts[i] += np.bincount(np.concatenate(held[i]), minlength=buckets)
+
         for batch in batches:
             for text, good in zip(batch.column("text"), batch.column("good"), strict=True):
-                own = np.bincount(hasher(text.as_py()), minlength=buckets)
-                counts[0] += own
+                own = hasher(text.as_py())
+                held[0].append(own)
+                size += len(own)
                 if good.as_py():
-                    counts[1] += own
+                    held[1].append(own)
+                if size > 1 << 20:
+                    count()
+                    held, size = ([], []), 0
+        count()
         used = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0][used]), pa.array(counts[1][used])], ["bucket", "raw", "target"])
 
@@ -85,17 +96,17 @@ def fit(documents: DataFrame, good: DataFrame, buckets: int = 10_000, target_row
     return np.log((target + strength * prior + 1e-9) / (target.sum() + strength)) - np.log((raw + 1e-9) / raw.sum())
 
 
-def _weighed(shared):
+def _weighed(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = pickle.loads(shared.value)
         hasher = Hasher(len(ratio))
         for batch in batches:
             weights, sizes = [], []
-            for text in batch.column("_text"):
+            for text in batch.column(text_col):
                 own = hasher(text.as_py())
                 weights.append(float(ratio[own].sum()))
                 sizes.append(len(own))
-            names = [c for c in batch.schema.names if c != "_text"]
+            names = [c for c in batch.schema.names if c != text_col]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64())], [*names, "log_weight", "n_grams"])
 
     return run
@@ -105,8 +116,8 @@ def with_weights(documents: DataFrame, ratio: np.ndarray, text_col: str = "text"
     """All columns of ``documents`` plus log_weight and n_grams; a text without n-grams (or null) weighs 0."""
     documents = documents.drop("log_weight", "n_grams")
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(ratio))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields), "log_weight double, n_grams bigint"])
-    return documents.withColumn("_text", F.col(text_col)).mapInArrow(_weighed(shared), schema)
+    (text,) = spare(documents, "_text")
+    return documents.withColumn(text, F.col(text_col)).mapInArrow(_weighed(shared, text), with_fields(documents, "log_weight double, n_grams bigint"))
 
 
 def gumbel(seed: int, *columns: Column) -> Column:
@@ -134,7 +145,7 @@ def resample(
     scratch = Scratch(documents.sparkSession, "resampling")
     ratio = fit(documents, good, buckets, id_col=id_col, text_col=text_col)
     rows = documents.select(F.col(id_col).alias("id"), F.unhex(text_key(id_col, text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    weighed = with_weights(rows, ratio).drop("text")
+    weighed = scratch.save(with_weights(rows, ratio).drop("text"), "weighed")  # weighed once, not again for the bounds of the sort
     keyed = weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, F.col("row_key"))).withColumn("_down", -F.col("gumbel_key"))
     placed, n = with_row_numbers(keyed, ["_down", "id", "row_key"], scratch)
     k = -(-int(share * n * 1_000_000) // 1_000_000)
