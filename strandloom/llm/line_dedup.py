@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import filter_bits, probes, test_bits, twice_filter
-from .common import Scratch, text_key
+from .common import Scratch, spare, text_key, with_fields
 
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
+#: The mean length of a line that the filters are sized by; shorter lines only bring more suspects.
+BYTES_A_LINE = 64
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -37,6 +39,11 @@ def line_keys(text: str | None) -> list[bytes]:
     return [line.strip(BLANK_BYTES).lower() for line in (text or "").encode().split(b"\n")]
 
 
+def long_enough(key: bytes, min_chars: int) -> bool:
+    """Whether a key has ``min_chars`` code points; bytes are counted only where they can decide."""
+    return len(key) >= min_chars and (min_chars <= 1 or len(key) >= 4 * min_chars or len(key.decode()) >= min_chars)
+
+
 def hashes_of(keys: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
@@ -47,7 +54,7 @@ def _line_hashes(min_chars: int):
     def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         found: list[bytes] = []
         for text in batch.column(0):
-            found.extend({k for k in line_keys(text.as_py()) if len(k) >= min_chars})
+            found.extend({k for k in line_keys(text.as_py()) if long_enough(k, min_chars)})
             if len(found) > 200_000:
                 yield hashes_of(found)
                 found = []
@@ -62,7 +69,7 @@ def _suspects(shared, bits: int, min_chars: int):
         for batch in batches:
             keys, docs, ids = [], [], batch.column(0)
             for row, text in enumerate(batch.column(1)):
-                own = list(dict.fromkeys(k for k in line_keys(text.as_py()) if len(k) >= min_chars))
+                own = list(dict.fromkeys(k for k in line_keys(text.as_py()) if long_enough(k, min_chars)))
                 keys += own
                 docs += [row] * len(own)
             if not keys:
@@ -89,13 +96,13 @@ def _kept(text: str | None, gone: dict[bytes, bool] | set[bytes]) -> tuple[int,
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
-def _cleaned(gone_of):
-    """gone_of(batch, row): the repeated keys that matter for that row."""
+def _cleaned(gone_of, hidden: list[str]):
+    """gone_of(batch, row): the repeated keys that matter for that row; the first of ``hidden`` is the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, dropped, kept = [], [], []
-            for row, text in enumerate(batch.column("_text")):
+            for row, text in enumerate(batch.column(hidden[0])):
                 a, b, c = _kept(text.as_py(), gone_of(batch, row))
                 n.append(a)
                 dropped.append(b)
@@ -103,7 +110,7 @@ def _cleaned(gone_of):
                 if sum(map(len, kept[-64:])) > 1 << 25 or row + 1 == batch.num_rows:
                     done = row + 1 - len(n)
                     rest = batch.slice(done, len(n))
-                    names = [c for c in rest.schema.names if c not in ("_text", "_gone")]
+                    names = [c for c in rest.schema.names if c not in hidden]
                     yield pa.RecordBatch.from_arrays([rest.column(c) for c in names] + [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], [*names, "n_lines", "n_dropped", "kept_text"])
                     n, dropped, kept = [], [], []
 
@@ -123,19 +130,19 @@ def dedup_lines(
 ) -> DataFrame:
     """All columns of ``documents`` plus n_lines, n_dropped and kept_text.
 
-    A null or empty text is one empty line; keys shorter than ``min_chars`` code points (bytes
-    count here only for 0 and 1) are never dropped. A line counts once a document, whatever its
+    A null or empty text is one empty line; keys shorter than ``min_chars`` code points are never
+    dropped. A line counts once a document, whatever its
     rows; rows with equal ids are documents of their own. Columns of the input with the names of
     results are replaced. An empty table gives no rows.
     """
-    if keep not in ("none", "first") or min_docs < 2 or min_chars not in (0, 1):
-        raise ValueError("keep is none or first, min_docs 2 or more, min_chars 0 or 1")
+    if keep not in ("none", "first") or min_docs < 2 or min_chars < 0:
+        raise ValueError("keep is none or first, min_docs 2 or more, min_chars 0 or more")
     spark = documents.sparkSession
     scratch = Scratch(spark, "lines")
     documents = documents.drop("n_lines", "n_dropped", "kept_text")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    n_lines = documents.select(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).alias("n")).first()["n"] or 1
-    bits = filter_bits(n_lines, bits_a_line, max_filter_bits)
+    size = documents.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count("*").alias("rows")).first()
+    bits = filter_bits(size["rows"] + (size["bytes"] or 0) // BYTES_A_LINE, bits_a_line, max_filter_bits)  # a size for the filter: no line is read for it
     shared = spark.sparkContext.broadcast(twice_filter(documents.select(F.col(text_col).alias("_text")), _line_hashes(min_chars), bits))
 
     keyed = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("_text"), F.unhex(text_key(id_col, text_col)).alias("doc"))
@@ -144,36 +151,32 @@ def dedup_lines(
     counted = suspects.groupBy("key").agg(F.count("*").alias("docs"), *([first.alias("first")] if keep == "first" else []))
     repeated = scratch.save(counted.filter(F.col("docs") >= min_docs), "repeated")
     size = repeated.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    schema += ", n_lines bigint, n_dropped bigint, kept_text string"
+    schema = with_fields(documents, "n_lines bigint, n_dropped bigint, kept_text string")
+    hidden = text_, gone_, doc_ = spare(documents, "_text", "_gone", "_doc")
+    texts = documents.withColumn(text_, F.col(text_col))
     if size <= broadcast_bytes:
         rows = repeated.collect()
         if keep == "none":
             gone = spark.sparkContext.broadcast({bytes(r["key"]) for r in rows})
-            return documents.withColumn("_text", F.col(text_col)).mapInArrow(_cleaned(lambda batch, row: gone.value), schema)
+            return texts.mapInArrow(_cleaned(lambda batch, row: gone.value, hidden), schema)
         firsts = spark.sparkContext.broadcast({bytes(r["key"]): bytes(r["first"]["doc"]) for r in rows})
 
         def gone_of(batch, row):
-            doc = batch.column("_gone")[row].as_py()
-            text = batch.column("_text")[row].as_py()
+            doc = batch.column(gone_)[row].as_py()
+            text = batch.column(text_)[row].as_py()
             return {k: firsts.value[k] == doc for k in line_keys(text) if k in firsts.value}
 
-        return documents.withColumn("_text", F.col(text_col)).withColumn("_gone", F.unhex(text_key(id_col, text_col))).mapInArrow(_cleaned(gone_of), schema)
+        return texts.withColumn(gone_, F.unhex(text_key(id_col, text_col))).mapInArrow(_cleaned(gone_of, hidden), schema)
     # too large for a broadcast: the repeated keys of each document, joined to it
     keeps = (F.col("first.doc") == F.col("doc")) if keep == "first" else F.lit(False)
     pairs = suspects.join(repeated, "key").select("doc", F.struct("key", keeps.alias("keeps")).alias("one"))
-    lists = pairs.groupBy("doc").agg(F.collect_set("one").alias("_gone"))  # as many as the document has lines
-    joined = (
-        documents.withColumn("_text", F.col(text_col))
-        .withColumn("_doc", F.unhex(text_key(id_col, text_col)))
-        .join(lists.withColumnRenamed("doc", "_doc"), "_doc", "left")
-        .drop("_doc")
-    )
+    lists = pairs.groupBy(F.col("doc").alias(doc_)).agg(F.collect_set("one").alias(gone_))  # as many as the document has lines
+    joined = texts.withColumn(doc_, F.unhex(text_key(id_col, text_col))).join(lists, doc_, "left").drop(doc_)
 
     def listed(batch, row):
-        return {x["key"]: x["keeps"] for x in batch.column("_gone")[row].as_py() or ()}
+        return {x["key"]: x["keeps"] for x in batch.column(gone_)[row].as_py() or ()}
 
-    return joined.mapInArrow(_cleaned(listed), schema)
+    return joined.mapInArrow(_cleaned(listed, hidden), schema)
 
 
 def digests(cleaned: DataFrame) -> DataFrame:
