@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, string_bytes, text_key
+from .common import Scratch, slices, spare, string_bytes, text_key, with_fields
 
 #: Bytes of words after lower-casing stay, all others become spaces: [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -140,11 +140,11 @@ class Searcher:
         return [len(r) for r in rows], hits, items
 
 
-def _search(shared, window: int, only_hits: bool):
+def _search(shared, window: int, only_hits: bool, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(pickle.loads(shared.value), window)
         for batch in batches:
-            raw, at = string_bytes(batch.column("_text"))
+            raw, at = string_bytes(batch.column(text_col))
             for a, b in slices(at, SLICE_BYTES):
                 data, own = raw[at[a] : at[b]].tobytes(), (at[a : b + 1] - at[a]).tolist()
                 counts, hits, items = searcher.search([data[x:y] for x, y in zip(own, own[1:])])
@@ -153,7 +153,7 @@ def _search(shared, window: int, only_hits: bool):
                     continue
                 rest = batch.slice(a, b - a)
                 rest = rest.take(pa.array(keep)) if only_hits else rest
-                names = [c for c in rest.schema.names if c != "_text"]
+                names = [c for c in rest.schema.names if c != text_col]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(rest.column(c) for c in names),
@@ -188,31 +188,30 @@ def find_contamination(
     documents = documents.drop("n_words", "hit_words", "items")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("binary").alias("text")).filter("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    schema = plain + ", n_words bigint, hit_words array<int>, items array<string>"
+    found, (text, key) = "n_words bigint, hit_words array<int>, items array<string>", spare(documents, "_text", "_key")
 
     def shared(rows):
         return spark.sparkContext.broadcast(pickle.dumps([(r["item"], bytes(r["text"])) for r in rows]))
 
-    texts = documents.withColumn("_text", F.col(text_col))
+    texts = documents.withColumn(text, F.col(text_col))
     if size <= block_bytes:
-        return texts.mapInArrow(_search(shared(items.collect()), window, False), schema)
+        return texts.mapInArrow(_search(shared(items.collect()), window, False, text), with_fields(documents, found))
     # blocks of about block_bytes: a hash of the item deals them out, each is collected by itself
     blocks = -(-size // block_bytes)
     dealt = Scratch(spark, "benchmark").save(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "items")
-    keyed = texts.withColumn("_key", text_key(id_col, text_col))
-    counted = keyed.mapInArrow(_search(spark.sparkContext.broadcast(pickle.dumps([])), window, False), plain + ", _key string, n_words bigint, hit_words array<int>, items array<string>").drop("hit_words", "items")
+    keyed = texts.withColumn(key, text_key(id_col, text_col))
+    counted = keyed.mapInArrow(_search(spark.sparkContext.broadcast(pickle.dumps([])), window, False, text), with_fields(keyed.drop(text), found)).drop("hit_words", "items")
     hits = None
     for block in range(blocks):
         rows = dealt.filter(F.col("block") == block).collect()
-        own = keyed.select("_key", "_text").mapInArrow(_search(shared(rows), window, True), "_key string, n_words bigint, hit_words array<int>, items array<string>").drop("n_words")
+        own = keyed.select(key, text).mapInArrow(_search(shared(rows), window, True, text), with_fields(keyed.select(key), found)).drop("n_words")
         hits = own if hits is None else hits.unionByName(own)
     ranked = hits.dropDuplicates()  # equal rows of documents give equal hits
-    united = ranked.groupBy("_key").agg(
+    united = ranked.groupBy(key).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    joined = counted.join(united, "_key", "left").drop("_key")
+    joined = counted.join(united, key, "left").drop(key)
     return joined.withColumn("hit_words", F.coalesce("hit_words", F.expr("cast(array() as array<int>)"))).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
 
 

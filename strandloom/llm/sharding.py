@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spare
 
 ROUNDS = 6
 WALKS = 64
@@ -101,24 +101,25 @@ def with_row_numbers(df: DataFrame, order: list[str], scratch: Scratch) -> tuple
     key with a third of all rows still spreads over partitions. The dealt rows are written to the
     shared folder, so a later retry sees the same partitions.
     """
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    place, within, part = spare(df, "_place", "_within", "_part")
+    placed = df.withColumn(place, F.monotonically_increasing_id())
     dealt = (
-        placed.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order], F.col("_place"))
-        .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order], F.col("_place"))
-        .withColumn("_within", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_within", 33))
-        .withColumn("_within", F.col("_within").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_place")
+        placed.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order], F.col(place))
+        .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order], F.col(place))
+        .withColumn(within, F.monotonically_increasing_id())
+        .withColumn(part, F.shiftright(within, 33))
+        .withColumn(within, F.col(within).bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop(place)
     )
     dealt = scratch.save(dealt, "numbered")
-    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    counts = {r["part"]: r["n"] for r in dealt.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
-    for part in range(max(counts, default=-1) + 1):
+    for number in range(max(counts, default=-1) + 1):
         starts.append(total)
-        total += counts.get(part, 0)
+        total += counts.get(number, 0)
     # one number a partition, whatever the number of rows
-    start = F.element_at(F.expr(f"array({', '.join(f'{s}L' for s in starts) or '0L'})"), (F.col("_part") + 1).cast("int"))
-    return dealt.withColumn("row_number", start + F.col("_within")).drop("_part", "_within"), total
+    start = F.element_at(F.expr(f"array({', '.join(f'{s}L' for s in starts) or '0L'})"), (F.col(part) + 1).cast("int"))
+    return dealt.withColumn("row_number", start + F.col(within)).drop(part, within), total
 
 
 def shard_documents(
@@ -164,14 +165,14 @@ def write_shards(documents: DataFrame, path: str, shards: int = 40, seed: int =
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = documents.withColumn("_text_md5", F.md5(text))
-    numbered, n = with_row_numbers(keyed, [id_col, "_text_md5"], Scratch(spark, "sharding"))
-    position = Permutation(n, seed).column("row_number")
+    documents = documents.drop("shard", "slot", "row_number")
+    digest, at = spare(documents, "_text_md5", "_position")
+    numbered, n = with_row_numbers(documents.withColumn(digest, F.md5(text)), [id_col, digest], Scratch(spark, "sharding"))
     (
-        numbered.withColumn("_position", position)
-        .withColumn("shard", (F.col("_position") % shards).cast("int"))
-        .withColumn("slot", F.expr(f"_position div {shards}"))
-        .drop("_text_md5", "_position", "row_number")
+        numbered.withColumn(at, Permutation(n, seed).column("row_number"))
+        .withColumn("shard", (F.col(at) % shards).cast("int"))
+        .withColumn("slot", F.expr(f"{at} div {shards}"))
+        .drop(digest, at, "row_number")
         .repartition(shards, "shard")
         .sortWithinPartitions("shard", "slot")
         .write.mode("overwrite")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, string_bytes, text_key
+from .common import Scratch, slices, spare, string_bytes, text_key, with_fields
 
 SEGMENTS, SEGMENT_BITS = 32, 2
 #: The chance that two random two-bit counts agree.
@@ -65,15 +65,15 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = string_bytes(batch.column("_text"))
+            raw, at = string_bytes(batch.column(text_col))
             for a, b in slices(at, SLICE_BYTES):
                 data, own = raw[at[a] : at[b]].tobytes(), (at[a : b + 1] - at[a]).tolist()
                 prints = np.array([fingerprint(data[x:y], shingle) for x, y in zip(own, own[1:])], np.uint64).view(np.int64)
                 rest = batch.slice(a, b - a)
-                names = [c for c in rest.schema.names if c != "_text"]
+                names = [c for c in rest.schema.names if c != text_col]
                 yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in names), pa.array(prints)], [*names, "fp"])
 
     return run
@@ -82,8 +82,8 @@ def _fingerprints(shingle: int):
 def with_fingerprints(documents: DataFrame, shingle: int = 4, text_col: str = "text") -> DataFrame:
     """All columns of ``documents`` plus ``fp`` long, the fingerprint's bits; null and empty texts get 0."""
     documents = documents.drop("fp")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields), "fp bigint"])
-    return documents.withColumn("_text", F.col(text_col)).mapInArrow(_fingerprints(shingle), schema)
+    (text,) = spare(documents, "_text")
+    return documents.withColumn(text, F.col(text_col)).mapInArrow(_fingerprints(shingle, text), with_fields(documents, "fp bigint"))
 
 
 def counts_of(prints: np.ndarray) -> np.ndarray:
@@ -407,9 +407,10 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5,
 def _one_of_each(documents: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The document of the smallest id of each group (null ids last), then text digest; of rows with equal ids and texts one, whichever."""
     best = groups.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_key")).alias("best"))
-    chosen = Scratch(documents.sparkSession, "chosen").save(best.select(F.col("best.row_key").alias("_key")), "keys")
-    keyed = documents.withColumn("_key", F.unhex(text_key(id_col, text_col)))
-    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    (key,) = spare(documents, "_key")
+    chosen = Scratch(documents.sparkSession, "chosen").save(best.select(F.col("best.row_key").alias(key)), "keys")
+    keyed = documents.withColumn(key, F.unhex(text_key(id_col, text_col)))
+    return keyed.join(chosen, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def keep_one(documents: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
