@@ -13,9 +13,13 @@ suffixes of a whole corpus needs all of it in one place, so the sort is cut up b
    suffixes at its window starts are sorted: a merge sort whose comparisons find the common
    extension of two suffixes by binary search over the prefix hashes. Neighbours with a common
    extension of 200 bytes are verified byte by byte. Only suffixes with the same anchor and offset
-   are compared. Anchors with over ``most_kinds`` kinds of segments are not sorted in one task:
-   a binary search over halved blocks of windows counts digests in shuffles with partial sums.
+   are compared. A group of over ``most_kinds`` kinds of segments is not brought into one task: its
+   windows are cut into halved blocks of offsets, and each half is grouped by the bytes that all
+   its windows share, until the groups are small enough to be sorted.
 4. The covered bytes of a document are the union of its repeated windows.
+
+Runs of a short period (one letter, a repeated word) hold few different windows: the first period
+stands for all, and the run is covered as a whole.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import filter_bits, probes, test_bits, twice_filter
-from .common import Scratch, slices, string_bytes, text_key
+from .common import Scratch, slices, spare, split_hot, string_bytes, text_key, with_fields
 
 BASE = 0x9E3779B97F4A7C15 | 1
 WIDTH, GRAM = 200, 64
@@ -72,12 +77,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def segments_of(raw: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text number, first window start, windows, anchor place, anchor hash) of each segment.
+def segments_of(raw: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, int]]]:
+    """(text number, first window start, windows, anchor place, anchor hash) of each segment, and the runs (text number, start, end) of a short period.
 
-    ``bounds`` are the n + 1 bounds of the texts in ``raw``; windows do not cross them.
+    ``bounds`` are the n + 1 bounds of the texts in ``raw``; windows do not cross them. All windows
+    of a run repeat; those that equal one of its first period are in no segment.
     """
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64)), []
     n = len(raw) - width + 1
     if n <= 0:
         return none
@@ -101,7 +107,17 @@ def segments_of(raw: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: i
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, n))
     starts, sizes = starts[valid[starts]], sizes[valid[starts]]
-    return text[starts], starts, sizes, anchor[starts], grams[anchor[starts]]
+    at, runs, keep = anchor[starts], [], np.ones(len(starts), bool)
+    step, of_text = np.diff(at), text[starts]
+    steady = (grams[at[1:]] == grams[at[:-1]]) & (of_text[1:] == of_text[:-1]) & (step > 0) & (step <= gram)
+    if steady.any():  # the same gram again and again: a short period
+        ends = starts + sizes - 1
+        for period, first, last in zip(*(x.tolist() for x in _runs(steady, step, np.arange(len(step)))), strict=True):
+            low, high = int(at[first]), int(at[last + 1]) + gram
+            if high - low - width + 1 >= 2 * period and (raw[low + period : high] == raw[low : high - period]).all():
+                runs.append((int(of_text[first]), low, high))
+                keep[np.searchsorted(starts, low + period) : np.searchsorted(ends, high - width, side="right")] = False
+    return tuple(x[keep] for x in (of_text, starts, sizes, at, grams[at])), runs
 
 
 def _segment_rows(width: int, gram: int):
@@ -116,7 +132,14 @@ def _segment_rows(width: int, gram: int):
                 for first, last, x, y in parts:
                     own = raw[x:y]
                     bounds = np.clip(at[first : last + 1], x, y) - x
-                    text, start, size, anchor, hashes = segments_of(own, bounds, width, gram)
+                    (text, start, size, anchor, hashes), runs = segments_of(own, bounds, width, gram)
+                    if runs:  # rows with n = -1 and the run's length in rel
+                        who, low, high = (np.array(v) for v in zip(*runs, strict=True))
+                        zero = pa.array(np.zeros(len(runs), np.int64))
+                        yield pa.RecordBatch.from_arrays(
+                            [keys.take(pa.array(who + first)), pa.array(low + x - at[who + first]), pa.array(np.full(len(runs), -1, np.int32)), pa.array((high - low).astype(np.int32)), zero, zero, zero],
+                            ["key", "at", "n", "rel", "anchor", "kind1", "kind2"],
+                        )
                     if not len(start):
                         continue
                     data, rel = own.tobytes(), anchor - start
@@ -278,21 +301,26 @@ def _runs(flags: np.ndarray, segment: np.ndarray, window: np.ndarray) -> tuple[n
     return s[first], w[first], w[last]
 
 
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    """Whether a row begins a new group (g1, g2)."""
+    groups = np.stack([rows.column(c).to_numpy() for c in ("g1", "g2")])
+    return np.concatenate([[True], (groups[:, 1:] != groups[:, :-1]).any(axis=0)])
+
+
 def _sorted_repeats(width: int, most_bytes: int = 1 << 21):
-    """Over rows sorted by anchor: (key, low, high) of repeated bytes in segments that have no whole copy."""
+    """Over rows sorted by group and kind: (key, low, high) of repeated bytes in segments that have no whole copy."""
 
     def repeats(rows: pa.Table) -> pa.RecordBatch | None:
-        kinds = np.stack([rows.column(c).to_numpy() for c in ("anchor", "kind1", "kind2")])
+        kinds = np.stack([rows.column(c).to_numpy() for c in ("g1", "g2", "kind1", "kind2")])
         keep = np.ones(rows.num_rows, bool)  # repeated rows of documents hand in a segment more than once
         keep[1:] = (kinds[:, 1:] != kinds[:, :-1]).any(axis=0)
         rows = rows.filter(pa.array(keep))
-        anchors = kinds[0][keep]
         n, rel, at, copies = (rows.column(c).to_numpy() for c in ("n", "rel", "at", "copies"))
         raw, bounds = string_bytes(rows.column("bytes"))
         raw, bounds = raw[bounds[0] : bounds[-1]], bounds - bounds[0]
         segment = np.repeat(np.arange(len(n)), n)
         window = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-        number = np.cumsum(np.concatenate([[0], (anchors[1:] != anchors[:-1]).astype(np.int64)]))
+        number = np.cumsum(_group_starts(rows).astype(np.int64))
         group = number[segment] * width + (rel[segment] - window)
         flags = Suffixes(raw, width).repeated(bounds[segment] + window, group)
         flags &= copies[segment] == 1  # the others are repeated as a whole
@@ -312,8 +340,7 @@ def _sorted_repeats(width: int, most_bytes: int = 1 << 21):
                 if size < most_bytes:
                     continue
                 table = pa.Table.from_batches(held)
-                anchors = table.column("anchor").to_numpy()
-                whole = int(np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))[-1])
+                whole = int(np.flatnonzero(_group_starts(table))[-1])
                 if whole:
                     if (found := repeats(table.slice(0, whole))) is not None:
                         yield found
@@ -368,66 +395,99 @@ def _nodes(width: int, block: int, halved: bool):
     return run
 
 
-def halved_repeats(segments: DataFrame, scratch: Scratch, width: int, gram: int) -> DataFrame:
-    """(key, low, high) for anchors with very many kinds of segments, without bringing a group together.
+def _clipped(width: int, block: int):
+    """Nodes as segments of their own: the windows of a block, grouped by its core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n, rel, first = (batch.column(c).to_numpy() for c in ("at", "n", "rel", "first"))
+            low, high = np.maximum(rel - n + 1, first), np.minimum(rel, first + block - 1)  # offsets; the largest is the first window
+            cuts = zip(batch.column("bytes").to_pylist(), (rel - high).tolist(), (rel - low + width).tolist(), strict=True)
+            copies = np.where(batch.column("settled").to_numpy(zero_copy_only=False), 2, batch.column("times").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("core1", "core2", "hull1", "hull2", "key")), pa.array(at + rel - high), pa.array((high - low + 1).astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(copies.astype(np.int64)), pa.array([d[x:y] for d, x, y in cuts], pa.binary())],
+                ["g1", "g2", "kind1", "kind2", "key", "at", "n", "rel", "copies", "bytes"],
+            )
+
+    return run
+
+
+SORTED = "g1 bigint, g2 bigint, kind1 bigint, kind2 bigint, key binary, at bigint, n int, rel int, copies bigint, bytes binary"
+
+
+def _join_counted(left: DataFrame, counts: DataFrame, count_col: str, keys: list[str], total: int) -> DataFrame:
+    """An inner join with keys whose numbers of rows in ``left`` (``total`` rows) are known: the few that can be large by broadcast."""
+    hot, rest = split_hot(counts, count_col, total)
+    return left.join(F.broadcast(hot), keys).unionByName(left.join(rest, keys))
+
+
+def halved(segments: DataFrame, scratch: Scratch, width: int, gram: int, most_kinds: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans, rows to sort) of groups with very many kinds of segments, without bringing a group together.
 
-    A distributed binary search for common extensions: hulls are counted (partial sums before the
-    shuffle); where one core has several hulls, one node of each hull is halved and counted again.
+    Hulls are counted (partial sums before the shuffle): those that occur twice repeat as a whole.
+    Where one core has several hulls, one node of each goes to the sort, or, where there are over
+    ``most_kinds``, is halved and grouped again.
     """
     block = 1 << max(0, min((width - gram + 1).bit_length() - 1, (width // 2).bit_length() - 1))
-    spans, halved, level = None, False, segments
+    spans, rows, split, level = [], [], False, segments
     hull, core = ["hull1", "hull2", "core1", "core2"], ["core1", "core2"]
     while block:
-        nodes = scratch.save(level.mapInArrow(_nodes(width, block, halved), NODE), f"nodes{block}")
+        nodes = scratch.save(level.mapInArrow(_nodes(width, block, split), NODE), f"nodes{block}")
         one = F.min(F.struct("settled", "key", "at", "n", "rel", "bytes", "first")).alias("one")
         hulls = scratch.save(nodes.groupBy(*hull).agg(F.count("*").alias("times"), one), f"hulls{block}")
-        often = hulls.filter("times > 1").select(*hull)
+        often = hulls.filter("times > 1").select(*hull, "times")
         offset = F.least(F.col("rel"), F.col("first") + block - 1)  # the largest offset is the first window
         begin = F.col("at") + F.col("rel") - offset
         end = F.col("at") + F.col("rel") - F.greatest(F.col("rel") - F.col("n") + 1, F.col("first")) + width
-        own = nodes.filter("not settled").join(often, hull).select("key", begin.alias("low"), end.alias("high"))
-        spans = own if spans is None else spans.unionByName(own)
-        open_cores = scratch.save(hulls.groupBy(*core).agg(F.count("*").alias("hulls")).filter("hulls > 1").select(*core), f"cores{block}")
-        level = hulls.join(open_cores, core).select("one.*", "times").withColumn("settled", F.col("settled") | (F.col("times") > 1)).drop("times")
-        block, halved = block // 2, True
-    return spans
+        spans.append(_join_counted(nodes.filter("not settled"), often, "times", hull, nodes.count()).select("key", begin.alias("low"), end.alias("high")))
+        cores = scratch.save(hulls.groupBy(*core).agg(F.count("*").alias("hulls")).filter("hulls > 1"), f"cores{block}")
+        level = _join_counted(hulls, cores, "hulls", core, hulls.count()).select(*hull, "times", "hulls", "one.*")
+        rows.append(level.filter(F.col("hulls") <= most_kinds).mapInArrow(_clipped(width, block), SORTED))
+        if (cores.agg(F.max("hulls")).first()[0] or 0) <= most_kinds:
+            break
+        level = level.filter(F.col("hulls") > most_kinds).withColumn("settled", F.col("settled") | (F.col("times") > 1)).drop("times", "hulls", *hull)
+        block, split = block // 2, True
+    return spans, rows
 
 
 def repeated_spans(documents: DataFrame, scratch: Scratch, width: int, gram: int, most_kinds: int, bits_each: int, max_filter_bits: int) -> DataFrame:
     """(key, low, high): bytes low..high-1 of the documents with that key are covered by repeated windows."""
     spark = documents.sparkSession
-    rows = scratch.save(documents.mapInArrow(_segment_rows(width, gram), SEGMENT), "segments")
+    found = scratch.save(documents.mapInArrow(_segment_rows(width, gram), SEGMENT), "segments")
+    runs = scratch.save(found.filter("n < 0").select("key", F.col("at").alias("low"), (F.col("at") + F.col("rel")).alias("high")), "runs")
+    rows = found.filter("n > 0")
     bits = filter_bits(rows.count(), bits_each, max_filter_bits)
     shared = spark.sparkContext.broadcast(twice_filter(rows.select("anchor"), _anchor_hashes, bits))
     suspects = scratch.save(rows.mapInArrow(_suspected(shared, bits), SEGMENT), "suspects")
     scratch.drop("segments")
     kind = ["anchor", "kind1", "kind2"]
     kinds = scratch.save(suspects.groupBy(*kind).agg(F.count("*").alias("copies"), F.min(F.struct("key", "at", "n", "rel")).alias("one")), "kinds")
-    whole = suspects.join(kinds.filter("copies > 1").select(*kind), kind).select("key", F.col("at").alias("low"), (F.col("at") + F.col("n") + width - 1).alias("high"))
+    whole = _join_counted(suspects, kinds.filter("copies > 1").select(*kind, "copies"), "copies", kind, suspects.count())
+    whole = whole.select("key", F.col("at").alias("low"), (F.col("at") + F.col("n") + width - 1).alias("high"))
     shared_anchors = scratch.save(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "anchors")
-    mixed_kinds = kinds.join(shared_anchors, "anchor").select(F.col("one.key").alias("key"), F.struct("one.at", "one.n", "one.rel", *kind, "copies", "kinds").alias("item"))
+    mixed_kinds = _join_counted(kinds, shared_anchors, "kinds", ["anchor"], kinds.count()).select(F.col("one.key").alias("key"), F.struct("one.at", "one.n", "one.rel", *kind, "copies", "kinds").alias("item"))
     lists = mixed_kinds.groupBy("key").agg(F.collect_list("item").alias("list"))  # segments of one document
-    fetched = documents.join(lists, "key").mapInArrow(_with_bytes(width), WITH_BYTES)
-    fetched = scratch.save(fetched, "fetched")
-    small, large = fetched.filter(F.col("kinds") <= most_kinds), fetched.filter(F.col("kinds") > most_kinds)
-    spans = "key binary, low bigint, high bigint"
-    by_sort = small.repartition("anchor").sortWithinPartitions(*kind).mapInArrow(_sorted_repeats(width), spans)
-    if large.isEmpty():
-        return whole.unionByName(by_sort)
-    by_count = halved_repeats(large.dropDuplicates(kind), scratch, width, gram)
-    return whole.unionByName(by_sort).unionByName(by_count)
-
-
-def _cut():
+    fetched = scratch.save(documents.join(lists, "key").mapInArrow(_with_bytes(width), WITH_BYTES), "fetched")
+    small = fetched.filter(F.col("kinds") <= most_kinds)
+    spans, to_sort = [], [small.select(F.col("anchor").alias("g1"), F.lit(0).cast("long").alias("g2"), "kind1", "kind2", "key", "at", "n", "rel", "copies", "bytes")]
+    large = fetched.filter(F.col("kinds") > most_kinds)
+    if not large.isEmpty():
+        spans, more = halved(large.dropDuplicates(kind), scratch, width, gram, most_kinds)
+        to_sort += more
+    by_sort = reduce(DataFrame.unionByName, to_sort).repartition("g1", "g2").sortWithinPartitions("g1", "g2", "kind1", "kind2").mapInArrow(_sorted_repeats(width), "key binary, low bigint, high bigint")
+    return reduce(DataFrame.unionByName, [runs, whole, by_sort, *spans])
+
+
+def _cut(text_col: str, spans_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, removed, spans, kept, size = [], [], [], [], 0
             done = 0
             for row in range(batch.num_rows):
-                text = batch.column("_text")[row].as_py() or ""
+                text = batch.column(text_col)[row].as_py() or ""
                 data = text.encode()
                 own = []
-                for span in sorted((s["low"], s["high"]) for s in batch.column("_spans")[row].as_py() or ()):
+                for span in sorted((s["low"], s["high"]) for s in batch.column(spans_col)[row].as_py() or ()):
                     if own and span[0] <= own[-1][1]:
                         own[-1][1] = max(own[-1][1], span[1])
                     else:
@@ -444,7 +504,7 @@ def _cut():
                 size += len(data)
                 if size > 1 << 25 or row + 1 == batch.num_rows:
                     part = batch.slice(done, row + 1 - done)
-                    names = [c for c in part.schema.names if c not in ("_text", "_spans")]
+                    names = [c for c in part.schema.names if c not in (text_col, spans_col)]
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                     yield pa.RecordBatch.from_arrays(
                         [*(part.column(c) for c in names), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
@@ -479,10 +539,10 @@ def remove_repeats(
     key = F.unhex(text_key(id_col, text_col))
     long_enough = documents.filter(F.octet_length(text_col) >= width).select(key.alias("key"), F.col(text_col).alias("text"))
     spans = repeated_spans(long_enough, scratch, width, gram, most_kinds, bits_each, max_filter_bits)
-    lists = spans.dropDuplicates().groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))  # of one document
-    joined = documents.withColumn("_text", F.col(text_col)).withColumn("_key", key).join(lists.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields), "n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"])
-    return joined.mapInArrow(_cut(), schema)
+    text_, spans_, key_ = spare(documents, "_text", "_spans", "_key")
+    lists = spans.dropDuplicates().groupBy(F.col("key").alias(key_)).agg(F.collect_list(F.struct("low", "high")).alias(spans_))  # of one document
+    joined = documents.withColumn(text_, F.col(text_col)).withColumn(key_, key).join(lists, key_, "left").drop(key_)
+    return joined.mapInArrow(_cut(text_, spans_), with_fields(documents, "n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"))
 
 
 def digests(cut: DataFrame) -> DataFrame:

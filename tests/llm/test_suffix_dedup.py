@@ -28,7 +28,7 @@ def passages():
 @pytest.mark.parametrize(("width", "gram"), [(30, 8), (13, 13), (200, 64)])
 def test_matches_brute_force(spark, width, gram, most_kinds):
     rows = passages() + [(900, passages()[0][1] * 20), (901, passages()[1][1] * 9 + "q")]
-    df = spark.createDataFrame([(a, b, "s") for a, b in rows], "doc_id long, text string, spans string").repartition(3)
+    df = spark.createDataFrame([(a, b, "s", 1, 2, 3) for a, b in rows], "doc_id long, text string, spans string, _text int, _spans int, _key int").repartition(3)
     got = suffix_dedup.digests(suffix_dedup.remove_repeats(df, width, gram, most_kinds=most_kinds))
     key = lambda r: tuple(map(str, r))
     want = suffix_dedup.brute_force(rows, width)
@@ -76,3 +76,30 @@ def test_collisions_fall_back_to_bytes(monkeypatch):
         counts[raw.tobytes()[p : p + 3]] = counts.get(raw.tobytes()[p : p + 3], 0) + 1
     want = [counts[raw.tobytes()[p : p + 3]] > 1 for p in places]
     assert s.repeated(places, np.zeros(10, np.int64)).tolist() == want
+
+
+@pytest.mark.parametrize("most_kinds", [512, 2])
+def test_short_periods_match_brute_force(spark, most_kinds):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            unit = rng.choice(["z", "ab", "abc", "xyzzy", "0123456789", "q" * 7 + "r"])
+            turn = rng.randint(0, len(unit) - 1)
+            parts.append("".join(rng.choice("abcdef") for _ in range(rng.randint(0, 25))))
+            parts.append(((unit[turn:] + unit[:turn]) * 80)[: rng.choice([28, 29, 30, 31, 32, 35, 40, 47, 60, 75])])
+        rows.append((i, "".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.digests(suffix_dedup.remove_repeats(df, 30, 8, most_kinds=most_kinds))
+    assert sorted(map(tuple, got.collect())) == sorted(suffix_dedup.brute_force(rows, 30))
+
+
+def test_a_megabyte_of_one_letter_and_of_a_short_period(spark):
+    for unit in ("z", "lorem ipsum, "):
+        raw = np.frombuffer((unit * 1_000_000)[:1_000_000].encode(), np.uint8)
+        (_, _, size, _, _), runs = suffix_dedup.segments_of(raw, np.array([0, len(raw)]))
+        assert len(size) < 200 and len(runs) == 1 and runs[0][2] - runs[0][1] > 999_000
+    rows = [(1, "z" * 1_000_000), (2, "lorem ipsum, " * 80_000), (3, "z" * 200), (4, "z" * 199), (5, "x" * 199 + "lorem ipsum, " * 17)]
+    got = {r.doc_id: r for r in suffix_dedup.digests(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [(got[i].n_bytes - got[i].n_removed, got[i].n_spans) for i in range(1, 6)] == [(0, 1), (0, 1), (0, 1), (199, 0), (199, 1)]
