@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Scratch, spare, split_hot, with_fields
 
@@ -46,18 +47,18 @@ def digest_of(unit: str) -> tuple[bytes, int]:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), len(words)
 
 
-UNIT = "d1 bigint, d2 bigint, id string, text_hash bigint, row bigint, at int, n int"
+UNIT = "d1 bigint, d2 bigint, id {id}, text_hash bigint, row bigint, at int"
 
 
 def _units(unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, rows, at, sizes = [], [], [], []
+            digests, rows, at = [], [], []
 
             def told():
                 two, take = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), pa.array(rows, pa.int64())
                 shared = [batch.column(c).take(take) for c in ("id", "text_hash", "row")]
-                return pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), *shared, pa.array(at, pa.int32()), pa.array(sizes, pa.int32())], ["d1", "d2", "id", "text_hash", "row", "at", "n"])
+                return pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), *shared, pa.array(at, pa.int32())], ["d1", "d2", "id", "text_hash", "row", "at"])
 
             for row, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
@@ -67,10 +68,9 @@ def _units(unit: str):
                         digests.append(digest)
                         rows.append(row)
                         at.append(i)
-                        sizes.append(n)
                 if len(digests) > 50_000:
                     yield told()
-                    digests, rows, at, sizes = [], [], [], []
+                    digests, rows, at = [], [], []
             if digests:
                 yield told()
 
@@ -140,10 +140,13 @@ def dedup_units(documents: DataFrame, unit: str = "line", min_words: int = 1, id
     documents = documents.drop("n_units", "n_removed", "removed_spans", "kept_text")
     row, text, repeated = spare(documents, "_row", "_text", "_repeated")
     numbered = scratch.save(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written: the numbers stay the same
-    inputs = numbered.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(row).alias("row"), F.col(text_col).alias("text"))
-    units = scratch.save(inputs.mapInArrow(_units(unit), UNIT), "units")
+    whole = isinstance(documents.schema[id_col].dataType, IntegralType)
+    id_type = "bigint" if whole else "string"
+    inputs = numbered.select(F.col(id_col).cast(id_type).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    units = scratch.save(inputs.mapInArrow(_units(unit), UNIT.format(id=id_type)), "units")
     number = F.expr("try_cast(id as decimal(38,0))")
-    rank = F.struct(number.isNull().alias("no_number"), number.alias("number"), "id", "text_hash", "row", "at")
+    of_id = [F.col("id").isNull().alias("no_id")] if whole else [number.isNull().alias("no_number"), number.alias("number")]
+    rank = F.struct(*of_id, "id", "text_hash", "row", "at")
     times = scratch.save(
         units.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(rank).alias("first")).filter("times > 1").select("d1", "d2", "times", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")),
         "repeated",
