@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .composition import words
@@ -54,3 +54,62 @@ def poly_clip(seqs: DataFrame, width: int, least: int) -> DataFrame:
     stop = F.when(F.col("a") >= F.col("t"), F.col("stop_a")).otherwise(F.col("stop_t"))
     clip = F.when(F.greatest("a", "t") < least, 0).otherwise(F.coalesce(stop, F.col("last") + 1) + width - 1)
     return own.select("id", clip.cast("int").alias("clip")).filter("clip > 0")
+
+
+def _with_ends(items: DataFrame) -> DataFrame:
+    """Adds whether a read is its contig's first (smallest start, then number) or last (largest end)."""
+    ends = items.groupBy("contig_id").agg(F.min(F.struct("start", "rec")).alias("first"), F.max("vend").alias("last"), F.max(F.struct("end", "rec")).alias("right"))
+    return items.join(ends, "contig_id").withColumn("leftmost", F.col("rec") == F.col("first.rec")).withColumn("at_end", F.col("vend") >= F.col("last")).withColumn("rightmost", F.col("rec") == F.col("right.rec"))
+
+
+def _clip_pair(found: DataFrame, left: Column, right: Column) -> DataFrame:
+    """Clips (bases before the first kept one, first base after the last kept one) that leave a base, inside the old clips."""
+    first = F.least(left, F.col("old_end") - 2)
+    second = F.greatest(right, F.col("old_start") + 2, first + 2)
+    return found.select("rec", first.cast("int").alias("left"), second.cast("int").alias("right"))
+
+
+def quality_clip_pairs(items: DataFrame, bases: DataFrame, width: int, least: int) -> DataFrame:
+    """Old clips moved inwards to the centre of the first window whose mean quality reaches ``least``.
+
+    A first window over the mean keeps the old clip. A contig's leftmost read keeps its left clip,
+    reads that reach its end keep their right clips, reads shorter than the window keep both.
+    """
+    half, total = width // 2, width * least
+    w = Window.partitionBy("rec").orderBy("pos")
+    rolled = bases.select("rec", "pos", "qual").withColumn("c", F.row_number().over(w) - 1).withColumn("s", F.sum("qual").over(w.rowsBetween(-half, half)))
+    n = F.col("length")
+    own = rolled.join(_with_ends(items).select("rec", "length", "leftmost", "at_end", (F.col("lclip") - 1).alias("old_start"), (F.col("rclip") + 1).alias("old_end")), "rec")
+    good = F.when(F.col("s") >= total, F.col("c"))
+    found = own.groupBy("rec", "length", "leftmost", "at_end", "old_start", "old_end").agg(
+        F.max(F.when(F.col("c") == half, F.col("s"))).alias("s_first"), F.max(F.when(F.col("c") == n - half - 1, F.col("s"))).alias("s_last"),
+        F.min(F.when((F.col("c") > half) & (F.col("c") <= n - half - 2), good)).alias("from_left"), F.max(F.when((F.col("c") >= half + 2) & (F.col("c") <= n - half - 2), good)).alias("from_right"),
+    )
+    short = n < width
+    left = F.when(short | F.col("leftmost") | (F.col("s_first") > total), F.col("old_start")).otherwise(F.greatest("old_start", F.coalesce("from_left", F.greatest(n - half - 2, F.lit(half + 1)))))
+    right = F.when(short | F.col("at_end") | (F.col("s_last") > total), F.col("old_end")).otherwise(F.least("old_end", F.coalesce("from_right", F.least(F.lit(half + 2), n - half - 2))))
+    return _clip_pair(found, left, right)
+
+
+def unknown_clip_pairs(items: DataFrame, bases: DataFrame) -> DataFrame:
+    """Clips from both old ends to the last place with the best score, +1 for an unknown and -1 for a known base.
+
+    A scan ends where the score falls under -10. A contig's leftmost and rightmost reads keep that side.
+    """
+    order = Window.partitionBy("rec").orderBy("pos")
+    own = bases.select("rec", "pos", "code").withColumn("i", F.row_number().over(order)).join(_with_ends(items).select("rec", "leftmost", "rightmost", (F.col("lclip") - 1).alias("old_start"), (F.col("rclip") + 1).alias("old_end")), "rec")
+    inside = own.filter((F.col("i") > F.col("old_start")) & (F.col("i") < F.col("old_end"))).withColumn("one", F.when(F.col("code") == 5, 1).when(F.col("code") < 4, -1).otherwise(0))
+
+    def scan(w: Window, place: Column, name: str) -> Column:
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        return F.sum("one").over(run).alias(f"score_{name}"), place.alias(f"place_{name}")
+
+    down = Window.partitionBy("rec").orderBy(F.desc("pos"))
+    scored = inside.select("*", *scan(order, F.col("i"), "left"), *scan(down, -F.col("i"), "right"))
+    before = lambda w, c: F.coalesce(F.min(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    scored = scored.withColumn("low_left", before(order, "score_left")).withColumn("low_right", before(down, "score_right"))
+    best = lambda side: F.max(F.when((F.col(f"low_{side}") >= -10) & (F.col(f"score_{side}") >= 0), F.struct(f"score_{side}", f"place_{side}"))).alias(side)
+    found = scored.groupBy("rec", "leftmost", "rightmost", "old_start", "old_end").agg(best("left"), best("right"))
+    left = F.when(F.col("leftmost") | F.col("left").isNull(), F.col("old_start")).otherwise(F.col("left.place_left"))
+    right = F.when(F.col("rightmost") | F.col("right").isNull(), F.col("old_end")).otherwise(-F.col("right.place_right"))
+    return _clip_pair(found, left, right)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +12,10 @@ from .composition import words
 
 def word_counts(seqs: DataFrame, k: int, both: bool = False, cap: int | None = None) -> DataFrame:
     """Counts of words, on both strands if asked; ``cap`` saturates them."""
-    found = words(seqs, k).select("word")
-    if both:
-        found = found.unionByName(words(seqs, k).select(S.reverse_complement(F.col("word")).alias("word")))
-    counts = found.groupBy("word").agg(F.count("*").alias("n"))
+    counts = words(seqs, k).groupBy("word").agg(F.count("*").alias("n"))
+    if both:  # the distinct words are complemented, not every occurrence
+        strands = F.array(F.col("word"), S.reverse_complement(F.col("word")))
+        counts = counts.select(F.explode(strands).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     return counts if cap is None else counts.withColumn("n", F.least("n", F.lit(cap)))
 
 
@@ -56,7 +54,7 @@ def exact_matches(seqs: DataFrame, probes: DataFrame, k: int, least: int) -> Dat
     """Maximal exact matches between sequences and probes: equal words grouped by diagonal into islands (S38: D24, D27)."""
     a = words(seqs, k).select(F.col("id").alias("id1"), F.col("pos").alias("p1"), "word")
     b = words(probes, k).select(F.col("id").alias("id2"), F.col("pos").alias("p2"), "word")
-    hits = a.join(b, "word").withColumn("diagonal", F.col("p1") - F.col("p2"))
+    hits = met(a, b).withColumn("diagonal", F.col("p1") - F.col("p2"))
     w = Window.partitionBy("id1", "id2", "diagonal").orderBy("p1")
     island = hits.withColumn("island", F.col("p1") - F.row_number().over(w))
     runs = island.groupBy("id1", "id2", "diagonal", "island").agg((F.min("p1") + 1).alias("pos1"), (F.min("p2") + 1).alias("pos2"), (F.count("*") + k - 1).alias("length"))
@@ -66,7 +64,7 @@ def exact_matches(seqs: DataFrame, probes: DataFrame, k: int, least: int) -> Dat
 def screened(seqs: DataFrame, probes: DataFrame, min_match: int) -> DataFrame:
     """Ids of sequences with an exact match of ``min_match`` bases to any probe."""
     bad = words(probes, min_match).select("word").distinct()
-    return words(seqs, min_match).join(bad, "word", "left_semi").select("id").distinct()
+    return met(words(seqs, min_match), bad, "left_semi").select("id").distinct()
 
 
 def word_probability(counts: DataFrame, k: int) -> Column:
@@ -82,5 +80,39 @@ def significant_hits(seqs: DataFrame, k: int, max_prob: float = 1e-6) -> DataFra
     return seqs.filter(F.length("seq") >= k).select("id", F.round(F.log10(chance), 6).alias("log_chance"), F.round(chance * F.length("seq"), 9).alias("expected"))
 
 
-def poisson_tail(mean: float, at_least: int) -> float:
-    return 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(at_least))
+def diagonal_hits(seqs: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """Equal words by pair of sequences and diagonal, len1 - p1 + p2 - 1, with both lengths and the chance p that two bases agree."""
+    shares = sum((F.pow(S.count_letter(F.col("seq"), b), F.lit(2)) for b in "CGT"), F.pow(S.count_letter(F.col("seq"), "A"), F.lit(2))) / F.pow(F.length("seq"), F.lit(2))
+    a = words(seqs.filter("length(seq) > 0").withColumn("len1", F.length("seq")).withColumn("p", shares), k, ["id", "len1", "p"]).withColumnsRenamed({"id": "id1", "pos": "p1"})
+    b = words(probes.withColumn("len2", F.length("seq")), k, ["id", "len2"]).withColumnsRenamed({"id": "id2", "pos": "p2"})
+    diagonal = F.col("len1") - F.col("p1") + F.col("p2") - 1
+    return met(a, b).groupBy("id1", "id2", diagonal.alias("diagonal"), "len1", "len2", "p").agg(F.count("*").alias("n"))
+
+
+def intercepts(diagonal: Column, len1: Column) -> list[Column]:
+    """Where a diagonal meets the axes, x along the first sequence."""
+    inside = diagonal < len1
+    return [F.when(inside, len1 - diagonal - 1).otherwise(0).alias("x"), F.when(inside, 0).otherwise(diagonal + 1 - len1).alias("y")]
+
+
+def significant_diagonals(hits: DataFrame, k: int, max_prob: float, most: int = 20) -> DataFrame:
+    """Diagonals whose hits are over chance (S31: D22): the Poisson tail with the diagonal's length times p**k as mean.
+
+    Beyond ``most`` hits the tail of ``most`` is taken, which is larger.
+    """
+    length = F.least(F.col("diagonal") + 1, F.col("len1"), F.col("len2"), F.col("len1") + F.col("len2") - 1 - F.col("diagonal"))
+    mean = length * F.pow(F.col("p"), F.lit(k))
+    below = F.aggregate(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(most)).cast("int") - 1), F.lit(0.0), lambda s, i: s + F.exp(-F.col("mean")) * F.pow(F.col("mean"), i) / F.factorial(i))
+    return hits.withColumn("mean", mean).withColumn("chance", 1 - below).filter(F.col("chance") < max_prob)
+
+
+def diagonal_zscores(hits: DataFrame, least: float = 3.0) -> DataFrame:
+    """Diagonals with a z-score of ``least`` or more among the diagonals of their pair that have hits."""
+    stats = hits.groupBy("id1", "id2").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("dev")).filter("dev > 0")
+    z = (F.col("n") - F.col("mean")) / F.col("dev")
+    return hits.join(stats, ["id1", "id2"]).filter(z >= least).select("id1", "id2", "diagonal", "n", F.round(z, 5).alias("z"))
+
+
+def met(a: DataFrame, b: DataFrame, how: str = "inner", most_rows: int = 2_000_000) -> DataFrame:
+    """A join by word; ``b`` is broadcast if its measured rows are within ``most_rows``, so the words of ``a`` need no shuffle."""
+    return a.join(F.broadcast(b) if b.limit(most_rows + 1).count() <= most_rows else b, "word", how)

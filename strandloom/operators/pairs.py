@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def mates(items: DataFrame) -> DataFrame:
-    """One row a template with two reads: ends 1 and 2 side by side.
+    """One row a pair: reads 1 and 2 of a template side by side, then 3 and 4, and so on.
 
-    The ends meet in one aggregation by template, so no self join is needed.
+    The reads meet in one aggregation by template and pair, so no self join is needed.
     """
     cols = ["rec", "contig_id", "start", "end", "comp", "mqual"]
-    ends = items.filter("end_no <= 2").groupBy("template").agg(*[F.max(F.when(F.col("end_no") == n, F.col(c))).alias(f"{c}{n}") for n in (1, 2) for c in cols], F.max("library").alias("library"))
-    return ends.filter("rec1 is not null and rec2 is not null")
+    of = lambda n, c: F.max(F.when(F.col("end_no") % 2 == n % 2, F.col(c))).alias(f"{c}{n}")
+    ends = items.groupBy("template", F.expr("(end_no - 1) div 2").alias("pair")).agg(*[of(n, c) for n in (1, 2) for c in cols], F.max("library").alias("library"))
+    return ends.filter("rec1 is not null and rec2 is not null").drop("pair")
 
 
 def spanning_pairs(pairs: DataFrame, min_mqual: int, min_freq: int, libraries: list[str] | None = None) -> DataFrame:
@@ -105,3 +106,14 @@ def contig_graph(pairs: DataFrame, ends: DataFrame, near: int) -> DataFrame:
         .groupBy(F.least("contig_id1", "contig_id2").alias("contig_a"), F.greatest("contig_id1", "contig_id2").alias("contig_b"))
         .agg(F.count("*").alias("n"), F.sum(F.when(F.col("comp1") == F.col("comp2"), -1).otherwise(1)).alias("sense"))
     )
+
+
+def region_support(pairs: DataFrame, width: int, most: int) -> DataFrame:
+    """Score of each boundary between regions (E53): pairs that point inwards across it confirm it, reads next to it whose mate is on another contig deny it."""
+    first_inward = F.when(F.col("comp1"), F.col("start2") <= F.col("start1")).otherwise(F.col("start1") <= F.col("start2"))
+    low, high = F.least("start1", "start2"), F.greatest("end1", "end2")
+    inside = pairs.filter((F.col("contig_id1") == F.col("contig_id2")) & (F.col("comp1") != F.col("comp2")) & (high - low <= most) & first_inward).withColumn("low", F.floor(low / width)).withColumn("high", F.floor(high / width)).filter("high > low")
+    confirms = inside.select(F.col("contig_id1").alias("contig_id"), F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("boundary"), F.lit(1).alias("score"))
+    away = pairs.filter("contig_id1 <> contig_id2")
+    one = lambda n: away.select(F.col(f"contig_id{n}").alias("contig_id"), F.when(F.col(f"comp{n}"), F.floor(F.col(f"start{n}") / width)).otherwise(F.floor(F.col(f"end{n}") / width) + 1).alias("boundary"), F.lit(-1).alias("score"))
+    return confirms.unionByName(one(1)).unionByName(one(2)).groupBy("contig_id", "boundary").agg(F.sum("score").alias("score"))

@@ -54,24 +54,30 @@ def quality_clips(reads: DataFrame, width: int = 30, mean: float = 15.0) -> Data
 
 
 def low_complexity(seq: str, word: int = 3, window: int = 48, level: int = 20) -> str:
-    """The sequence with windows of repeated triplets masked by '#' (S43): in each half-overlapping window the stretch
-    with the largest score 10 * (earlier counts of its triplets) / (triplets - 1), if over ``level``."""
+    """The sequence with windows of repeated triplets masked by '#' (S43).
+
+    In each half-overlapping window the stretch with the largest score, 10 * (earlier counts of its
+    triplets) div (offset of its last base), is masked if that is over ``level``. Triplets with
+    characters that are no letters do not count.
+    """
     out = list(seq)
-    for at in range(0, max(1, len(seq) - word), window // 2):
-        part = seq[at : at + window]
+    for at in range(0, max(1, len(seq) - word + 1), window // 2):
+        part = seq[at : at + window].upper()
+        triplets = [part[j : j + word] for j in range(len(part) - word + 1)]
         top, where = 0, (0, 0)
-        for i in range(len(part) - word):
+        for i in range(len(triplets)):
             counts: dict[str, int] = {}
             total = 0
-            for j in range(i, len(part) - word + 1):
-                triplet = part[j : j + word]
-                total += counts.get(triplet, 0)
-                counts[triplet] = counts.get(triplet, 0) + 1
-                if j > i and (score := 10 * total // (j - i)) > top:
-                    top, where = score, (i, j + word)
+            for j in range(i, len(triplets)):
+                if not triplets[j].isalpha():
+                    continue
+                if seen := counts.get(triplets[j], 0):
+                    total += seen
+                    if (score := 10 * total // (j - i + word - 1)) > top:
+                        top, where = score, (i, j + word)
+                counts[triplets[j]] = seen + 1
         if top > level:
-            for i in range(at + where[0], at + where[1]):
-                out[i] = "#"
+            out[at + where[0] : at + where[1]] = "#" * (where[1] - where[0])
     return "".join(out)
 
 

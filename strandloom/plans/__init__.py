@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def registered() -> dict:
-    from . import clipping, consensus, formats, reads, sequences
+    from . import clipping, consensus, edits, formats, lookups, matching, reads, sequences, statistics
 
     out: dict = {}
-    for module in (reads, sequences, consensus, clipping, formats):
+    for module in (reads, sequences, consensus, clipping, formats, lookups, matching, edits, statistics):
         out |= module.QUERIES
     return out

@@ -11,8 +11,8 @@ from strandloom.sources import adapters as A
 W = "WITH "
 VIS = f"WITH {A.ITEM}, {A.VISIBLE} "
 PAIRS = f"""WITH {A.ITEM}, pairs AS (
-  SELECT template, max(library) AS library, {', '.join(f'max(CASE WHEN end_no = {n} THEN {c} END) AS {d}{n}' for n in (1, 2) for c, d in (('rec', 'rec'), ('contig_id', 'contig_id'), ('"start"', 'start'), ('"end"', 'end'), ('comp', 'comp'), ('mqual', 'mqual')))}
-  FROM item WHERE end_no <= 2 GROUP BY template HAVING count(*) = 2
+  SELECT template, max(library) AS library, {', '.join(f'max(CASE WHEN end_no % 2 = {n % 2} THEN {c} END) AS {d}{n}' for n in (1, 2) for c, d in (('rec', 'rec'), ('contig_id', 'contig_id'), ('"start"', 'start'), ('"end"', 'end'), ('comp', 'comp'), ('mqual', 'mqual')))}
+  FROM item GROUP BY template, (end_no - 1) // 2 HAVING count(*) = 2
 ), status AS (
   SELECT template, library, CASE WHEN contig_id1 = contig_id2 THEN greatest(end1, end2) - least(start1, start2) END AS distance,
          CASE WHEN comp1 = comp2 THEN 'SAME' WHEN (CASE WHEN NOT comp1 AND comp2 THEN start1 < end2 ELSE start2 < end1 END) THEN 'INWARD' ELSE 'OUTWARD' END AS orientation,

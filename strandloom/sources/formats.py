@@ -15,9 +15,50 @@ def sniff(path: str) -> str:
     return known.get(name.rpartition(".")[2], "")
 
 
+def sniffed(name: Column) -> Column:
+    """The same over a column of names."""
+    end = F.regexp_extract(F.regexp_replace(F.lower(name), r"\.(gz|bz2|zst)$", ""), r"\.([a-z0-9]+)$", 1)
+    known = {"fasta": ("fa", "fasta", "fna"), "fastq": ("fq", "fastq"), "sam": ("sam",), "gff": ("gff", "gff3"), "agp": ("agp",), "exp": ("exp",)}
+    out = F.lit("")
+    for kind, ends in known.items():
+        out = F.when(end.isin(*ends), kind).otherwise(out)
+    return out
+
+
+#: Sequencing platforms and their codes.
+PLATFORMS = {"capillary": 1, "sanger": 1, "illumina": 2, "solexa": 2, "solid": 3, "ls454": 4, "454": 4, "helicos": 5, "iontorrent": 6, "pacbio": 7}
+
+
+def platform_code(name: Column) -> Column:
+    """The code of a platform's name, 0 for others."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PLATFORMS.items() for x in kv]), F.lower(name)), F.lit(0))
+
+
+def platform_of_name(name: Column) -> Column:
+    """The platform that a read's name looks like (A16): four colons or more, VAB_, 14 letters and digits, else capillary."""
+    colons = F.length(name) - F.length(F.replace(name, F.lit(":"), F.lit("")))
+    return F.when(colons >= 4, 2).when(name.startswith("VAB_"), 3).when(name.rlike("^[A-Z0-9]{14}$"), 4).otherwise(1)
+
+
+def annotation_tags(text: Column) -> Column:
+    """'start|end|strand|type|Note=text' in the annotation tag of an alignment."""
+    f = F.split(text, "[|]")
+    return F.array(F.struct(f[0].cast("long").alias("start"), f[1].cast("long").alias("end"), f[2].alias("strand"), f[3].alias("type"), F.regexp_extract(f[4], "^Note=(.*)$", 1).alias("note")))
+
+
+def parse_position(line: Column) -> Column:
+    """'name sense offset tolerance' of a directed assembly."""
+    f = F.split(line, " +")
+    return F.struct(f[0].alias("name"), f[1].alias("sense"), f[2].cast("long").alias("offset"), f[3].cast("int").alias("tolerance"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name (first word), description, seq (A4): records are split by '>' at a line's start, so files split in tasks."""
-    records = spark.read.option("lineSep", "\n>").text(path).filter("value <> ''")
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(path).filter("value <> ''"))
+
+
+def parse_fasta(records: DataFrame) -> DataFrame:
+    """Records in ``value``, with or without the leading '>'."""
     record = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "")
     head = F.substring_index(record, "\n", 1)
     body = F.when(F.contains(record, F.lit("\n")), F.regexp_replace(F.regexp_replace(record, r"^[^\n]*\n", ""), r"\s", "")).otherwise("")

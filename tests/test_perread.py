@@ -50,3 +50,10 @@ def test_low_complexity(spark):
     assert set(rows[1]) <= {"#", "A"} and rows[2] == ""
     pairs = spark.createDataFrame([(1, "ACGT", "ACGT"), (2, None, "A")], "id long, a string, b string")
     assert {r.id: r.score for r in perread.alignments(pairs).collect()} == {1: 4, 2: -4}
+
+
+def test_low_complexity_divides_by_the_last_base():
+    assert perread.low_complexity("ACGTTGCAAAAAAATCGGCTAC") == "ACGTTGCAAAAAAATCGGCTAC"  # scores 16
+    long = "ACGTTGC" + "A" * 30 + "TCGGCTAC"
+    assert "#" * 25 in perread.low_complexity(long) and perread.low_complexity(long).startswith("ACGTTG")
+    assert "#" not in perread.low_complexity("A-" * 40)
