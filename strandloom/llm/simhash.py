@@ -37,6 +37,8 @@ AGREE = 0.375
 SLICE_BYTES = 1 << 22
 #: Keys of a shingle set and the minimal hashes in each.
 BANDS, BAND_ROWS = 24, 4
+#: The sets and shingles of a chunk of a cell.
+CHUNK_SETS, CHUNK_SHINGLES = 4096, 1 << 21
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -363,14 +365,47 @@ def _alike(similarity: float):
     return run
 
 
+def _across_labels(similarity: float):
+    """Over the sets of one cell (or of two of its chunks): links that join labels whose sets are alike.
+
+    All sets but those of the most frequent label are compared with all sets of other labels, one
+    against all at a time; only links that join two labels are handed on.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        rows = rows.drop_duplicates("set").sort_values("set")
+        sets, chunks, sizes = (rows[c].to_numpy() for c in ("set", "chunk", "n"))
+        found, label = [], np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+        if len(rows) > 1 and label.any():
+            token = np.unique(np.concatenate(rows["hashes"].to_list()), return_inverse=True)[1]
+            starts, flags = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.zeros(len(token), np.int32)
+            most = np.bincount(label).argmax()
+            for at in np.flatnonzero(label != most):
+                own = token[starts[at] : starts[at] + sizes[at]]
+                flags[own] = 1
+                both = np.add.reduceat(flags[token], starts)
+                flags[own] = 0
+                alike = (both >= similarity * (sizes + sizes[at] - both) - 1e-9) & (label != label[at])
+                if i != j:
+                    alike &= chunks != chunks[at]
+                for other in np.unique(label[alike]):
+                    found.append((sets[at], sets[alike & (label == other)][0]))
+                    label[label == other] = label[at]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
 def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row_key, group): texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
     Equal sets are one from the start. Sets meet in the cells of ``BANDS`` keys of ``BAND_ROWS``
     minimal hashes each: a pair of similarity 0.8 misses all of them 3 times in a million, a closer
     one less often. All pairs of a cell that can still join two groups are compared: first those
-    with the cell's least member, then, where a cell still holds several groups, all others
-    between its groups. Texts without words are one group.
+    with the cell's least member, then, where a cell still holds several groups, the others
+    between its groups, inside tasks that hand on only what joins groups. Texts without words are
+    one group.
     """
     scratch = Scratch(documents.sparkSession, "copies")
     rows = documents.select(F.col(id_col).alias("id"), F.unhex(text_key(id_col, text_col)).alias("row_key"), F.col(text_col).alias("text"))
@@ -397,9 +432,16 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5,
     now = scratch.save(members.join(labels, members["set"] == labels["node"], "left").select("cell", "least", "set", "n", F.coalesce("label", "set").alias("label")), "labelled")
     # what was compared with the least member needs no second look
     open_cells = now.groupBy("cell").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("m")).filter("first <> last and m > 2").select("cell")
-    rest = scratch.save(now.join(open_cells, "cell").filter("set <> least"), "rest")
-    side = lambda x: rest.select("cell", F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"))
-    more = alike(side("a").join(side("b"), "cell").filter("label_a <> label_b"), "more")
+    rest = scratch.save(now.join(open_cells, "cell").filter("set <> least and n > 0").select("cell", "set", "n", "label"), "rest")
+    # a task gets a cell, or two chunks of a large one: every chunk meets every other
+    sizes = rest.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    dealt = (
+        rest.join(sizes, "cell")
+        .withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("cell", "set", "n", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    )
+    more = scratch.save(dealt.join(sets, "set").groupBy("cell", "i", "j").applyInPandas(_across_labels(similarity), "a bigint, b bigint"), "more")
     labels = components(links.unionByName(more), Scratch(documents.sparkSession, "copies"))
     return signed.join(labels, signed["set"] == labels["node"], "left").select(F.col("id").alias(id_col), "row_key", F.coalesce("label", "set").alias("group"))
 

@@ -56,3 +56,24 @@ def test_stage_keeps_one_of_texts_that_share_their_shingles(spark, table):
     assert got == expected(rows)
     fewer = sorted(r.doc_id for r in simhash.keep_one(docs).collect()) if table == "made" else got
     assert len(got) < len(fewer) or table != "made"
+
+
+def test_cells_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK_SETS", 3)
+    rows = made_rows()
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    assert sorted(r.doc_id for r in simhash.keep_one_copy(docs).collect()) == expected(rows)
+
+
+def test_links_across_labels():
+    import pandas as pd
+
+    base = list(range(100))
+    sets = {1: base, 2: base[:90], 3: base[:79], 4: base[20:], 5: [*range(200, 290)]}
+    frame = pd.DataFrame([(7, k, len(v), k if k > 2 else 1, k % 2, v) for k, v in sets.items()], columns=["cell", "set", "n", "label", "chunk", "hashes"])
+    found = simhash._across_labels(0.8)((7, 0, 0), frame)
+    assert {tuple(sorted(x)) for x in found.to_numpy().tolist()} <= {(2, 3), (1, 4)} and len(found) == 2
+    across = simhash._across_labels(0.8)((7, 0, 1), frame)
+    assert {tuple(sorted(x)) for x in across.to_numpy().tolist()} == {(2, 3), (1, 4)}
+    none = simhash._across_labels(0.8)((7, 0, 0), frame.head(2))
+    assert not len(none) and list(none.columns) == ["a", "b"]
