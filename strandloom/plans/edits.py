@@ -17,19 +17,22 @@ def shift_sql(source: str, id_: str, n: int) -> str:
     return f"s AS ({SHIFT.format(id=id_, n=n, floor=2500 if n > 0 else 2499, source=source)}) SELECT * FROM s WHERE new_end >= new_start"
 
 
-PLACE = (F.col("id") % 25 + 1).cast("int")
+
+def _place():
+    return (F.col("id") % 25 + 1).cast("int")
+
 
 QUERIES = {
     "k1_insert_bases": (
-        lambda s, d: A.seq(s, d).filter("length(seq) > 30").select("id", E.insert_bases(F.col("seq"), PLACE, F.lit("NN")).alias("seq")),
+        lambda s, d: A.seq(s, d).filter("length(seq) > 30").select("id", E.insert_bases(F.col("seq"), _place(), F.lit("NN")).alias("seq")),
         SEQ + "SELECT id, substr(seq, 1, CAST(id % 25 AS BIGINT)) || 'NN' || substr(seq, CAST(id % 25 + 1 AS BIGINT)) AS seq FROM seqs WHERE length(seq) > 30",
     ),
     "k2_delete_bases": (
-        lambda s, d: A.seq(s, d).filter("length(seq) > 30").select("id", E.delete_bases(F.col("seq"), PLACE, F.lit(3)).alias("seq")),
+        lambda s, d: A.seq(s, d).filter("length(seq) > 30").select("id", E.delete_bases(F.col("seq"), _place(), F.lit(3)).alias("seq")),
         SEQ + "SELECT id, substr(seq, 1, CAST(id % 25 AS BIGINT)) || substr(seq, CAST(id % 25 + 4 AS BIGINT)) AS seq FROM seqs WHERE length(seq) > 30",
     ),
     "k3_replace_base": (
-        lambda s, d: A.seq(s, d).filter("length(seq) > 30").select("id", E.replace_base(F.col("seq"), PLACE, F.lit("N")).alias("seq")),
+        lambda s, d: A.seq(s, d).filter("length(seq) > 30").select("id", E.replace_base(F.col("seq"), _place(), F.lit("N")).alias("seq")),
         SEQ + "SELECT id, substr(seq, 1, CAST(id % 25 AS BIGINT)) || 'N' || substr(seq, CAST(id % 25 + 2 AS BIGINT)) AS seq FROM seqs WHERE length(seq) > 30",
     ),
     "k5_delete_columns": (lambda s, d: E.shifted(A.item(s, d), F.lit(2500), -4).select("rec", "new_start", "new_end"), ITEM + ", " + shift_sql("item", "rec", -4)),
