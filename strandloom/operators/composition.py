@@ -24,17 +24,21 @@ def words(seqs: DataFrame, k: int, keep: list[str] = ["id"]) -> DataFrame:  # no
 
 
 def pair_counts(seqs: DataFrame) -> DataFrame:
-    """The 16 counts of each sequence, without a row a base: two different bases can't overlap themselves, so lengths
-    give their counts; the rest of a base's places, but for the sequence's last, are followed by the base itself."""
-    different = {(a, b): (F.length("seq") - F.length(F.replace("seq", F.lit(a + b), F.lit("")))) / 2 for a in "ACGT" for b in "ACGT" if a != b}
-    same = {a: S.count_letter(F.col("seq"), a) - F.endswith(F.col("seq"), F.lit(a)).cast("int") - sum(different[a, b] for b in "ACGT" if b != a) for a in "ACGT"}
-    counts = [F.struct(F.lit(a + b).alias("word"), (same[a] if a == b else different[a, b]).cast("long").alias("n")) for a in "ACGT" for b in "ACGT"]
-    return seqs.select(F.explode(F.array(*counts)).alias("x")).select("x.word", "x.n")
+    """The 16 counts over all sequences, without a row a base: two different bases can't overlap themselves, so lengths
+    give their counts; the rest of a base's places, but for a sequence's last, are followed by the base itself."""
+    pairs = [(a, b) for a in "ACGT" for b in "ACGT" if a != b]
+    sums = seqs.agg(
+        *[F.sum((F.length("seq") - F.length(F.replace("seq", F.lit(a + b), F.lit("")))) / 2).alias(a + b) for a, b in pairs],
+        *[F.sum(S.count_letter(F.col("seq"), a) - F.endswith(F.col("seq"), F.lit(a)).cast("int")).alias(a) for a in "ACGT"],
+    )
+    n = lambda a, b: F.col(a + b) if a != b else F.col(a) - sum(F.col(a + x) for x in "ACGT" if x != a)
+    counts = [F.struct(F.lit(a + b).alias("word"), F.coalesce(n(a, b), F.lit(0)).cast("long").alias("n")) for a in "ACGT" for b in "ACGT"]
+    return sums.select(F.explode(F.array(*counts)).alias("x")).select("x.word", "x.n")
 
 
 def dinucleotides(seqs: DataFrame) -> DataFrame:
     """Observed and expected percentages of pairs; the expectation leaves the last base of a sequence out."""
-    pairs = pair_counts(seqs).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
+    pairs = pair_counts(seqs).filter("n > 0")
     first = pairs.groupBy(F.substring("word", 1, 1).alias("base")).agg(F.sum("n").alias("m"))
     total = F.sum("n").over(Window.partitionBy())
     observed = pairs.withColumn("total", total)
