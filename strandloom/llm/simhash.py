@@ -411,13 +411,13 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5,
     rows = documents.select(F.col(id_col).alias("id"), F.unhex(text_key(id_col, text_col)).alias("row_key"), F.col(text_col).alias("text"))
     kind = documents.schema[id_col].dataType.simpleString()
     signed = scratch.save(rows.mapInArrow(_signatures(shingle), f"id {kind}, row_key binary, set bigint, n bigint, bands array<bigint>"), "signed")
-    distinct = signed.groupBy("set").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    dealt = scratch.save(distinct.select("set", "row_key", "n", F.explode("bands").alias("cell")), "dealt")
-    # cells of equal members are one
-    cells = dealt.groupBy("cell").agg(F.count("*").alias("m"), F.min("set").alias("least"), *[F.bit_xor(F.xxhash64("set", F.lit(i))).alias(f"x{i}") for i in (1, 2)]).filter("m > 1")
-    cells = scratch.save(cells.groupBy("m", "least", "x1", "x2").agg(F.min("cell").alias("cell")).select("cell", "least"), "cells")
-    members = scratch.save(dealt.join(cells, "cell").select("cell", "least", "set", "row_key", "n"), "members")
-    texts = members.groupBy("set").agg(F.min("row_key").alias("row_key"))
+    distinct = signed.groupBy("set").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    dealt = scratch.save(distinct.select("set", "n", F.explode("bands").alias("cell")), "dealt")
+    # cells of equal members are one; no more than BANDS cells have the same least member
+    cells = dealt.groupBy("cell").agg(F.count("*").alias("m"), F.min("set").alias("least"), F.bit_xor(F.xxhash64("set")).alias("x")).filter("m > 1")
+    cells = scratch.save(cells.groupBy("m", "least", "x").agg(F.min("cell").alias("cell")).select("cell", "least"), "cells")
+    members = scratch.save(dealt.join(cells, "cell").select("cell", "least", "set", "n"), "members")
+    texts = signed.join(members.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("row_key").alias("row_key"))
     named = rows.join(texts, "row_key").dropDuplicates(["set"]).select("set", "text")
     sets = scratch.save(named.mapInArrow(_sets(shingle), "set bigint, hashes array<bigint>"), "sets")
 
