@@ -38,7 +38,7 @@ SLICE_BYTES = 1 << 22
 #: Keys of a shingle set and the minimal hashes in each.
 BANDS, BAND_ROWS = 24, 4
 #: The sets and shingles of a chunk of a cell.
-CHUNK_SETS, CHUNK_SHINGLES = 4096, 1 << 21
+CHUNK_SETS, CHUNK_SHINGLES = 2048, 1 << 19
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -352,19 +352,6 @@ def _sets(shingle: int):
     return run
 
 
-def _alike(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("hashes_a"), batch.column("hashes_b"))):
-                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
-            yield batch.select(["a", "b"]).filter(pa.array(found))
-
-    return run
-
-
 def _across_labels(similarity: float):
     """Over the sets of one cell (or of two of its chunks): links that join labels whose sets are alike.
 
@@ -424,7 +411,8 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5,
     def alike(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.filter((F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (F.col("a") < F.col("b"))).select("a", "b").dropDuplicates()
         both = pairs.join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("hashes_b")), "b")
-        return scratch.save(both.mapInArrow(_alike(similarity), "a bigint, b bigint"), name)
+        shared, sizes = F.size(F.array_intersect("hashes_a", "hashes_b")), F.size("hashes_a") + F.size("hashes_b")
+        return scratch.save(both.filter(shared >= similarity * (sizes - shared) - 1e-9).select("a", "b"), name)
 
     sizes = members.groupBy("set").agg(F.first("n").alias("n_a")).withColumnRenamed("set", "a")
     links = alike(members.select(F.col("least").alias("a"), F.col("set").alias("b"), F.col("n").alias("n_b")).dropDuplicates().join(sizes, "a"), "links")
