@@ -32,6 +32,8 @@ from .common import Scratch, spare, text_key, with_fields
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 #: The mean length of a line that the filters are sized by; shorter lines only bring more suspects.
 BYTES_A_LINE = 64
+#: Documents whose lines a task holds at once.
+ROWS = 1024
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -55,7 +57,7 @@ def _line_hashes(min_chars: int):
         found: list[bytes] = []
         for text in batch.column(0):
             found.extend({k for k in line_keys(text.as_py()) if long_enough(k, min_chars)})
-            if len(found) > 200_000:
+            if len(found) > 20_000:
                 yield hashes_of(found)
                 found = []
         yield hashes_of(found)
@@ -66,7 +68,7 @@ def _line_hashes(min_chars: int):
 def _suspects(shared, bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(zlib.decompress(shared.value), np.uint8)
-        for batch in batches:
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             keys, docs, ids = [], [], batch.column(0)
             for row, text in enumerate(batch.column(1)):
                 own = list(dict.fromkeys(k for k in line_keys(text.as_py()) if long_enough(k, min_chars)))
@@ -107,7 +109,7 @@ def _cleaned(gone_of, hidden: list[str]):
                 n.append(a)
                 dropped.append(b)
                 kept.append(c)
-                if sum(map(len, kept[-64:])) > 1 << 25 or row + 1 == batch.num_rows:
+                if len(n) == ROWS or sum(map(len, kept[-64:])) > 1 << 25 or row + 1 == batch.num_rows:
                     done = row + 1 - len(n)
                     rest = batch.slice(done, len(n))
                     names = [c for c in rest.schema.names if c not in hidden]
