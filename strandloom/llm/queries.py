@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, resampling, sharding, simhash, suffix_dedup, toxicity, unit_dedup, vector_search
+from . import byte_bpe, codebooks, decontaminate, line_dedup, resampling, sharding, simhash, suffix_dedup, toxicity, unit_dedup, vector_search
 from .common import read_table
 
 
@@ -66,6 +66,11 @@ def op10_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(documents))
 
 
+def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, found = codebooks.compress(read_table(spark, sf_dir, "embeddings"))
+    return codebooks.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
 OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -85,6 +90,38 @@ SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM kept
 """
 
 
+def op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Assignments and means, round after round; codebooks as (part, entry, components)."""
+    assigned = """
+SELECT vec_id, p, arg_min(x, d * 256 + e) AS x, min(d * 256 + e) % 256 AS e, min(d * 256 + e) // 256 AS d
+FROM (SELECT vec_id, k.p, e, x, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts k JOIN book{0} b ON k.p = b.p)
+GROUP BY vec_id, p"""
+    means = """
+SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{1} b LEFT JOIN (
+  SELECT p, e, list(mean ORDER BY i) AS c FROM (
+    SELECT p, e, i, floor(sum(x[i]) / count(*))::BIGINT AS mean FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM chosen{1}) GROUP BY p, e, i) GROUP BY p, e
+) m ON b.p = m.p AND b.e = m.e"""
+    steps = []
+    for r in range(rounds + 1):
+        if r:
+            steps.append(f"book{r} AS MATERIALIZED ({means.format(r, r - 1)})")
+        steps.append(f"chosen{r} AS MATERIALIZED ({assigned.format(r)})")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, (SELECT unnest(range({parts})) AS p)
+), book0 AS MATERIALIZED (
+  SELECT p, e, c FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts) WHERE e < {entries}
+), {", ".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM chosen{rounds} GROUP BY vec_id
+)
+SELECT c.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM coded c JOIN kept k ON c.vec_id = k.vec_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_importance_resampling": op1_importance_resampling,
@@ -97,8 +134,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_anisotropic_search": op9_anisotropic_search,
         "op10_suffix_sort_dedup": op10_suffix_sort_dedup,
+        "op11_cover_tree_codes": op11_cover_tree_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op11_cover_tree_codes": op11_sql()}
