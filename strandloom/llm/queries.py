@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, codebooks, decontaminate, line_dedup, resampling, sharding, simhash, suffix_dedup, toxicity, unit_dedup, vector_search
+from . import byte_bpe, codebooks, decontaminate, language, line_dedup, resampling, sharding, simhash, suffix_dedup, toxicity, unit_dedup, vector_search
 from .common import read_table
 
 
@@ -71,6 +71,11 @@ def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
 
 
+def op12_output_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identified(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -135,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_anisotropic_search": op9_anisotropic_search,
         "op10_suffix_sort_dedup": op10_suffix_sort_dedup,
         "op11_cover_tree_codes": op11_cover_tree_codes,
+        "op12_output_code_language": op12_output_code_language,
     }
 
 
