@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, codebooks, decontaminate, language, line_dedup, resampling, sharding, simhash, suffix_dedup, toxicity, unit_dedup, vector_search
+from . import byte_bpe, codebooks, conversations, decontaminate, language, line_dedup, resampling, sharding, simhash, suffix_dedup, toxicity, unit_dedup, vector_search
 from .common import read_table
 
 
@@ -76,6 +76,11 @@ def op12_output_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op13_coalescing_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_table(spark, sf_dir, "conversations")
+    return conversations.digests(conversations.repair(conversations.damage(found)), found)
+
+
 OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -127,6 +132,69 @@ SELECT c.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BI
 FROM coded c JOIN kept k ON c.vec_id = k.vec_id"""
 
 
+OP13_SQL = r"""
+WITH RECURSIVE kinds AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), bits AS (  -- the key's bits, lowest first
+  SELECT *, list_transform(range(8 * len(k)), lambda i: (ascii(k[i // 8 + 1]) >> (i % 8)::INT) & 1) AS b FROM kinds
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, b::BIGINT[]), lambda s, x: CASE WHEN xor(s, x) & 1 = 1 THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END), 4294967295::BIGINT) % 20 AS kind
+  FROM bits
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM damaged
+), judged AS MATERIALIZED (
+  SELECT conv_id, n, turn, role, text, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS r0,
+         CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered
+), turns(state, r, after) AS (VALUES (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3), (0, 's', 1)),
+ahead AS (  -- up to two turns inserted before a row
+  SELECT a.s AS state, a.s AS there, '' AS edits, 0 AS cost FROM (VALUES (0), (1), (2), (3)) a(s)
+  UNION ALL SELECT state, after, 'I', 5 FROM turns WHERE r <> 's'
+  UNION ALL SELECT x.state, y.after, 'II', 10 FROM turns x JOIN turns y ON x.after = y.state WHERE x.r <> 's' AND y.r <> 's'
+), edits AS (  -- edit of a row: D, K by its role's initial, R to a turn of user or assistant
+  SELECT state, '?' AS r, 'D' AS e, there AS after, edits, cost + 2 AS cost FROM ahead
+  UNION ALL SELECT h.state, t.r, 'K', t.after, h.edits, h.cost FROM ahead h JOIN turns t ON h.there = t.state
+  UNION ALL SELECT h.state, '?', 'R', t.after, h.edits, h.cost + 1 FROM ahead h JOIN turns t ON h.there = t.state WHERE t.r <> 's'
+), search AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, 0 AS state, {'c': 0::BIGINT, 'a': ''} AS best FROM judged
+  UNION ALL
+  SELECT j.conv_id, j.n, e.after, min({'c': s.best.c + e.cost + CASE WHEN j.fault = 'truncated' AND e.e <> 'D' THEN 5 ELSE 0 END, 'a': s.best.a || e.edits || e.e})
+  FROM search s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.n = s.n + 1
+  JOIN edits e ON e.state = s.state AND e.r IN ('?', j.r) AND (e.e = 'D' OR j.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY j.conv_id, j.n, e.after
+), ended AS (
+  SELECT s.conv_id, min({'c': s.best.c + z.cost, 'a': s.best.a || z.edits}) AS best
+  FROM search s JOIN (SELECT conv_id, max(n) AS n FROM judged GROUP BY conv_id) m ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.n = m.n
+  JOIN ahead z ON z.state = s.state AND z.there IN (0, 3) GROUP BY s.conv_id
+), spelled AS (
+  SELECT conv_id, unnest(string_split(best.a, '')) AS e, unnest(range(len(best.a))) AS i FROM ended WHERE best.a <> ''
+), placed AS (
+  SELECT *, count(*) FILTER (WHERE e <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS n, count(*) FILTER (WHERE e <> 'D') OVER (PARTITION BY conv_id ORDER BY i) AS k FROM spelled
+), lines AS (
+  SELECT p.conv_id, p.k, j.role, p.e, CASE WHEN p.e = 'I' THEN '' ELSE j.text END AS text,
+         max(CASE WHEN p.k = 1 AND p.e = 'K' AND j.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS led
+  FROM placed p LEFT JOIN judged j ON p.conv_id IS NOT DISTINCT FROM j.conv_id AND p.n = j.n AND p.e <> 'I' WHERE p.e <> 'D'
+), texts AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k)) AS digest FROM lines GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE r0 || r NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+       coalesce(c.illegal, 0) AS illegal, coalesce(e.best.c, 0) AS cost, coalesce(e.best.a, '') AS audit, coalesce(t.digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts t ON o.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_importance_resampling": op1_importance_resampling,
@@ -141,8 +209,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_sort_dedup": op10_suffix_sort_dedup,
         "op11_cover_tree_codes": op11_cover_tree_codes,
         "op12_output_code_language": op12_output_code_language,
+        "op13_coalescing_viterbi": op13_coalescing_viterbi,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op11_cover_tree_codes": op11_sql()}
+    return {"op8_line_dedup": OP8_SQL, "op11_cover_tree_codes": op11_sql(), "op13_coalescing_viterbi": OP13_SQL}
