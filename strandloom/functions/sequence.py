@@ -12,8 +12,9 @@ IUB_COMPLEMENT = "TGCAYRKMSWVHDBN*-tgcayrkmswvhdbn"
 AMBIGUITY = "nTGKCYSBAWRDMHVN"
 #: The standard genetic code, codons in the order T, C, A, G of each place.
 GENETIC_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-#: Average molecular masses of the nucleotides.
-MASS = {"A": 313.2, "C": 289.2, "G": 329.2, "T": 304.2}
+#: Average molecular masses of the nucleotides, and of the hydrogen that a strand has and the phosphate that it lacks.
+MASS = {"A": 313.20954, "C": 289.18454, "G": 329.20894, "T": 304.19618}
+HYDROGEN, PHOSPHATE = 1.00794, 62.97256
 
 
 def complement(s: Column) -> Column:
@@ -84,8 +85,8 @@ def melting_temperature(s: Column, salt: float = 50.0) -> Column:
 
 
 def mass(s: Column) -> Column:
-    """I64."""
-    return sum((count_letter(s, b) * F.lit(m) for b, m in MASS.items()), F.lit(0.0))
+    """The mass of a single strand (I64)."""
+    return sum((count_letter(s, b) * F.lit(m) for b, m in MASS.items()), F.lit(HYDROGEN - PHOSPHATE))
 
 
 def is_symmetric(s: Column) -> Column:

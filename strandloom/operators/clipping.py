@@ -41,19 +41,22 @@ def unknown_density(bases: DataFrame, width: int, most: int) -> DataFrame:
 
 
 def poly_clip(seqs: DataFrame, width: int, least: int) -> DataFrame:
-    """Bases clipped from the 3' end: the run of windows with ``least`` or more of the majority of A and T (S18: F16, P26).
+    """Bases clipped from the 3' end: while windows hold ``least`` or more of the last one's commoner of A and T (S18: F16, P26).
 
-    Windows are counted from the end; the first that holds too few of the last window's majority ends the run.
+    Of equally many T counts. At the first window from the end that holds fewer, the clip ends at
+    that window's last base that is another one; if none does, all bases are clipped. The window
+    that reaches the first base is not looked at. Sequences shorter than a window keep all.
     """
     at = words(seqs.select("id", F.reverse("seq").alias("seq")), width)
     count = lambda x: F.lit(width) - F.length(F.replace("word", F.lit(x), F.lit("")))
-    own = at.select("id", "pos", count("A").alias("a"), count("T").alias("t")).groupBy("id").agg(
-        F.max(F.when(F.col("pos") == 0, F.col("a"))).alias("a"), F.max(F.when(F.col("pos") == 0, F.col("t"))).alias("t"),
-        F.min(F.when(F.col("a") < least, F.col("pos"))).alias("stop_a"), F.min(F.when(F.col("t") < least, F.col("pos"))).alias("stop_t"), F.max("pos").alias("last"),
+    first = lambda x: F.min(F.when(F.col(x) < least, F.struct("pos", "word")))
+    own = at.select("id", "pos", "word", count("A").alias("a"), count("T").alias("t"), F.max("pos").over(Window.partitionBy("id")).alias("last")).filter("pos = 0 or pos < last").groupBy("id").agg(
+        F.max(F.when(F.col("pos") == 0, F.col("a"))).alias("a"), F.max(F.when(F.col("pos") == 0, F.col("t"))).alias("t"), first("a").alias("stop_a"), first("t").alias("stop_t"), F.max("last").alias("last")
     )
-    stop = F.when(F.col("a") >= F.col("t"), F.col("stop_a")).otherwise(F.col("stop_t"))
-    clip = F.when(F.greatest("a", "t") < least, 0).otherwise(F.coalesce(stop, F.col("last") + 1) + width - 1)
-    return own.select("id", clip.cast("int").alias("clip")).filter("clip > 0")
+    stop = F.when(F.col("a") > F.col("t"), F.struct(F.col("stop_a").alias("at"), F.lit("A").alias("base"))).otherwise(F.struct(F.col("stop_t").alias("at"), F.lit("T").alias("base")))
+    run = F.lit(width) - F.length(F.ltrim(F.col("stop.at.word"), F.col("stop.base")))
+    clip = F.when(F.col("stop.at").isNull(), F.col("last") + width).otherwise(F.col("stop.at.pos") + run)
+    return own.filter(F.greatest("a", "t") >= least).withColumn("stop", stop).select("id", clip.cast("int").alias("clip")).filter("clip > 0")
 
 
 def _with_ends(items: DataFrame) -> DataFrame:

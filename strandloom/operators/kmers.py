@@ -95,15 +95,38 @@ def intercepts(diagonal: Column, len1: Column) -> list[Column]:
     return [F.when(inside, len1 - diagonal - 1).otherwise(0).alias("x"), F.when(inside, 0).otherwise(diagonal + 1 - len1).alias("y")]
 
 
-def significant_diagonals(hits: DataFrame, k: int, max_prob: float, most: int = 20) -> DataFrame:
+def significant_diagonals(hits: DataFrame, k: int, max_prob: float) -> DataFrame:
     """Diagonals whose hits are over chance (S31: D22): the Poisson tail with the diagonal's length times p**k as mean.
 
-    Beyond ``most`` hits the tail of ``most`` is taken, which is larger.
+    Each term of the tail is the one before it times mean / hits.
     """
     length = F.least(F.col("diagonal") + 1, F.col("len1"), F.col("len2"), F.col("len1") + F.col("len2") - 1 - F.col("diagonal"))
-    mean = length * F.pow(F.col("p"), F.lit(k))
-    below = F.aggregate(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(most)).cast("int") - 1), F.lit(0.0), lambda s, i: s + F.exp(-F.col("mean")) * F.pow(F.col("mean"), i) / F.factorial(i))
-    return hits.withColumn("mean", mean).withColumn("chance", 1 - below).filter(F.col("chance") < max_prob)
+    start = F.struct(F.exp(-F.col("mean")).alias("term"), F.exp(-F.col("mean")).alias("total"))
+    more = lambda s, i: F.struct((s["term"] * F.col("mean") / i).alias("term"), (s["total"] + s["term"] * F.col("mean") / i).alias("total"))
+    places = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    below = F.aggregate(places, start, more, lambda s: s["total"])
+    return hits.withColumn("length", length).withColumn("mean", F.col("length") * F.pow(F.col("p"), F.lit(k))).withColumn("chance", 1 - below).filter(F.col("chance") < max_prob)
+
+
+def best_intercepts(diagonals: DataFrame) -> DataFrame:
+    """One diagonal of each pair and where it meets the axes (D23): id1, id2, diagonal, x, y.
+
+    The diagonals' centre is weighted by hits over length; the one furthest from it goes (of equally
+    far ones the smallest), and again from a new centre, until one is left. A pair's significant
+    diagonals are few, they come together in one row.
+    """
+    own = diagonals.groupBy("id1", "id2").agg(F.max("len1").alias("len1"), F.array_sort(F.collect_list(F.struct(F.col("diagonal").alias("d"), (F.col("n") / F.col("length")).alias("s")))).alias("ds"))
+    total = lambda left, f: F.aggregate(left, F.lit(0.0), lambda acc, x: acc + f(x))
+
+    def fewer(left: Column, _: Column) -> Column:
+        centre = total(left, lambda x: x["d"] * x["s"]) / total(left, lambda x: x["s"])
+        far = F.transform(F.array(centre), lambda c: F.transform(left, lambda x: F.abs(c - x["d"])))[0]
+        place = F.transform(F.array(far), lambda f: F.array_position(f, F.array_max(f)))[0]
+        return F.transform(F.array(place), lambda p: F.filter(left, lambda x, i: i + 1 != p))[0]
+
+    rounds = F.when(F.size("ds") > 1, F.sequence(F.lit(1), F.size("ds") - 1)).otherwise(F.array().cast("array<int>"))
+    one = own.withColumn("diagonal", F.aggregate(rounds, F.col("ds"), fewer)[0]["d"])
+    return one.select("id1", "id2", "diagonal", *intercepts(F.col("diagonal"), F.col("len1")))
 
 
 def diagonal_zscores(hits: DataFrame, least: float = 3.0) -> DataFrame:

@@ -41,6 +41,17 @@ def template_status(pairs: DataFrame) -> DataFrame:
     )
 
 
+def strand_conflicts(items: DataFrame) -> DataFrame:
+    """Templates with reads of one contig that imply both directions of the template (E36): template, contig_id, plus, minus.
+
+    A read of the forward primer (odd ``end_no``) that isn't complemented and one of the reverse
+    primer that is imply plus.
+    """
+    agrees = F.col("comp") == (F.col("end_no") % 2 == 0)
+    counts = items.groupBy("template", "contig_id").agg(F.count_if(agrees).alias("plus"), F.count_if(~agrees).alias("minus"))
+    return counts.filter("plus > 0 and minus > 0")
+
+
 def insert_bin(size: Column) -> Column:
     """128 bins an octave above 2**8, clamped to 0..2**20."""
     x = F.greatest(F.lit(0), F.least(size.cast("int"), F.lit(1 << 20)))

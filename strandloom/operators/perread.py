@@ -24,30 +24,37 @@ def _rows(function: Callable, columns: list[str], keep: list[str], names: list[s
     return run
 
 
-def clip_by_quality(quals: np.ndarray, width: int = 30, mean: float = 15.0) -> tuple[int, int]:
-    """(left, right), 0-based and half-open: grow from the best window while windows keep the mean, then with ever smaller windows.
-
-    (0, 0) if no window reaches the mean.
+def clip_by_quality(quals: np.ndarray, width: int = 30, mean: float = 10.0) -> tuple[int, int]:
+    """(last clipped base on the left, first clipped base on the right), 1-based, of qualities.
+
+    From the best window the scan goes outward to the first window below the mean. A window shorter
+    by one base starts two places inward on the left (one on the right) and does the same, down to
+    single bases, so that the clip settles on the base where the quality drops. The first window
+    is never the best one. Windows of a short read are no longer than what follows its middle.
+    Without a quality over zero nothing is clipped: (0, bases + 1).
     """
     q = np.asarray(quals, float)
-    width = min(width, len(q))
-    if not width:
-        return 0, 0
+    n = len(q)
+    if not q.any():
+        return 0, n + 1
     sums = np.concatenate([[0.0], np.cumsum(q)])
-    rolling = sums[width:] - sums[:-width]
-    best = int(rolling.argmax())
-    if rolling[best] < mean * width:
-        return 0, 0
-    left, right = best, best + width
-    for w in range(width, 0, -1):
-        while left > 0 and sums[left - 1 + w] - sums[left - 1] >= mean * w:
-            left -= 1
-        while right < len(q) and sums[right + 1] - sums[right + 1 - w] >= mean * w:
-            right += 1
-    return left, right
-
-
-def quality_clips(reads: DataFrame, width: int = 30, mean: float = 15.0) -> DataFrame:
+    start = max(1, int((sums[width:] - sums[:-width]).argmax())) if width < n else n // 2
+    left = right = start
+    last = left
+    for w in range(min(width, n - start), 0, -1):
+        low = np.flatnonzero(sums[w : left + w] - sums[:left] < mean * w)
+        last = int(low[-1]) if len(low) else min(0, left - 1)
+        left = min(last + 2, n - w + 1)
+    for w in range(min(width, n - start), 0, -1):
+        stop = max(right + 1, n - w)
+        low = np.flatnonzero(sums[right + 1 + w : n] - sums[right + 1 : n - w] < mean * w) if right + 1 + w < n else np.zeros(0, int)
+        at = right + 1 + int(low[0]) if len(low) else stop
+        right = at - 1
+    first, second = last + 1, (n + 1 if at == n else at) + 1
+    return min(first, second - 1), second
+
+
+def quality_clips(reads: DataFrame, width: int = 30, mean: float = 10.0) -> DataFrame:
     """id, left, right of reads (id, quals)."""
     run = _rows(lambda q: clip_by_quality(q, width, mean), ["quals"], ["id"], ["left", "right"])
     return reads.select("id", "quals").mapInPandas(run, "id bigint, left int, right int")

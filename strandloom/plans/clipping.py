@@ -9,6 +9,8 @@ from strandloom.operators import clipping as C
 from strandloom.operators import perread
 from strandloom.sources import adapters as A
 
+from .statistics import poly_sql
+
 BASES = f"WITH {A.ITEM}, {A.BASES} "
 ROLL = BASES + ", r AS (SELECT rec, row_number() OVER w AS i, sum(qual) OVER (w ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS s, sum((code = 5)::INT) OVER (w ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS n FROM bases WINDOW w AS (PARTITION BY rec ORDER BY pos)) "
 
@@ -52,12 +54,7 @@ QUERIES = {
         lambda s, d: C.unknown_base_clip(_bases(s, d)),
         BASES + ", c AS (SELECT rec, pos, row_number() OVER w AS i, sum(CASE WHEN code = 5 THEN 1 WHEN code < 4 THEN -1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS score FROM bases WINDOW w AS (PARTITION BY rec ORDER BY pos)), m AS (SELECT *, min(score) OVER (PARTITION BY rec ORDER BY pos) AS worst FROM c) SELECT rec, i AS clip, CAST(score AS BIGINT) AS score FROM m WHERE worst >= -10 AND score > 0 QUALIFY row_number() OVER (PARTITION BY rec ORDER BY score DESC, i DESC) = 1",
     ),
-    "f16_poly_clip": (
-        lambda s, d: C.poly_clip(A.seq(s, d), 10, 4),
-        f"""WITH {A.SEQ}, t AS (SELECT id, seq, reverse(seq) AS tail FROM seqs WHERE length(seq) >= 10), l AS (SELECT *, 10 - length(replace(substr(tail, 1, 10), 'A', '')) AS a, 10 - length(replace(substr(tail, 1, 10), 'T', '')) AS t FROM t),
-        w AS (SELECT *, coalesce(list_position(list_transform(range(1, length(seq) - 8), lambda i: 10 - length(replace(substr(tail, i, 10), CASE WHEN a >= t THEN 'A' ELSE 'T' END, '')) < 4), true), 0) AS stop FROM l),
-        c AS (SELECT id, CASE WHEN greatest(a, t) < 4 THEN 0 WHEN stop = 0 THEN length(seq) ELSE stop + 8 END AS clip FROM w) SELECT id, clip FROM c WHERE clip > 0""",
-    ),
+    "f16_poly_clip": (lambda s, d: C.poly_clip(A.seq(s, d), 10, 4), poly_sql("reverse(seq)")),
     # state along one read, which SQL does not express: tests/test_perread.py compares with hand-made cases and plain versions
     "f12_adaptive_quality_clips": (lambda s, d: perread.quality_clips(A.item(s, d).select(F.col("rec").alias("id"), F.transform(F.sequence("start", "end"), lambda p: (F.col("rec") * 7 + p * 3) % 41).alias("quals")), 10, 20.0), None),
     "f21_low_complexity": (lambda s, d: perread.masked(A.seq(s, d)).select("id", S.count_letter(F.col("seq"), "#").alias("masked")), None),

@@ -159,7 +159,7 @@ QUERIES = {
         lambda s, d: L.appended(A.item(s, d).filter("mqual > 30").select("rec"), A.item(s, d).filter("comp").select("rec")).groupBy("rec").agg(F.count("*").alias("n")),
         f"WITH {A.ITEM} SELECT rec, count(*) AS n FROM (SELECT rec FROM item WHERE mqual > 30 UNION ALL SELECT rec FROM item WHERE comp) GROUP BY 1",
     ),
-    "h3_first_occurrence": (lambda s, d: A.table(s, d, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.min("o_orderkey").alias("place")), "SELECT o_custkey AS item, min(o_orderkey) AS place FROM orders GROUP BY 1"),
+    "h3_last_occurrence": (lambda s, d: A.table(s, d, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.max("o_orderkey").alias("place")), "SELECT o_custkey AS item, max(o_orderkey) AS place FROM orders GROUP BY 1"),
     "h4_unlisted_reads": (
         lambda s, d: A.item(s, d).select("rec").join(A.item(s, d).filter("mqual > 10").select("rec"), "rec", "left_anti"),
         f"WITH {A.ITEM} SELECT rec FROM item EXCEPT SELECT rec FROM item WHERE mqual > 10",

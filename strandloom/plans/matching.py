@@ -190,7 +190,7 @@ QUERIES = {
     ),
     "i64_sequence_mass": (
         lambda s, d: A.seq(s, d).select("id", F.round(S.mass(F.col("seq")), 4).alias("mass")),
-        SEQ + "SELECT id, round(" + " + ".join(f"(length(seq) - length(replace(seq, '{b}', ''))) * {m}::DOUBLE" for b, m in S.MASS.items()) + ", 4) AS mass FROM seqs",
+        SEQ + "SELECT id, round(" + " + ".join(f"(length(seq) - length(replace(seq, '{b}', ''))) * {m}::DOUBLE" for b, m in S.MASS.items()) + " + 1.00794::DOUBLE - 62.97256::DOUBLE, 4) AS mass FROM seqs",
     ),
     "i65_score_distribution": (lambda s, d: _rows(s, _distribution(s, d), "probability"), BINOMIAL + "SELECT k AS score, round(v, 9) AS probability FROM dist"),
     "i66_match_probability": (lambda s, d: _rows(s, M.tail(_distribution(s, d)), "at_least"), BINOMIAL + "SELECT k AS score, round(sum(v) OVER (ORDER BY k DESC), 9) AS at_least FROM dist"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.operators import composition as C
+from strandloom.operators import joins
 from strandloom.operators import kmers as K
 from strandloom.operators import lists
 from strandloom.sources import adapters as A
@@ -40,7 +41,28 @@ def frames_sql(frame: int, least: int) -> str:
       GROUP BY id, run) WHERE codons > {least}"""
 
 
+#: Shared words of both strands, those in over 30 places left out, and their runs along diagonals.
+BLOCKS = SEQ + ", known AS (SELECT id, seq FROM seqs WHERE length(seq) >= 50), turned AS (SELECT id, '+' AS strand, seq FROM known UNION ALL SELECT id, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM known)" + """
+, w AS (SELECT id, strand, pos, substr(seq, pos + 1, 12) AS word FROM (SELECT id, strand, seq, unnest(range(0, length(seq) - 11)) AS pos FROM turned))
+, rare AS (SELECT word FROM w WHERE strand = '+' GROUP BY 1 HAVING count(*) <= 30)
+, h AS (SELECT a.id AS id1, b.id AS id2, b.strand, a.pos AS p1, b.pos AS p2 FROM w a JOIN rare USING (word) JOIN w b USING (word) WHERE a.strand = '+' AND a.id < b.id)
+, i AS (SELECT *, p1 - row_number() OVER (PARTITION BY id1, id2, strand, p1 - p2 ORDER BY p1) AS island FROM h)
+, block AS (SELECT id1, id2, strand, min(p1) AS pos1, min(p2) AS pos2, count(*) + 11 AS length FROM i GROUP BY id1, id2, strand, p1 - p2, island HAVING count(*) + 11 >= 20)
+"""
+
+
+def _blocks(s, d):
+    return joins.seed_blocks(A.seq(s, d).filter("length(seq) >= 50"), 12, 30, 20)
+
+
 QUERIES = {
+    # an alignment with traceback is no SQL: tests/test_joins.py has a plain version; d12 and d25 have SQL for what leads to it
+    "d11_internal_joins": (lambda s, d: joins.internal_joins(A.seq(s, d)), None),
+    "d12_seed_blocks": (lambda s, d: _blocks(s, d), BLOCKS + "SELECT id1, id2, strand, pos1, pos2, length FROM block"),
+    "d25_candidate_pairs": (
+        lambda s, d: joins.candidates(_blocks(s, d)),
+        BLOCKS + "SELECT id1, id2, strand, count(*) AS blocks, max(length) AS longest, CAST(sum(length) AS BIGINT) AS bases, min(pos1 - pos2) AS least_diagonal, max(pos1 - pos2) AS largest_diagonal FROM block GROUP BY 1, 2, 3",
+    ),
     "i2_reverse_complement": (lambda s, d: A.seq(s, d).select("id", S.reverse_complement(F.col("seq")).alias("seq")), SEQ + f"SELECT id, reverse(translate(seq, {IUB_SQL})) AS seq FROM seqs"),
     "i4_complement": (lambda s, d: A.seq(s, d).select("id", S.complement(F.col("seq")).alias("seq")), SEQ + f"SELECT id, translate(seq, {IUB_SQL}) AS seq FROM seqs"),
     "i5_rotate": (
@@ -101,7 +123,7 @@ QUERIES = {
     ),
     "e41_base_counts": (
         lambda s, d: C.base_counts(A.seq(s, d)),
-        SEQ + ", c AS (SELECT id, length(seq) AS length, " + ", ".join(f"length(seq) - length(replace(seq, '{b}', '')) AS n_{b.lower()}" for b in "ACGT") + " FROM seqs) SELECT *, round((n_g + n_c)::DOUBLE / nullif(length, 0), 6) AS gc, round(n_a * 313.2::DOUBLE + n_c * 289.2::DOUBLE + n_g * 329.2::DOUBLE + n_t * 304.2::DOUBLE, 4) AS mass FROM c",
+        SEQ + ", c AS (SELECT id, length(seq) AS length, " + ", ".join(f"length(seq) - length(replace(seq, '{b}', '')) AS n_{b.lower()}" for b in "ACGT") + " FROM seqs) SELECT *, round((n_g + n_c)::DOUBLE / nullif(length, 0), 6) AS gc, round(n_a * 313.20954::DOUBLE + n_c * 289.18454::DOUBLE + n_g * 329.20894::DOUBLE + n_t * 304.19618::DOUBLE + 1.00794::DOUBLE - 62.97256::DOUBLE, 4) AS mass FROM c",
     ),
     "e44_dinucleotides": (
         lambda s, d: C.dinucleotides(A.seq(s, d)),

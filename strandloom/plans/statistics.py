@@ -21,8 +21,8 @@ ITEM = f"WITH {A.ITEM} "
 TEMPLATES = ITEM + """, t AS (SELECT template, count(*) AS n_reads, count(DISTINCT contig_id) AS n_contigs, count(DISTINCT comp) AS n_strands, max("end") - min("start") AS span FROM item GROUP BY 1) """
 HITS = BOTH + ", " + words_sql(12) + ", " + words_sql(12, "probe", "pw") + f""", l1 AS (SELECT id, length(seq) AS len, (power(length(seq) - length(replace(seq, 'A', '')), 2) + power(length(seq) - length(replace(seq, 'C', '')), 2) + power(length(seq) - length(replace(seq, 'G', '')), 2) + power(length(seq) - length(replace(seq, 'T', '')), 2)) / power(length(seq), 2) AS p FROM seqs WHERE length(seq) > 0), l2 AS (SELECT id, length(seq) AS len FROM probe)
 , h AS (SELECT a.id AS id1, b.id AS id2, l1.len - a.pos + b.pos - 1 AS diagonal, l1.len AS len1, l2.len AS len2, p, count(*) AS n FROM words a JOIN pw b ON a.word = b.word JOIN l1 ON a.id = l1.id JOIN l2 ON b.id = l2.id GROUP BY ALL)
-, m AS (SELECT *, least(diagonal + 1, len1, len2, len1 + len2 - 1 - diagonal) * power(p, 12) AS mean FROM h)
-, tail AS (SELECT *, 1 - list_sum(list_transform(range(0, least(n, 20)), lambda i: exp(-mean) * power(mean, i) / factorial(i::INT))) AS chance FROM m) """
+, m AS (SELECT *, least(diagonal + 1, len1, len2, len1 + len2 - 1 - diagonal) AS length, least(diagonal + 1, len1, len2, len1 + len2 - 1 - diagonal) * power(p, 12) AS mean FROM h)
+, tail AS (SELECT *, 1 - list_sum(list_transform(range(0, n), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1)))) AS chance FROM m) """
 
 
 def _diagonals(s, d):
@@ -37,6 +37,14 @@ def _summary(s, d):
     return pairs.template_summary(A.item(s, d))
 
 
+def poly_sql(tail: str) -> str:
+    """The rule of clipping.poly_clip in terms of the text ``tail``, whose beginning is clipped."""
+    return f"""WITH {A.SEQ}, t AS (SELECT id, {tail} AS tail FROM seqs WHERE length(seq) >= 10), l AS (SELECT *, 10 - length(replace(substr(tail, 1, 10), 'A', '')) AS a, 10 - length(replace(substr(tail, 1, 10), 'T', '')) AS t FROM t),
+        w AS (SELECT *, CASE WHEN a > t THEN 'A' ELSE 'T' END AS b FROM l WHERE greatest(a, t) >= 4),
+        s AS (SELECT *, coalesce(list_position(list_transform(range(1, length(tail) - 9), lambda i: 10 - length(replace(substr(tail, i, 10), b, '')) < 4), true), 0) AS stop FROM w)
+        SELECT id, CAST(CASE WHEN stop = 0 THEN length(tail) ELSE stop - 1 + 10 - length(ltrim(substr(tail, stop, 10), b)) END AS INT) AS clip FROM s WHERE stop = 0 OR stop - 1 + 10 - length(ltrim(substr(tail, stop, 10), b)) > 0"""
+
+
 def _lines(s, d):
     """Consensus lines of 60 columns: contig_id, line, text."""
     f = _freq(s, d).withColumn("line", F.expr("pos div 60"))
@@ -44,13 +52,16 @@ def _lines(s, d):
 
 
 PROTEIN = SEQ + ", " + codons_sql() + f", aa AS (SELECT id, substr('{CODE}', {TRIPLET.format(c='codon')}, 1) AS acid FROM codon) "
-SAMPLE = "x AS (SELECT rec, CASE rec % 5 WHEN 0 THEN 'ILLUMINA' WHEN 1 THEN 'ls454' WHEN 2 THEN 'Solid' WHEN 3 THEN 'Capillary' ELSE 'other' END AS platform, CASE rec % 4 WHEN 0 THEN 'HWI:1:2:3:' || rec WHEN 1 THEN 'VAB_' || rec WHEN 2 THEN lpad(rec::VARCHAR, 14, 'E') ELSE 'xb' || rec || '.s1' END AS name FROM item)"
+SAMPLE = "x AS (SELECT rec, CASE rec % 5 WHEN 0 THEN 'ILLUMINA' WHEN 1 THEN 'ls454' WHEN 2 THEN 'Solid' WHEN 3 THEN 'ABI' ELSE 'other' END AS platform FROM item)"
 
 
 def _platforms(s, d):
     r = F.col("rec")
-    platform = F.when(r % 5 == 0, "ILLUMINA").when(r % 5 == 1, "ls454").when(r % 5 == 2, "Solid").when(r % 5 == 3, "Capillary").otherwise("other")
-    name = F.when(r % 4 == 0, F.concat(F.lit("HWI:1:2:3:"), r)).when(r % 4 == 1, F.concat(F.lit("VAB_"), r)).when(r % 4 == 2, F.lpad(r.cast("string"), 14, "E")).otherwise(F.concat(F.lit("xb"), r, F.lit(".s1")))
+    platform = F.when(r % 5 == 0, "ILLUMINA").when(r % 5 == 1, "ls454").when(r % 5 == 2, "Solid").when(r % 5 == 3, "ABI").otherwise("other")
+    name = (
+        F.when(r % 7 == 0, F.concat(F.lit("HWI:1:2:3:"), r)).when(r % 7 == 1, F.concat(F.lit("VAB_"), r)).when(r % 7 == 2, F.lpad(r.cast("string"), 14, "e")).when(r % 7 == 3, F.concat(F.lit("IL"), r % 40, F.lit("_"), r))
+        .when(r % 7 == 4, F.concat(F.lit("xb"), r, F.lit(".p1k"))).when(r % 7 == 5, F.concat(F.lit("a:b:c:d:e:"), r)).otherwise(F.concat(F.lit("xb"), r, F.lit(".s1")))
+    )
     return A.item(s, d).select("rec", platform.alias("platform"), name.alias("name"))
 
 
@@ -64,8 +75,12 @@ QUERIES = {
         HITS + "SELECT id1, id2, diagonal, n, round(chance, 9) AS chance FROM tail WHERE chance < 1e-4",
     ),
     "d23_best_intercepts": (
-        lambda s, d: kmers.significant_diagonals(_diagonals(s, d), 12, 1e-4).groupBy("id1", "id2").agg(F.round(F.sum(F.col("n") * F.col("diagonal")) / F.sum("n"), 4).alias("centre"), F.sum("n").alias("n")),
-        HITS + "SELECT id1, id2, round(sum(n * diagonal) / sum(n), 4) AS centre, CAST(sum(n) AS BIGINT) AS n FROM tail WHERE chance < 1e-4 GROUP BY 1, 2",
+        lambda s, d: kmers.best_intercepts(kmers.significant_diagonals(_diagonals(s, d), 12, 1e-4)),
+        HITS + """, g AS (SELECT id1, id2, any_value(len1) AS len1, list({'d': diagonal, 's': n / length} ORDER BY diagonal) AS ds FROM tail WHERE chance < 1e-4 GROUP BY 1, 2)
+        , r AS (SELECT id1, id2, len1, list_reduce(list_prepend(ds, list_transform(range(1, len(ds)), lambda i: ds[1:0])), lambda left_, unused: list_filter(left_, lambda x, i: i <> list_position(
+            list_transform(left_, lambda y: abs(list_sum(list_transform(left_, lambda z: z.d * z.s)) / list_sum(list_transform(left_, lambda z: z.s)) - y.d)),
+            list_max(list_transform(left_, lambda y: abs(list_sum(list_transform(left_, lambda z: z.d * z.s)) / list_sum(list_transform(left_, lambda z: z.s)) - y.d)))))) AS one FROM g)
+        SELECT id1, id2, one[1].d AS diagonal, CASE WHEN one[1].d < len1 THEN len1 - one[1].d - 1 ELSE 0 END AS x, CASE WHEN one[1].d < len1 THEN 0 ELSE one[1].d + 1 - len1 END AS y FROM r""",
     ),
     "d29_diagonal_zscores": (
         lambda s, d: kmers.diagonal_zscores(_diagonals(s, d)),
@@ -105,7 +120,10 @@ QUERIES = {
         ITEM + "SELECT count(*) AS reads, count(DISTINCT contig_id) AS contigs, count(DISTINCT template) AS templates, count(DISTINCT library) AS libraries, CAST(sum(length) AS BIGINT) AS bases FROM item",
     ),
     "e33_average_read_length": (lambda s, d: A.visible(A.item(s, d)).groupBy("library").agg(F.round(F.avg("length"), 6).alias("length"), F.round(F.avg(F.col("vend") - F.col("vstart") + 1), 6).alias("used")), ITEM + f", {A.VISIBLE} SELECT library, round(avg(length), 6) AS length, round(avg(vend - vstart + 1), 6) AS used FROM vis GROUP BY 1"),
-    "e36_template_strands": (lambda s, d: _summary(s, d).filter("n_strands = 1 and n_reads > 1").select("template", "n_reads"), TEMPLATES + "SELECT template, n_reads FROM t WHERE n_strands = 1 AND n_reads > 1"),
+    "e36_template_strands": (
+        lambda s, d: pairs.strand_conflicts(A.item(s, d)),
+        ITEM + "SELECT template, contig_id, count(*) FILTER (WHERE comp = (end_no % 2 = 0)) AS plus, count(*) FILTER (WHERE comp <> (end_no % 2 = 0)) AS minus FROM item GROUP BY 1, 2 HAVING plus > 0 AND minus > 0",
+    ),
     "e37_template_positions": (
         lambda s, d: A.item(s, d).groupBy("template", "contig_id", "comp").agg((F.max("start") - F.min("start")).alias("spread")).filter("spread > 1000"),
         ITEM + """SELECT template, contig_id, comp, max("start") - min("start") AS spread FROM item GROUP BY 1, 2, 3 HAVING spread > 1000""",
@@ -115,7 +133,7 @@ QUERIES = {
     "e40_spanning_templates": (lambda s, d: _summary(s, d).filter("n_contigs > 1").select("template", "n_contigs"), TEMPLATES + "SELECT template, n_contigs FROM t WHERE n_contigs > 1"),
     "e42_acid_composition": (lambda s, d: A.seq(s, d).select(F.explode(F.filter(F.split(S.translate(F.col("seq")), ""), lambda c: c != "")).alias("acid")).groupBy("acid").agg(F.count("*").alias("n")), PROTEIN + "SELECT acid, count(*) AS n FROM aa GROUP BY 1"),
     "e43_acid_mass": (
-        lambda s, d: A.seq(s, d).withColumn("p", S.translate(F.col("seq"))).select("id", F.round(sum((S.count_letter(F.col("p"), a) * F.lit(round(m * 10_000)) for a, m in M.ACID_MASS.items()), F.lit(0).cast("long")) / F.lit(10_000.0), 3).alias("mass")),
+        lambda s, d: A.seq(s, d).withColumn("p", S.translate(F.col("seq"))).select("id", F.round(sum((S.count_letter(F.col("p"), a).cast("long") * F.lit(round(m * 10_000)) for a, m in M.ACID_MASS.items()), F.lit(0).cast("long")) / F.lit(10_000.0), 3).alias("mass")),
         PROTEIN + ", w AS (SELECT id, sum(CASE acid " + " ".join(f"WHEN '{a}' THEN {round(m * 10000)}" for a, m in M.ACID_MASS.items()) + " ELSE 0 END) AS m FROM aa GROUP BY 1) SELECT seqs.id, round(coalesce(m, 0) / 10000.0::DOUBLE, 3) AS mass FROM seqs LEFT JOIN w ON seqs.id = w.id",
     ),
     "e45_expected_dinucleotides": (
@@ -146,9 +164,7 @@ QUERIES = {
     ),
     "f17_poly_clip_left": (
         lambda s, d: clipping.poly_clip(A.seq(s, d).select("id", F.reverse("seq").alias("seq")), 10, 4),
-        f"""WITH {A.SEQ}, t AS (SELECT id, seq, seq AS tail FROM seqs WHERE length(seq) >= 10), l AS (SELECT *, 10 - length(replace(substr(tail, 1, 10), 'A', '')) AS a, 10 - length(replace(substr(tail, 1, 10), 'T', '')) AS t FROM t),
-        w AS (SELECT *, coalesce(list_position(list_transform(range(1, length(seq) - 8), lambda i: 10 - length(replace(substr(tail, i, 10), CASE WHEN a >= t THEN 'A' ELSE 'T' END, '')) < 4), true), 0) AS stop FROM l),
-        c AS (SELECT id, CASE WHEN greatest(a, t) < 4 THEN 0 WHEN stop = 0 THEN length(seq) ELSE stop + 8 END AS clip FROM w) SELECT id, clip FROM c WHERE clip > 0""",
+        poly_sql("seq"),
     ),
     "f18_bad_data_starts": (
         lambda s, d: clipping.unknown_density(A.bases(A.item(s, d)), 24, 1),
@@ -159,11 +175,12 @@ QUERIES = {
         "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'fasta' WHEN 1 THEN 'fastq' WHEN 2 THEN 'sam' WHEN 3 THEN 'gff' WHEN 4 THEN 'agp' WHEN 5 THEN 'exp' ELSE '' END AS format FROM part",
     ),
     "a4_fasta_round_trip": (lambda s, d: T.parse_fasta(lists.fasta(A.seq(s, d), "id", "seq")).select(F.col("name").cast("long").alias("id"), "seq"), SEQ + "SELECT id, seq FROM seqs"),
-    "a15_platforms": (lambda s, d: _platforms(s, d).select("rec", T.platform_code(F.col("platform")).alias("tech")), ITEM + f", {SAMPLE} SELECT rec, CASE lower(platform) WHEN 'capillary' THEN 1 WHEN 'illumina' THEN 2 WHEN 'solid' THEN 3 WHEN 'ls454' THEN 4 ELSE 0 END AS tech FROM x"),
-    "a16_platforms_by_name": (lambda s, d: _platforms(s, d).select("rec", T.platform_of_name(F.col("name")).alias("tech")), ITEM + ", y AS (SELECT rec, CASE rec % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 1 END AS tech FROM item) SELECT rec, tech FROM y"),
+    "a15_platforms": (lambda s, d: _platforms(s, d).select("rec", T.platform_code(F.col("platform")).alias("tech")), ITEM + f", {SAMPLE} SELECT rec, CASE lower(platform) WHEN 'abi' THEN 1 WHEN 'illumina' THEN 2 WHEN 'solid' THEN 3 WHEN 'ls454' THEN 4 ELSE 0 END AS tech FROM x"),
+    "a16_platforms_by_name": (lambda s, d: _platforms(s, d).select("rec", T.platform_of_name(F.col("name")).alias("tech")), ITEM + ", y AS (SELECT rec, CASE rec % 7 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS tech FROM item) SELECT rec, tech FROM y"),
     "a17_annotation_tags": (
-        lambda s, d: A.tag(s, d).select("tag_id", F.explode(T.annotation_tags(F.concat("start", F.lit("|"), "end", F.lit("|"), "dir", F.lit("|"), "type", F.lit("|Note="), "comment"))).alias("t")).select("tag_id", "t.*"),
-        f"""WITH {A.TAG} SELECT tag_id, "start", "end", dir AS strand, type, comment AS note FROM tag""",
+        lambda s, d: A.tag(s, d).groupBy("contig_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tag_id", "start", "end", "dir", "type", F.replace("comment", F.lit(" "), F.lit("%20")).alias("comment")))), lambda x: F.concat_ws(";", x["start"].cast("string"), x["end"].cast("string"), x["dir"], x["type"], F.concat(F.lit("Note="), x["comment"]))), "|").alias("text"))
+        .select("contig_id", F.posexplode(T.annotation_tags(F.col("text"))).alias("place", "t")).select("contig_id", "place", "t.*"),
+        f"""WITH {A.TAG} SELECT contig_id, CAST(row_number() OVER (PARTITION BY contig_id ORDER BY tag_id) - 1 AS INT) AS place, "start", "end", dir AS strand, type, comment AS note FROM tag""",
     ),
     "a20_cigar_lengths": (
         lambda s, d: C.cigars(A.padded(s, d)).select("id", T.reference_length(F.col("cigar")).alias("length"), F.size(T.cigar_ops(F.col("cigar"))).alias("ops")),

@@ -26,7 +26,7 @@ def sniffed(name: Column) -> Column:
 
 
 #: Sequencing platforms and their codes.
-PLATFORMS = {"capillary": 1, "sanger": 1, "illumina": 2, "solexa": 2, "solid": 3, "ls454": 4, "454": 4, "helicos": 5, "iontorrent": 6, "pacbio": 7}
+PLATFORMS = {"illumina": 2, "solexa": 2, "abi": 1, "capillary": 1, "sanger": 1, "454": 4, "ls454": 4, "solid": 3}
 
 
 def platform_code(name: Column) -> Column:
@@ -35,15 +35,35 @@ def platform_code(name: Column) -> Column:
 
 
 def platform_of_name(name: Column) -> Column:
-    """The platform that a read's name looks like (A16): four colons or more, VAB_, 14 letters and digits, else capillary."""
+    """The platform that a read's name looks like, 0 for none (A16): 14 letters and digits, VAB_, IL and a digit or exactly
+    four colons, and after the first point p or q, a digit and k."""
     colons = F.length(name) - F.length(F.replace(name, F.lit(":"), F.lit("")))
-    return F.when(colons >= 4, 2).when(name.startswith("VAB_"), 3).when(name.rlike("^[A-Z0-9]{14}$"), 4).otherwise(1)
+    return F.when(name.rlike("^[A-Za-z0-9]{14}$"), 4).when(name.startswith("VAB_"), 3).when(name.rlike("^IL[0-9]") | (colons == 4), 2).when(name.rlike("^[^.]*[.][pq][0-9]k"), 1).otherwise(0)
+
+
+def unescaped(text: Column) -> Column:
+    """%XX stands for a byte; other signs of per cent, and plus signs, for themselves."""
+    safe = F.regexp_replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), "[+]", "%2B")
+    return F.url_decode(safe)
 
 
 def annotation_tags(text: Column) -> Column:
-    """'start|end|strand|type|Note=text' in the annotation tag of an alignment."""
-    f = F.split(text, "[|]")
-    return F.array(F.struct(f[0].cast("long").alias("start"), f[1].cast("long").alias("end"), f[2].alias("strand"), f[3].alias("type"), F.regexp_extract(f[4], "^Note=(.*)$", 1).alias("note")))
+    """The annotation tags of an alignment, 'start;end;strand;type;text' parted by '|', as an array.
+
+    Type and text may have %XX; text is optional and loses a leading 'Note='. What follows the first tag
+    that has another form is not read. Null and empty texts have no tags.
+    """
+    pattern = r"(?s)^\s*([+-]?[0-9]+);\s*([+-]?[0-9]+);(.);([^;]*)(?:;(.*))?$"
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), "[|]"), lambda x: x != "")
+    bad = F.array_position(F.transform(parts, lambda x: x.rlike(pattern)), F.lit(False))
+    good = F.filter(parts, lambda x, i: (bad == 0) | (i + 1 < bad))
+    part = lambda x, i: F.regexp_extract(x, pattern, i)
+    return F.transform(
+        good,
+        lambda x: F.struct(
+            part(x, 1).cast("long").alias("start"), part(x, 2).cast("long").alias("end"), part(x, 3).alias("strand"), unescaped(part(x, 4)).alias("type"), F.regexp_replace(unescaped(part(x, 5)), "^Note=", "").alias("note")
+        ),
+    )
 
 
 def parse_position(line: Column) -> Column:

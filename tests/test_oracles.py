@@ -17,8 +17,8 @@ def test_matches_sql(spark, duck, name):
     assert compare(function(spark, SMALL), duck, sql) == ""
 
 
-#: Per-read state that SQL does not express; tests/test_perread.py has their cases.
-NO_SQL = {"f12_adaptive_quality_clips", "f21_low_complexity", "j1_global_alignments", "j8_local_alignments"}
+#: Per-read state that SQL does not express; tests/test_perread.py and the tests of the operators have their cases.
+NO_SQL = {"d11_internal_joins", "f12_adaptive_quality_clips", "f21_low_complexity", "j1_global_alignments", "j8_local_alignments"}
 
 
 def test_only_per_read_operators_lack_sql():

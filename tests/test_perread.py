@@ -32,11 +32,17 @@ def test_align_matches_the_textbook():
             assert perread.align(a, b, local=local)[0] == slow_align(a, b, local)
 
 
-def test_quality_clip():
-    q = np.array([2] * 10 + [40] * 50 + [2] * 20)
-    left, right = perread.clip_by_quality(q, 10, 20)
-    assert left <= 10 and right >= 60 and q[left:right].mean() >= 20
-    assert perread.clip_by_quality(np.array([1, 2, 3]), 10, 20) == (0, 0) == perread.clip_by_quality(np.array([]), 10, 20)
+def test_quality_clip_cases_worked_by_hand():
+    # windows of 3: on the left the one at 1 is the first below 30; of 2 again from 3: the one at 1; of 1: the base at 2
+    assert perread.clip_by_quality([2, 2, 2, 20, 20, 20, 20, 20, 2, 2, 2], 3, 10) == (3, 9)
+    # one good base inside the bad ends does not count
+    assert perread.clip_by_quality([2, 2, 20, 2, 2, 20, 20, 20, 20, 20, 2, 2, 20, 2, 2], 3, 10) == (5, 11)
+    # good to both ends: the left scan stops at base 0, the right one at the last base
+    assert perread.clip_by_quality([20] * 12, 3, 10) == (1, 12)
+    assert perread.clip_by_quality([0] * 9, 3, 10) == (0, 10) and perread.clip_by_quality([], 3, 10) == (0, 1)
+    for n in range(1, 7):  # shorter than the window
+        left, right = perread.clip_by_quality([30] * n, 6, 10)
+        assert left < right
 
 
 def test_low_complexity(spark):
