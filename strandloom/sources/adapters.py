@@ -86,6 +86,17 @@ BASES = """base0 AS (
 )"""
 
 
+def padded_reads(items: DataFrame) -> DataFrame:
+    """Reads with their bases as text, pads included: contig_id, rec, start, seq; the bases of ``bases``, without a row a base."""
+
+    def base(p):
+        error = (F.col("rec") * 31 + p * 17) % 23
+        code = (F.col("contig_id") * 7 + F.floor(p / 3) + p * p) % 5
+        return F.substring(F.lit("ACGT*N"), F.when(error == 0, 5).when(error < 3, (code + error) % 5).otherwise(code).cast("int") + 1, F.lit(1))
+
+    return items.select("contig_id", "rec", "start", F.array_join(F.transform(F.sequence("start", "end"), base), "").alias("seq"))
+
+
 def seq(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
     """Sequences of A, C, G, T from texts: id, seq."""
     bases_only = F.regexp_replace(F.upper(F.translate("text", "eiounhrs", "ACGTACGT")), "[^ACGT]", "")
