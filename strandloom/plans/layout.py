@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from strandloom.operators import shuffling
+from pyspark.sql import functions as F
+
+from strandloom.operators import pileups, shuffling
 from strandloom.sources import adapters as A
+from strandloom.sources import bam
+from strandloom.sources.shared import fresh_path
+from strandloom.streaming import pileup as stream
 
 COLUMNS = f"WITH {A.ITEM}, {A.BASES}, col AS (SELECT contig_id, pos, " + ", ".join(
     f"count(*) FILTER (WHERE code = {i}) AS n_{name}" for i, name in enumerate(("a", "c", "g", "t", "pad", "other"))
@@ -15,7 +20,54 @@ def _reads(s, d):
     return A.padded_reads(A.item(s, d))
 
 
+#: Columns of the alignments; the inserted base of a read lies after the position before it, what follows one to the left.
+PILEUP = f"""WITH {A.ALIGNED}, moved AS (
+  SELECT rec, contig_id, b, k, i, p + 1 - (bool_or(k = 'I') OVER (PARTITION BY rec ORDER BY i))::INT AS pos, CASE WHEN k = 'I' THEN 1 ELSE 0 END AS nth FROM kind
+), seen AS (
+  SELECT *, pos < max(pos) FILTER (WHERE nth = 0) OVER (PARTITION BY rec) AS goes_on FROM moved
+), tally AS (
+  SELECT contig_id::VARCHAR AS contig, pos, nth, count(*) FILTER (WHERE b = 'A') AS n_a, count(*) FILTER (WHERE b = 'C') AS n_c, count(*) FILTER (WHERE b = 'G') AS n_g, count(*) FILTER (WHERE b = 'T') AS n_t,
+         count(*) FILTER (WHERE b = '*') AS n_pad, count(*) FILTER (WHERE b = 'N') AS n_other, count(*) AS n, count(*) FILTER (WHERE goes_on) AS n_on FROM seen GROUP BY 1, 2, 3
+), passed AS (
+  SELECT *, CASE WHEN nth > 0 THEN greatest(coalesce(max(n_on) FILTER (WHERE nth = 0) OVER (PARTITION BY contig, pos), 0) - n, 0) ELSE 0 END AS missing FROM tally
+) SELECT contig, pos, nth, n_a, n_c, n_g, n_t, n_pad + missing AS n_pad, n_other, n + missing AS depth FROM passed"""
+
+
+def _alignments(s, d):
+    return A.alignments(A.item(s, d))
+
+
+def _through_bam(s, d):
+    path = fresh_path(s, "bam")
+    bam.write_bam(_alignments(s, d), path)
+    return bam.read_bam(s, path).select("name", "flag", "contig", "pos", "mqual", "cigar", "next_contig", "next_pos", "tlen", "seq", "qual", F.col("aux")["LB"].alias("library"))
+
+
+def _streamed(s, d, steps: int = 4):
+    """The alignments as a stream of sorted files, written one after the other, with one beyond all others at its end."""
+    reads = _alignments(s, d).select("contig_no", "contig", "pos", "cigar", "seq")
+    source, out = fresh_path(s, "sorted"), fresh_path(s, "columns")
+    ranged = reads.repartitionByRange(steps, "contig_no", "pos").withColumn("step", F.spark_partition_id())
+    kept = fresh_path(s, "ranged")
+    ranged.write.partitionBy("step").parquet(kept)
+    ranged = s.read.parquet(kept)
+    for step in range(steps):
+        ranged.filter(F.col("step") == step).drop("step").coalesce(1).write.mode("append").parquet(source)
+    s.createDataFrame([(1 << 30, "end", 1, "1M", "A")], reads.schema).coalesce(1).write.mode("append").parquet(source)
+    longest = s.read.parquet(source).agg(F.max(F.length("seq") + 1000)).first()[0]
+    columns = stream.stream_columns(s.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(source), longest)
+    stream.write_columns(columns, out, fresh_path(s, "progress")).awaitTermination()
+    return s.read.parquet(out).drop("batch").filter("contig <> 'end'")
+
+
 QUERIES = {
+    "a8_bam_round_trip": (_through_bam, f"WITH {A.ALIGNED} SELECT * FROM aligned"),
+    "b6_alignment_records": (
+        lambda s, d: _alignments(s, d).select(F.concat_ws("\t", "name", F.col("flag").cast("string"), "contig", F.col("pos").cast("string"), F.col("mqual").cast("string"), "cigar", F.when((F.col("next_contig") == F.col("contig")), "=").otherwise(F.col("next_contig")), F.col("next_pos").cast("string"), F.col("tlen").cast("string"), "seq", "qual", F.concat(F.lit("LB:Z:"), F.col("aux")["LB"])).alias("value")),
+        f"WITH {A.ALIGNED} SELECT concat_ws(chr(9), name, flag, contig, pos, mqual, cigar, CASE WHEN next_contig = contig THEN '=' ELSE next_contig END, next_pos, tlen, seq, qual, 'LB:Z:' || library) AS value FROM aligned",
+    ),
+    "a19_column_pileup": (lambda s, d: pileups.pileup(_alignments(s, d)), PILEUP),
+    "n6_stream_pileup": (_streamed, PILEUP),
     "j13_alignment_columns": (lambda s, d: shuffling.columns_of(_reads(s, d)), COLUMNS + "SELECT * FROM col"),
     "j14_difference_scores": (
         lambda s, d: shuffling.difference_scores(shuffling.columns_of(_reads(s, d))),

@@ -86,7 +86,7 @@ BASES = """base0 AS (
 )"""
 
 
-def padded_reads(items: DataFrame) -> DataFrame:
+def padded_reads(items: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """Reads with their bases as text, pads included: contig_id, rec, start, seq; the bases of ``bases``, without a row a base."""
 
     def base(p):
@@ -94,7 +94,54 @@ def padded_reads(items: DataFrame) -> DataFrame:
         code = (F.col("contig_id") * 7 + F.floor(p / 3) + p * p) % 5
         return F.substring(F.lit("ACGT*N"), F.when(error == 0, 5).when(error < 3, (code + error) % 5).otherwise(code).cast("int") + 1, F.lit(1))
 
-    return items.select("contig_id", "rec", "start", F.array_join(F.transform(F.sequence("start", "end"), base), "").alias("seq"))
+    return items.select(*keep, "contig_id", "rec", "start", F.array_join(F.transform(F.sequence("start", "end"), base), "").alias("seq"))
+
+
+def alignments(items: DataFrame) -> DataFrame:
+    """Reads as alignments, the columns of sources.bam.SCHEMA and contig_no; mates are the reads that pair in their template.
+
+    Pads are deletions; the third base of every seventh read counts as inserted, so that what follows
+    lies one position to the left.
+    """
+    mates = Window.partitionBy("template", F.floor((F.col("end_no") - 1) / 2)).orderBy("end_no")
+    other = lambda c: F.coalesce(F.lead(c).over(mates), F.lag(c).over(mates))
+    paired = items.withColumn("mate_contig", other("contig_id")).withColumn("mate_start", other("start")).withColumn("mate_end", other("end"))
+    reads = padded_reads(paired, ["comp", "end_no", "end", "mqual", "library", "mate_contig", "mate_start", "mate_end"])
+    kinds = F.transform(F.split("seq", ""), lambda c, i: F.when(c == "*", "D").when((i == 2) & (F.col("rec") % 7 == 0), "I").otherwise("M"))
+    runs = F.regexp_extract_all(F.array_join(kinds, ""), F.lit("(M+|D+|I+)"), 1)
+    cigar = F.array_join(F.transform(runs, lambda r: F.concat(F.length(r).cast("string"), F.substring(r, 1, 1))), "")
+    quality = F.array_join(F.transform(F.split("seq", ""), lambda c, i: F.when(c == "*", "").otherwise(F.char(33 + (F.col("rec") * 7 + (F.col("start") + i) * 3) % 41))), "")
+    same = F.col("mate_contig") == F.col("contig_id")
+    span = F.greatest("end", "mate_end") - F.least("start", "mate_start") + 1
+    flag = F.when(F.col("comp"), 16).otherwise(0) + F.when(F.col("end_no") % 2 == 1, 64).otherwise(128) + 1
+    return reads.select(
+        F.col("rec").cast("string").alias("name"), flag.cast("int").alias("flag"), F.col("contig_id").cast("string").alias("contig"), (F.col("start") + 1).cast("long").alias("pos"), "mqual", cigar.alias("cigar"),
+        F.coalesce(F.col("mate_contig").cast("string"), F.lit("*")).alias("next_contig"), F.coalesce(F.col("mate_start") + 1, F.lit(0)).cast("long").alias("next_pos"),
+        F.when(same, F.when(F.col("start") <= F.col("mate_start"), span).otherwise(-span)).otherwise(0).cast("long").alias("tlen"),
+        F.coalesce(F.nullif(F.replace("seq", F.lit("*"), F.lit("")), F.lit("")), F.lit("*")).alias("seq"), F.coalesce(F.nullif(quality, F.lit("")), F.lit("*")).alias("qual"), F.create_map(F.lit("LB"), F.col("library")).alias("aux"), F.col("contig_id").alias("contig_no"),
+    )
+
+
+ALIGNED = f"""{ITEM}, paired AS (
+  SELECT *, coalesce(lead(contig_id) OVER w, lag(contig_id) OVER w) AS mc, coalesce(lead("start") OVER w, lag("start") OVER w) AS ms, coalesce(lead("end") OVER w, lag("end") OVER w) AS me
+  FROM item WINDOW w AS (PARTITION BY template, (end_no - 1) // 2 ORDER BY end_no)
+), base0 AS (
+  SELECT rec, contig_id, unnest(range("start", "end" + 1)) AS p, unnest(range("end" - "start" + 1)) AS i FROM item
+), base1 AS (
+  SELECT *, (rec * 31 + p * 17) % 23 AS err, (contig_id * 7 + p // 3 + p * p) % 5 AS c0 FROM base0
+), base AS (
+  SELECT rec, contig_id, p, i, substr('ACGT*N', CAST(CASE WHEN err = 0 THEN 5 WHEN err < 3 THEN (c0 + err) % 5 ELSE c0 END AS INT) + 1, 1) AS b FROM base1
+), kind AS (
+  SELECT *, CASE WHEN b = '*' THEN 'D' WHEN i = 2 AND rec % 7 = 0 THEN 'I' ELSE 'M' END AS k FROM base
+), text AS (
+  SELECT rec, string_agg(k, '' ORDER BY i) AS ks, coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE b <> '*'), '*') AS seq,
+         coalesce(string_agg(chr(CAST(33 + (rec * 7 + p * 3) % 41 AS INT)), '' ORDER BY i) FILTER (WHERE b <> '*'), '*') AS qual FROM kind GROUP BY rec
+), aligned AS (
+  SELECT rec::VARCHAR AS name, CAST(CASE WHEN comp THEN 16 ELSE 0 END + CASE WHEN end_no % 2 = 1 THEN 64 ELSE 128 END + 1 AS INT) AS flag, contig_id::VARCHAR AS contig, "start" + 1 AS pos, mqual,
+         array_to_string(list_transform(regexp_extract_all(ks, 'M+|D+|I+'), lambda r: length(r) || r[1]), '') AS cigar, coalesce(mc::VARCHAR, '*') AS next_contig, coalesce(ms + 1, 0) AS next_pos,
+         CASE WHEN mc = contig_id THEN (greatest("end", me) - least("start", ms) + 1) * CASE WHEN "start" <= ms THEN 1 ELSE -1 END ELSE 0 END AS tlen, seq, qual, library
+  FROM paired JOIN text USING (rec)
+)"""
 
 
 def seq(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
