@@ -53,7 +53,7 @@ def _streamed(s, d, steps: int = 4):
     ranged = s.read.parquet(kept)
     for step in range(steps):
         ranged.filter(F.col("step") == step).drop("step").coalesce(1).write.mode("append").parquet(source)
-    s.createDataFrame([(1 << 30, "end", 1, "1M", "A")], reads.schema).coalesce(1).write.mode("append").parquet(source)
+    s.createDataFrame([(1 << 22, "end", 1, "1M", "A")], reads.schema).coalesce(1).write.mode("append").parquet(source)
     longest = s.read.parquet(source).agg(F.max(F.length("seq") + 1000)).first()[0]
     columns = stream.stream_columns(s.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(source), longest)
     stream.write_columns(columns, out, fresh_path(s, "progress")).awaitTermination()

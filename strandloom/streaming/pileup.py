@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.pileups import counts, filled, read_columns
 
-#: Positions of one contig in the line of all positions.
-SPAN = 1 << 32
+#: Positions of one contig in the line of all positions; watermarks count milliseconds, so some four million contigs have a place.
+SPAN = 1 << 31
 
 
 def stream_columns(alignments: DataFrame, longest: int) -> DataFrame:
     """A stream of columns (contig, pos, nth, counts) of a stream of alignments sorted by ``contig_no`` and pos.
 
-    A column's place in the line of all contigs' positions is its event time, in microseconds, and the
+    A column's place in the line of all contigs' positions is its event time, in milliseconds, and the
     watermark is ``longest``, the most positions that a read spans, behind the furthest column. As
     reads come sorted, all of a column's reads have come by then: it is given out and its state goes,
     so the state is the columns of one read's length. Columns are dealt to tasks one by one, not by contig.
     """
-    at = read_columns(alignments, ["contig_no"]).withColumn("at", F.timestamp_micros(F.col("contig_no") * SPAN + F.col("pos")))
-    return at.withWatermark("at", f"{longest + 1} microseconds").groupBy("at", "contig", "pos", "nth").agg(*counts())
+    at = read_columns(alignments, ["contig_no"]).withColumn("at", F.timestamp_millis(F.col("contig_no") * SPAN + F.col("pos")))
+    return at.withWatermark("at", f"{longest + 1} milliseconds").groupBy("at", "contig", "pos", "nth").agg(*counts())
 
 
 def write_columns(columns: DataFrame, path: str, checkpoint: str):
