@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import pileups, shuffling
+from strandloom.operators import consensus, coverage, pileups, shuffling
 from strandloom.sources import adapters as A
 from strandloom.sources import bam
 from strandloom.sources.shared import fresh_path
@@ -60,7 +60,52 @@ def _streamed(s, d, steps: int = 4):
     return s.read.parquet(out).drop("batch").filter("contig <> 'end'")
 
 
+#: Greedy coverage, read by read.
+COVERAGE = f"""WITH RECURSIVE {A.ITEM}, ranked AS (
+  SELECT contig_id, rec, "start", "end", row_number() OVER (PARTITION BY contig_id ORDER BY "start", rec) AS r FROM item
+), chain AS (
+  SELECT contig_id, rec, "start", "end", r, 1::BIGINT AS place FROM ranked WHERE r = 1
+  UNION ALL
+  SELECT n.contig_id, n.rec, n."start", n."end", n.r, n.place FROM (
+    SELECT x.*, c.place + 1 AS place, row_number() OVER (PARTITION BY c.contig_id ORDER BY CASE WHEN x."start" < c."end" THEN 0 ELSE 1 END, CASE WHEN x."start" < c."end" THEN -x."end" ELSE x.r END, x.r) AS pick
+    FROM chain c JOIN ranked x ON x.contig_id = c.contig_id AND x.r > c.r AND x."end" > c."end") n WHERE pick = 1
+) SELECT contig_id, place, rec, "start", "end" FROM chain"""
+#: Differences of used bases from the commonest base, the least different window, and scores outward from its middle.
+DIFFERENCES = f"""WITH {A.ITEM}, {A.BASES}, {A.VISIBLE}, pile AS (
+  SELECT contig_id, pos, count(*) AS depth, {", ".join(f"count(*) FILTER (WHERE code = {i}) AS c{i}" for i in range(5))} FROM bases GROUP BY 1, 2
+), called AS (
+  SELECT contig_id, pos, CASE WHEN 100 * greatest(c0, c1, c2, c3, c4) // depth < 50 THEN '-' WHEN c0 = greatest(c0, c1, c2, c3, c4) THEN 'A' WHEN c1 = greatest(c0, c1, c2, c3, c4) THEN 'C'
+         WHEN c2 = greatest(c0, c1, c2, c3, c4) THEN 'G' WHEN c3 = greatest(c0, c1, c2, c3, c4) THEN 'T' ELSE '*' END AS base FROM pile
+), used AS (
+  SELECT b.rec, b.pos - v.vstart AS u, v.vend - v.vstart + 1 AS n, v.vstart - v."start" AS first, (substr('ACGT*N', b.code + 1, 1) <> c.base)::INT AS d
+  FROM bases b JOIN vis v ON b.rec = v.rec AND b.pos BETWEEN v.vstart AND v.vend JOIN called c ON b.contig_id = c.contig_id AND b.pos = c.pos
+), rolled AS (
+  SELECT *, sum(d) OVER (PARTITION BY rec ORDER BY u ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS w FROM used
+), chosen AS (
+  SELECT rec, any_value(n) AS n, any_value(first) AS first, arg_min(u, w * 1000 + u) AS middle, max(w) AS worst FROM rolled WHERE u >= 15 AND u <= n - 17 GROUP BY rec HAVING max(w) >= 31 * 0.25
+), scored AS (
+  SELECT c.rec, c.first, c.middle, r.u, CASE WHEN r.u >= c.middle THEN sum(1 - 3 * r.d) OVER (PARTITION BY c.rec, r.u >= c.middle ORDER BY r.u) END AS rs FROM chosen c JOIN used r ON c.rec = r.rec
+), scored2 AS (
+  SELECT c.rec, r.u, sum(1 - 3 * r.d) OVER (PARTITION BY c.rec ORDER BY r.u DESC) AS ls FROM chosen c JOIN used r ON c.rec = r.rec AND r.u <= c.middle
+), ends AS (
+  SELECT rec, any_value(first) AS first, any_value(middle) AS middle, max(rs) AS best, arg_max(u, rs * 1000 - u) AS u FROM scored WHERE rs IS NOT NULL GROUP BY rec
+), starts AS (
+  SELECT rec, max(ls) AS best, arg_max(u, ls * 1000 + u) AS u FROM scored2 GROUP BY rec
+), clip AS (
+  SELECT e.rec, e.first, CASE WHEN s.best > 0 THEN s.u ELSE e.middle END AS l, CASE WHEN e.best > 0 THEN e.u ELSE e.middle END AS r FROM ends e JOIN starts s ON e.rec = s.rec
+) SELECT rec, CAST(l + first AS INT) AS "left", CAST(greatest(r + 2, l + 2) + first AS INT) AS "right" FROM clip"""
+
+
+def _difference_clips(s, d):
+    items = A.visible(A.item(s, d))
+    bases = A.bases(items).select("rec", "contig_id", "pos", "code", F.substring(F.lit("ACGT*N"), F.col("code") + 1, F.lit(1)).alias("base"))
+    calls = consensus.frequency_consensus(consensus.pileup(A.bases(items)))
+    return coverage.difference_clips(items, bases, calls)
+
+
 QUERIES = {
+    "f34_minimal_coverage": (lambda s, d: coverage.minimal_coverage(A.item(s, d)), COVERAGE),
+    "f10_difference_clips": (_difference_clips, DIFFERENCES),
     "a8_bam_round_trip": (_through_bam, f"WITH {A.ALIGNED} SELECT * FROM aligned"),
     "b6_alignment_records": (
         lambda s, d: _alignments(s, d).select(F.concat_ws("\t", "name", F.col("flag").cast("string"), "contig", F.col("pos").cast("string"), F.col("mqual").cast("string"), "cigar", F.when((F.col("next_contig") == F.col("contig")), "=").otherwise(F.col("next_contig")), F.col("next_pos").cast("string"), F.col("tlen").cast("string"), "seq", "qual", F.concat(F.lit("LB:Z:"), F.col("aux")["LB"])).alias("value")),
