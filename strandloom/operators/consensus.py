@@ -14,10 +14,15 @@ UNIT = 1e7
 GENOTYPES = [(i, i) for i in range(5)] + list(combinations(range(5), 2))
 
 
+def column(bases: DataFrame) -> list[str]:
+    """What a column's bases have in common; with ``block``, by which bases may be dealt to tasks already, no shuffle is needed."""
+    return ["contig_id", *(["block"] if "block" in bases.columns else []), "pos"]
+
+
 def pileup(bases: DataFrame) -> DataFrame:
     """Counts by base and depth of each column."""
     counts = [F.count(F.when(F.col("code") == i, 1)).alias(n) for i, n in enumerate(("n_a", "n_c", "n_g", "n_t", "n_pad", "n_n"))]
-    return bases.groupBy("contig_id", "pos").agg(F.count("*").alias("depth"), *counts)
+    return bases.groupBy(*column(bases)).agg(F.count("*").alias("depth"), *counts).drop("block")
 
 
 def frequency_consensus(columns: DataFrame, cutoff: int = 50) -> DataFrame:
@@ -34,7 +39,7 @@ def frequency_consensus(columns: DataFrame, cutoff: int = 50) -> DataFrame:
 def weighted_consensus(bases: DataFrame, cutoff: int = 60) -> DataFrame:
     """The base with the largest sum of qualities."""
     sums = [F.sum(F.when(F.col("code") == i, F.col("qual")).otherwise(0)) for i in range(5)]
-    w = bases.groupBy("contig_id", "pos").agg(*[s.alias(f"w{i}") for i, s in enumerate(sums)])
+    w = bases.groupBy(*column(bases)).agg(*[s.alias(f"w{i}") for i, s in enumerate(sums)])
     most = F.greatest(*[f"w{i}" for i in range(5)])
     total = sum((F.col(f"w{i}") for i in range(1, 5)), F.col("w0"))
     call = F.lit("-")
@@ -56,21 +61,24 @@ def log_tables() -> list[tuple[int, int, int]]:
 def genotype_sums(bases: DataFrame) -> DataFrame:
     """Log-likelihood of the 15 genotypes in each column, and its depth.
 
-    Bases of one code and quality are counted first; the sums run over those counts.
+    Before a shuffle, bases of one code and quality are counted, and the sums run over those counts.
     """
     tables = log_tables()
     lookup = [F.array(*[F.lit(t[k]).cast("long") for t in tables]) for k in range(3)]
     q = F.greatest(F.lit(1), F.least(F.col("qual"), F.lit(100)))
-    counts = bases.groupBy("contig_id", "pos", "code", q.alias("q")).agg(F.count("*").alias("n"))
+    if "block" in bases.columns:  # dealt by column: no shuffle that counting would make smaller
+        counts = bases.select(*column(bases), "code", q.alias("q"), F.lit(1).alias("n"))
+    else:
+        counts = bases.groupBy("contig_id", "pos", "code", q.alias("q")).agg(F.count("*").alias("n"))
     match, miss, half = (F.element_at(x, F.col("q")) * F.col("n") for x in lookup)
-    wide = counts.select("contig_id", "pos", "code", "n", match.alias("mm"), miss.alias("no"), half.alias("hm"))
+    wide = counts.select(*column(bases), "code", "n", match.alias("mm"), miss.alias("no"), half.alias("hm"))
     sums = []
     for a, b in GENOTYPES:
         known = F.when((F.col("code") == a) & (F.col("code") == b), F.col("mm")).when((F.col("code") == a) | (F.col("code") == b), F.col("hm")).otherwise(F.col("no"))
         pads = (a == 4) + (b == 4)
         unknown = F.col(("mm", "hm", "no")[pads])
         sums.append(F.sum(F.when(F.col("code") == 5, unknown).otherwise(known)).alias(f"g{a}{b}"))
-    return wide.groupBy("contig_id", "pos").agg(F.sum("n").alias("depth"), F.sum(F.when(F.col("code") < 5, F.col("n")).otherwise(0)).alias("known"), *sums)
+    return wide.groupBy(*column(bases)).agg(F.sum("n").alias("depth"), F.sum(F.when(F.col("code") < 5, F.col("n")).otherwise(0)).alias("known"), *sums).drop("block")
 
 
 def bayes_consensus(bases: DataFrame) -> DataFrame:

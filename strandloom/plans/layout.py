@@ -99,7 +99,7 @@ DIFFERENCES = f"""WITH {A.ITEM}, {A.BASES}, {A.VISIBLE}, pile AS (
 def _difference_clips(s, d):
     items = A.visible(A.item(s, d))
     bases = A.bases(items).select("rec", "contig_id", "pos", "code", F.substring(F.lit("ACGT*N"), F.col("code") + 1, F.lit(1)).alias("base"))
-    calls = consensus.frequency_consensus(consensus.pileup(A.bases(items)))
+    calls = consensus.frequency_consensus(consensus.pileup(A.column_bases(items)))
     return coverage.difference_clips(items, bases, calls)
 
 

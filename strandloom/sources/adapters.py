@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -62,21 +64,37 @@ VISIBLE = """vis AS (
 )"""
 
 
-def bases(items: DataFrame) -> DataFrame:
-    """One row a read base: contig_id, pos, rec, template, comp, code (0..3 ACGT, 4 pad, 5 N), qual (0..40).
-
-    The tables hold no DNA; the codes are a function of contig and position with a reading error now and then.
-    """
-    at = items.select("contig_id", "rec", "template", "comp", "library", F.explode(F.sequence("start", "end")).alias("pos"))
+def _with_bases(at: DataFrame, *keep: str) -> DataFrame:
     error = (F.col("rec") * 31 + F.col("pos") * 17) % 23
     code = (F.col("contig_id") * 7 + F.expr("pos div 3") + F.col("pos") * F.col("pos")) % 5
     return at.select(
-        "contig_id", "pos", "rec", "template", "comp", "library",
+        *keep, "contig_id", "pos", "rec", "template", "comp", "library",
         F.when(error == 0, 5).when(error < 3, (code + error) % 5).otherwise(code).cast("int").alias("code"),
         ((F.col("rec") * 7 + F.col("pos") * 3) % 41).cast("int").alias("qual"),
     )
 
 
+def bases(items: DataFrame) -> DataFrame:
+    """One row a read base: contig_id, pos, rec, template, comp, code (0..3 ACGT, 4 pad, 5 N), qual (0..40).
+
+    The tables hold no DNA; the codes are a function of contig and position with a reading error now and then.
+    """
+    return _with_bases(items.select("contig_id", "rec", "template", "comp", "library", F.explode(F.sequence("start", "end")).alias("pos")))
+
+
+def column_bases(items: DataFrame, width: int = 4096) -> DataFrame:
+    """The rows of ``bases`` for work on columns, and their ``block`` of ``width`` positions.
+
+    Reads are dealt to tasks by contig and block before they become bases, those over a border to both
+    blocks, each with its own part; groupings by (contig_id, block, pos) then need no shuffle of bases, and a
+    contig with very many reads is as many tasks as it has blocks.
+    """
+    cut = items.select("contig_id", "rec", "template", "comp", "library", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("block"))
+    dealt = spread(cut, "contig_id", "block")
+    own = F.sequence(F.greatest(F.col("start"), F.col("block") * width), F.least(F.col("end"), F.col("block") * width + width - 1))
+    return _with_bases(dealt.select("contig_id", "block", "rec", "template", "comp", "library", F.explode(own).alias("pos")), "block")
+
+
 BASES = """base0 AS (
   SELECT contig_id, rec, template, comp, library, unnest(range("start", "end" + 1)) AS pos FROM item
 ), base1 AS (
@@ -144,10 +162,17 @@ ALIGNED = f"""{ITEM}, paired AS (
 )"""
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, id_col: str) -> DataFrame:
+    """id and text of a table; a scan in fewer tasks than there are cores is dealt out by id, as work on texts outweighs their bytes."""
+    found = table(spark, sf_dir, name).select(F.col(id_col).alias("id"), "text")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores, "id") if found.rdd.getNumPartitions() < cores else found
+
+
 def seq(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
     """Sequences of A, C, G, T from texts: id, seq."""
     bases_only = F.regexp_replace(F.upper(F.translate("text", "eiounhrs", "ACGTACGT")), "[^ACGT]", "")
-    return table(spark, sf_dir, name).select(F.col(id_col).alias("id"), bases_only.alias("seq"))
+    return texts(spark, sf_dir, name, id_col).select("id", bases_only.alias("seq"))
 
 
 SEQ = "seqs AS (SELECT doc_id AS id, regexp_replace(upper(translate(text, 'eiounhrs', 'ACGTACGT')), '[^ACGT]', '', 'g') AS seq FROM documents)"
@@ -157,7 +182,7 @@ BENCH = "probe AS (SELECT item_id AS id, regexp_replace(upper(translate(text, 'e
 def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences with pads: spaces of the text become '*'."""
     kept = F.regexp_replace(F.upper(F.translate("text", "eiounhrs ", "ACGTACGT*")), "[^ACGT*]", "")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kept.alias("seq"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("id", kept.alias("seq"))
 
 
 PADDED = "padded AS (SELECT doc_id AS id, regexp_replace(upper(translate(text, 'eiounhrs ', 'ACGTACGT*')), '[^ACGT*]', '', 'g') AS seq FROM documents)"
