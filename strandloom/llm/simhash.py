@@ -193,6 +193,8 @@ def _links(distance: int, cell_rows: int):
             return np.concatenate(a_out), np.concatenate(b_out)
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cells = np.concatenate([rest_cell, batch.column(0).to_numpy(zero_copy_only=False)])
             prints = np.concatenate([rest_prints, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
             if large is not None:
@@ -203,7 +205,7 @@ def _links(distance: int, cell_rows: int):
                 if not len(cells):
                     rest_cell, rest_prints = cells, prints
                     continue
-            whole = int(np.searchsorted(cells != cells[-1], False)) if not len(cells) else int(np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))[-1])
+            whole = int(np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))[-1])
             rest_cell, rest_prints = cells[whole:], prints[whole:]
             if len(rest_cell) > cell_rows:
                 large = rest_cell[0]

@@ -75,3 +75,13 @@ def test_manhattan_is_a_lower_bound():
     plain = sum(abs(np.bitwise_count(a >> np.uint64(2 * s) & np.uint64(3)).astype(int) - np.bitwise_count(b >> np.uint64(2 * s) & np.uint64(3))) for s in range(32))
     assert (simhash.manhattan(simhash.counts_of(a), simhash.counts_of(b)) == plain).all()
     assert (plain <= np.bitwise_count(a ^ b)).all()
+
+
+def test_empty_batches_between_others():
+    import pyarrow as pa
+
+    batch = lambda cells, prints: pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(prints, pa.int64())], ["cell", "fp"])
+    batches = [batch([], []), batch([1, 1], [0, 3]), batch([], []), batch([1, 2], [7, 9]), batch([], [])]
+    found = {tuple(sorted(x)) for out in simhash._links(4, 4096)(iter(batches)) for x in zip(out.column(1).to_pylist(), out.column(2).to_pylist())}
+    assert found and all(bin(a ^ b).count("1") <= 4 for a, b in found) and {x for pair in found for x in pair} == {0, 3, 7}
+    assert list(simhash._links(4, 4096)(iter([batch([], [])]))) == []
