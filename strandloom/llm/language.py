@@ -252,8 +252,16 @@ def fit(documents: DataFrame, usable: Column | None = None, sample_rows: int = 5
 
 
 def _ranked(rows: DataFrame, order, most: int, in_all: int) -> DataFrame:
-    """The first ``most`` rows of each language: ids and hashes are ranked first (tasks keep their first rows before the shuffle), texts join afterwards."""
-    few = rows.select("lang", "place", "id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    """The first ``most`` rows of each language by hash, ``in_all`` at most: ids and hashes are ranked first, texts join afterwards.
+
+    Only hashes low enough to leave some 2 * ``most`` rows of a language are ranked, so no language's
+    rows meet in one task; where they leave fewer than ``most``, the sample has these. The languages
+    are the first ``in_all`` by name.
+    """
+    keyed = rows.select("lang", "place", "id")
+    sizes = keyed.groupBy("lang").agg(F.count("*").alias("rows")).orderBy("lang").limit(in_all)
+    low = keyed.join(F.broadcast(sizes), "lang").filter((F.col("place") / 2.0**63 + 1) / 2 <= 2.0 * most / F.col("rows"))
+    few = low.select("lang", "place", "id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     few = few.groupBy("lang", "place", "id").agg(F.min("rank").alias("rank")).orderBy("rank", "lang", "place").limit(in_all)
     return rows.join(F.broadcast(few), ["lang", "place", "id"]).dropDuplicates(["lang", "place", "id"]).select("lang", "rank", "text")
 
