@@ -105,7 +105,7 @@ def significant_diagonals(hits: DataFrame, k: int, max_prob: float) -> DataFrame
     more = lambda s, i: F.struct((s["term"] * F.col("mean") / i).alias("term"), (s["total"] + s["term"] * F.col("mean") / i).alias("total"))
     places = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     below = F.aggregate(places, start, more, lambda s: s["total"])
-    return hits.withColumn("length", length).withColumn("mean", F.col("length") * F.pow(F.col("p"), F.lit(k))).withColumn("chance", 1 - below).filter(F.col("chance") < max_prob)
+    return hits.withColumn("length", length).withColumn("mean", F.col("length") * F.pow(F.col("p"), F.lit(k))).withColumn("chance", F.greatest(1 - below, F.lit(0.0))).filter(F.col("chance") < max_prob)
 
 
 def best_intercepts(diagonals: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ TEMPLATES = ITEM + """, t AS (SELECT template, count(*) AS n_reads, count(DISTIN
 HITS = BOTH + ", " + words_sql(12) + ", " + words_sql(12, "probe", "pw") + f""", l1 AS (SELECT id, length(seq) AS len, (power(length(seq) - length(replace(seq, 'A', '')), 2) + power(length(seq) - length(replace(seq, 'C', '')), 2) + power(length(seq) - length(replace(seq, 'G', '')), 2) + power(length(seq) - length(replace(seq, 'T', '')), 2)) / power(length(seq), 2) AS p FROM seqs WHERE length(seq) > 0), l2 AS (SELECT id, length(seq) AS len FROM probe)
 , h AS (SELECT a.id AS id1, b.id AS id2, l1.len - a.pos + b.pos - 1 AS diagonal, l1.len AS len1, l2.len AS len2, p, count(*) AS n FROM words a JOIN pw b ON a.word = b.word JOIN l1 ON a.id = l1.id JOIN l2 ON b.id = l2.id GROUP BY ALL)
 , m AS (SELECT *, least(diagonal + 1, len1, len2, len1 + len2 - 1 - diagonal) AS length, least(diagonal + 1, len1, len2, len1 + len2 - 1 - diagonal) * power(p, 12) AS mean FROM h)
-, tail AS (SELECT *, 1 - list_sum(list_transform(range(0, n), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1)))) AS chance FROM m) """
+, tail AS (SELECT *, greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(0, n), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1))))) AS chance FROM m) """
 
 
 def _diagonals(s, d):
@@ -133,8 +133,8 @@ QUERIES = {
     "e40_spanning_templates": (lambda s, d: _summary(s, d).filter("n_contigs > 1").select("template", "n_contigs"), TEMPLATES + "SELECT template, n_contigs FROM t WHERE n_contigs > 1"),
     "e42_acid_composition": (lambda s, d: A.seq(s, d).select(F.explode(F.filter(F.split(S.translate(F.col("seq")), ""), lambda c: c != "")).alias("acid")).groupBy("acid").agg(F.count("*").alias("n")), PROTEIN + "SELECT acid, count(*) AS n FROM aa GROUP BY 1"),
     "e43_acid_mass": (
-        lambda s, d: A.seq(s, d).withColumn("p", S.translate(F.col("seq"))).select("id", F.round(sum((S.count_letter(F.col("p"), a).cast("long") * F.lit(round(m * 10_000)) for a, m in M.ACID_MASS.items()), F.lit(0).cast("long")) / F.lit(10_000.0), 3).alias("mass")),
-        PROTEIN + ", w AS (SELECT id, sum(CASE acid " + " ".join(f"WHEN '{a}' THEN {round(m * 10000)}" for a, m in M.ACID_MASS.items()) + " ELSE 0 END) AS m FROM aa GROUP BY 1) SELECT seqs.id, round(coalesce(m, 0) / 10000.0::DOUBLE, 3) AS mass FROM seqs LEFT JOIN w ON seqs.id = w.id",
+        lambda s, d: A.seq(s, d).withColumn("p", S.translate(F.col("seq"))).select("id", F.round(sum((S.count_letter(F.col("p"), a).cast("long") * F.lit(round(m * 10_000)) for a, m in M.ACID_MASS.items()), F.lit(0).cast("long")) / F.lit(10_000.0), 4).alias("mass")),
+        PROTEIN + ", w AS (SELECT id, sum(CASE acid " + " ".join(f"WHEN '{a}' THEN {round(m * 10000)}" for a, m in M.ACID_MASS.items()) + " ELSE 0 END) AS m FROM aa GROUP BY 1) SELECT seqs.id, round(coalesce(m, 0) / 10000.0::DOUBLE, 4) AS mass FROM seqs LEFT JOIN w ON seqs.id = w.id",
     ),
     "e45_expected_dinucleotides": (
         lambda s, d: C.dinucleotides(A.seq(s, d)).select("word", "expected"),
