@@ -144,10 +144,6 @@ QUERIES = {
         lambda s, d: C.codon_usage(A.seq(s, d)).select("codon", F.element_at(F.create_map(*[F.lit(x) for kv in M.THREE_LETTERS.items() for x in kv]), F.col("acid")).alias("name")),
         SEQ + ", " + codons_sql() + f", a AS (SELECT DISTINCT codon, substr('{CODE}', {TRIPLET.format(c='codon')}, 1) AS acid FROM codon) SELECT codon, CASE acid " + " ".join(f"WHEN '{a}' THEN '{n}'" for a, n in M.THREE_LETTERS.items()) + " END AS name FROM a",
     ),
-    "i42_one_letter": (
-        lambda s, d: s.createDataFrame(sorted((n, a) for a, n in M.THREE_LETTERS.items() if a.isalpha()), "name string, acid string"),
-        "SELECT name, acid FROM (VALUES " + ", ".join(f"('{n}', '{a}')" for a, n in M.THREE_LETTERS.items() if a.isalpha()) + ") t(name, acid)",
-    ),
     "i43_legal_codons": (
         lambda s, d: A.seq(s, d).select("id", F.expr("substring(seq, 1, 3)").alias("codon")).withColumn("legal", S.codon_index(F.col("codon")).isNotNull()).groupBy("legal").agg(F.count("*").alias("n")),
         SEQ + "SELECT regexp_full_match(substr(seq, 1, 3), '[ACGT]{3}') AS legal, count(*) AS n FROM seqs GROUP BY 1",
@@ -181,8 +177,10 @@ QUERIES = {
         SEQ + ", " + words_sql(6) + f", m AS (SELECT id, {matrix_sql()} AS score FROM words) SELECT id, max(score) AS score, count(*) AS n FROM m WHERE score >= 10 GROUP BY 1",
     ),
     "i61_sites_with_cuts": (
-        lambda s, d: s.createDataFrame(C.ENZYMES, "enzyme string, site string, cut int").select("enzyme", F.expr("concat(substring(site, 1, cut), \"'\", substring(site, cut + 1, 100))").alias("shown")),
-        "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t[:c]}''{t[c:]}')" for n, t, c in C.ENZYMES) + ") t(enzyme, shown)",
+        lambda s, d: C.restriction_sites(A.seq(s, d)).groupBy("enzyme").agg(F.count("*").alias("n")).withColumn(
+            "shown", F.element_at(F.create_map(*[F.lit(x) for n, t, c in C.ENZYMES for x in (n, f"{t[:c]}'{t[c:]}")]), F.col("enzyme"))
+        ),
+        SEQ + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS enzyme, '{t[:c]}''{t[c:]}' AS shown, CAST(sum((length(seq) - length(replace(seq, '{t}', ''))) // {len(t)}) AS BIGINT) AS n FROM seqs" for n, t, c in C.ENZYMES) + ") WHERE n > 0",
     ),
     "i63_vector_cut_sites": (
         lambda s, d: A.seq(s, d, "benchmark", "item_id").select("id", (F.instr("seq", "AGCT") + 1).alias("cut")).filter("cut > 1"),

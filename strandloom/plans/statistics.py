@@ -55,6 +55,16 @@ PROTEIN = SEQ + ", " + codons_sql() + f", aa AS (SELECT id, substr('{CODE}', {TR
 SAMPLE = "x AS (SELECT rec, CASE rec % 5 WHEN 0 THEN 'ILLUMINA' WHEN 1 THEN 'ls454' WHEN 2 THEN 'Solid' WHEN 3 THEN 'ABI' ELSE 'other' END AS platform FROM item)"
 
 
+ENZYME_SQL = "SELECT replace(p_brand, '#', '') || '_' || p_partkey AS enzyme, site, p_size % length(site) AS cut FROM (SELECT *, substr(regexp_replace(upper(translate(p_name, 'eiounhrs', 'ACGTACGT')), '[^ACGT]', '', 'g'), 1, 6) AS site FROM part) WHERE length(site) > 0"
+
+
+def _enzymes(s, d):
+    """Made-up enzymes of the parts: a site of up to six letters of the name, cut somewhere inside."""
+    site = F.substring(F.regexp_replace(F.upper(F.translate("p_name", "eiounhrs", "ACGTACGT")), "[^ACGT]", ""), 1, 6)
+    named = A.table(s, d, "part").withColumn("site", site).filter("length(site) > 0")
+    return named.select(F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("_"), F.col("p_partkey").cast("string")).alias("enzyme"), "site", (F.col("p_size") % F.length("site")).cast("int").alias("cut"))
+
+
 def _platforms(s, d):
     r = F.col("rec")
     platform = F.when(r % 5 == 0, "ILLUMINA").when(r % 5 == 1, "ls454").when(r % 5 == 2, "Solid").when(r % 5 == 3, "ABI").otherwise("other")
@@ -191,8 +201,13 @@ QUERIES = {
         ITEM + """SELECT 'r' || rec AS name, CASE WHEN comp THEN '-' ELSE '+' END AS sense, "start" AS "offset", -1 AS tolerance FROM item""",
     ),
     "a47_enzyme_lines": (
-        lambda s, d: T.parse_enzymes(s.createDataFrame([(f"{n}/{t[:c]}'{t[c:]}//",) for n, t, c in C.ENZYMES], "value string")),
-        "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', {c})" for n, t, c in C.ENZYMES) + ") t(enzyme, site, cut)",
+        lambda s, d: T.parse_enzymes(_enzymes(s, d).select(F.expr("concat(enzyme, '/', substring(site, 1, cut), '\\'', substring(site, cut + 1, 100), '/\\'', reverse(site), '//')").alias("value"))),
+        f"WITH e AS ({ENZYME_SQL}) SELECT enzyme, site, CAST(cut AS INT) AS cut FROM e UNION ALL SELECT enzyme, reverse(site), 0 FROM e",
+    ),
+    "i42_one_letter": (
+        lambda s, d: A.seq(s, d).select(F.explode(F.filter(F.split(S.translate(F.col("seq")), ""), lambda c: c.rlike("[A-Z]"))).alias("a")).groupBy(F.element_at(F.create_map(*[F.lit(x) for kv in M.THREE_LETTERS.items() for x in kv]), F.col("a")).alias("name")).agg(F.count("*").alias("n"))
+        .select("name", F.element_at(F.create_map(*[F.lit(x) for a, n in M.THREE_LETTERS.items() if a.isalpha() for x in (n, a)]), F.col("name")).alias("acid"), "n"),
+        PROTEIN + ", t(name, acid) AS (VALUES " + ", ".join(f"('{n}', '{a}')" for a, n in M.THREE_LETTERS.items() if a.isalpha()) + ") SELECT name, t.acid, count(*) AS n FROM aa JOIN t ON aa.acid = t.acid GROUP BY 1, 2",
     ),
     "a31_agp_round_trip": (
         lambda s, d: T.parse_agp(lists.agp(A.scaffold_member(s, d)).select(F.concat_ws("\t", F.col("scaffold_id").cast("string"), F.lit("1"), F.lit("1"), F.col("part").cast("string"), "kind", F.when(F.col("kind") == "N", F.col("size").cast("string")).otherwise(F.col("contig_id").cast("string"))).alias("value"))).select(F.col("scaffold").cast("long").alias("scaffold_id"), F.col("contig").cast("long").alias("contig_id"), "gap_size"),
