@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,66 @@ def library_quartiles(histogram: DataFrame, low: dict | None = None) -> DataFram
     return out.select(*key, "n", bin_size(F.col("b1")).alias("q1"), bin_size(F.col("b2")).alias("median"), bin_size(F.col("b3")).alias("q3"), F.round((bin_size(F.col("b3")) - bin_size(F.col("b1"))) / 1.349, 6).alias("sd"))
 
 
+def bin_of_size(size: float) -> int:
+    x = min(max(int(size), 0), 1 << 20)
+    y = max(0, max(x, 1).bit_length() - 8)
+    return y * 128 + (x >> y)
+
+
+def size_of_bin(b: int) -> int:
+    y = max(0, b // 128 - 1)
+    return (b - y * 128) << y
+
+
+def fitted_size(bins: list[int], counts: list[int], low: int, high: int) -> tuple[int, float]:
+    """(median, deviation) of the pairs in bins from ``low`` up to ``high``, which is left out.
+
+    A quartile is the upper end of the bin in which it is reached; that bin counts again towards the
+    next one. Without a bin both are zero.
+    """
+    if low >= high:
+        return 0, 0.0
+    inside = [(b, n) for b, n in zip(bins, counts, strict=True) if low <= b < high]
+    total, run, i, ends = sum(n for _, n in inside), 0, 0, []
+    for share in (0.25, 0.5, 0.75):
+        while total and (run := run + inside[i][1]) < share * total:
+            i += 1
+        ends.append(size_of_bin((inside[i][0] if total else low) + 1))
+    return ends[1], (ends[2] - ends[0]) / 1.349
+
+
+def _library_sizes(frame: pd.DataFrame) -> pd.DataFrame:
+    kinds = ("INWARD", "OUTWARD", "SAME")
+    own = [frame[frame["orientation"] == k].sort_values("bin") for k in kinds]
+    bins, counts = [list(x["bin"]) for x in own], [list(x["n"]) for x in own]
+    fits: list[tuple[int, float]] = []
+    for r in range(10):
+        before = [int(sd) for _, sd in fits]
+        ranges = [(0, 1 << 14)] * 3 if not r else [(bin_of_size(m - 3 * sd) if m - 3 * sd > 0 else 0, bin_of_size(m + 3 * sd)) for m, sd in fits]
+        fits = [fitted_size(b, n, *at) for b, n, at in zip(bins, counts, ranges, strict=True)]
+        if before == [int(sd) for _, sd in fits]:
+            break
+    n = [sum(x) for x in counts]
+    top = (0 if n[0] > n[2] else 2) if n[0] > n[1] else (1 if n[1] > n[2] else 2)
+    return pd.DataFrame({"library": [frame["library"].iloc[0]], "lib_type": [kinds[top]], "n": [sum(n)], "size": [fits[top][0]], "sd": [fits[top][1]]})
+
+
+def library_sizes(histogram: DataFrame) -> DataFrame:
+    """library, lib_type, n, size, sd of insert sizes after up to ten rounds.
+
+    Each round takes the quartiles of the pairs within three deviations of the last median, until the
+    deviations of all orientations keep their whole part. A library's histogram has some 1,700 bins an
+    orientation at most, so that a task holds little, however many pairs there are.
+    """
+    return histogram.groupBy("library").applyInPandas(_library_sizes, "library string, lib_type string, n long, size long, sd double")
+
+
+def largest_insert(sizes: DataFrame) -> DataFrame:
+    """The largest size + 3 sd of all libraries, 1000 if none is over zero."""
+    most = F.max((F.col("size") + 3 * F.col("sd")).cast("long"))
+    return sizes.agg(F.when(most > 0, most).otherwise(1000).alias("size"))
+
+
 def library_types(histogram: DataFrame) -> DataFrame:
     """The most frequent orientation of a library is its type."""
     w = Window.partitionBy("library").orderBy(F.desc("n"), "orientation")

@@ -83,3 +83,16 @@ def test_acid_mass_of_long_sequences(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = plans.registered()["e43_acid_mass"][0](spark, str(tmp_path)).first()
     assert abs(got.mass - 186.2133 * 40_000) < 1e-2
+
+
+def test_library_sizes_worked_by_hand(spark):
+    # U: one pair of each size from 100 to 199; 25 pairs up to 124, so q1 125; 124 counts again: the 50th at 148; that again: the 75th at 172
+    # one size alone: the next round's range has no bin, so size and deviation are zero
+    rows = [("U", "INWARD", b, 1) for b in range(100, 200)] + [("U", "SAME", 40, 9), ("One", "OUTWARD", 200, 7)]
+    df = spark.createDataFrame(rows, "library string, orientation string, bin int, n long")
+    got = {r.library: r for r in pairs.library_sizes(df).collect()}
+    assert (got["U"].lib_type, got["U"].n, got["U"]["size"]) == ("INWARD", 109, 149) and abs(got["U"].sd - 48 / 1.349) < 1e-9
+    assert (got["One"].lib_type, got["One"]["size"], got["One"].sd) == ("OUTWARD", 0, 0.0)
+    assert pairs.largest_insert(pairs.library_sizes(df)).first()["size"] == 255
+    assert pairs.largest_insert(pairs.library_sizes(df.filter("library = 'One'"))).first()["size"] == 1000
+    assert [pairs.bin_of_size(x) for x in (0, 255, 256, 300, 1 << 22)] == [r.b for r in spark.createDataFrame([(x,) for x in (0, 255, 256, 300, 1 << 22)], "s int").select(pairs.insert_bin(F.col("s")).alias("b")).collect()]
