@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import consensus, coverage, pileups, shuffling
+from strandloom.operators import consensus, coverage, haplotypes, pileups, shuffling
+from strandloom.operators import pairs as P
 from strandloom.sources import adapters as A
 from strandloom.sources import bam
-from strandloom.sources.shared import fresh_path
+from strandloom.sources.shared import fresh_path, written
 from strandloom.streaming import pileup as stream
 
 COLUMNS = f"WITH {A.ITEM}, {A.BASES}, col AS (SELECT contig_id, pos, " + ", ".join(
@@ -103,7 +104,51 @@ def _difference_clips(s, d):
     return coverage.difference_clips(items, bases, calls)
 
 
+#: Sites of two alleles, each divided by what stands near it; a template's base at a site outweighs all its others.
+SITES = f"""WITH {A.ITEM}, {A.BASES}, q AS (
+  SELECT contig_id, pos, code, CAST(sum(qual) AS BIGINT) AS q FROM bases WHERE code < 4 GROUP BY 1, 2, 3
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY contig_id, pos ORDER BY q DESC, code) AS r FROM q
+), candidate AS (
+  SELECT contig_id, pos, least(1000, max(q) FILTER (WHERE r = 1) * max(q) FILTER (WHERE r = 2)) AS score FROM r GROUP BY 1, 2 HAVING max(q) FILTER (WHERE r = 2) >= 40
+), site AS (
+  SELECT a.contig_id, a.pos, a.score / (sum(3 - abs(a.pos - b.pos)) / 3.0::DOUBLE) AS score
+  FROM candidate a JOIN candidate b ON a.contig_id = b.contig_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 GROUP BY a.contig_id, a.pos, a.score
+), by_code AS (
+  SELECT contig_id, pos, template, code, CAST(sum(qual) AS BIGINT) AS conf FROM bases JOIN site USING (contig_id, pos) WHERE qual >= 15 AND code < 5 GROUP BY 1, 2, 3, 4
+), of_template AS (
+  SELECT contig_id, pos, template, arg_max(code, conf * 8 - code) AS code, CAST(2 * max(conf) - sum(conf) AS BIGINT) AS conf FROM by_code GROUP BY 1, 2, 3 HAVING 2 * max(conf) - sum(conf) >= 15
+) """
+CHIMERA = SITES + """, edge AS (
+  SELECT a.contig_id, a.template, b.template AS other, power((abs(sum(CASE WHEN a.code = b.code THEN s.score ELSE -s.score END)) + 500) / (sum(s.score) + 500), 2) AS purity
+  FROM of_template a JOIN of_template b ON a.contig_id = b.contig_id AND a.pos = b.pos AND a.template <> b.template JOIN site s ON a.contig_id = s.contig_id AND a.pos = s.pos GROUP BY 1, 2, 3
+), every AS (SELECT DISTINCT contig_id, template FROM of_template)
+SELECT contig_id, template, count(other) AS edges, round(coalesce(min(purity) * (sum(purity) + 5) / (count(other) + 5), 1), 6) AS chimera FROM every LEFT JOIN edge USING (contig_id, template) GROUP BY 1, 2"""
+
+
+def _sites(s, d):
+    return haplotypes.spaced_sites(consensus.snp_candidates(A.bases(A.item(s, d)), 40).select("contig_id", "pos", "score"))
+
+
+def _haplotypes(s, d):
+    """Sites, bases of templates at them, and the tenth of a weight for templates whose strands conflict."""
+    items = A.item(s, d)
+    sites = written(_sites(s, d), "sites")
+    weights = P.strand_conflicts(items).select("contig_id", "template", F.lit(0.1).alias("weight")).distinct()
+    return sites, haplotypes.template_bases(A.column_bases(items), sites, 15), weights
+
+
+def _chimera(s, d):
+    sites, found, _ = _haplotypes(s, d)
+    return haplotypes.chimera_scores(sites, found).withColumn("chimera", F.round("chimera", 6))
+
+
 QUERIES = {
+    "e56_spaced_sites": (lambda s, d: _sites(s, d).withColumn("score", F.round("score", 6)), SITES + "SELECT contig_id, pos, round(score, 6) AS score FROM site"),
+    "e58_template_bases": (lambda s, d: _haplotypes(s, d)[1], SITES + "SELECT * FROM of_template"),
+    "e59_chimera_scores": (_chimera, CHIMERA),
+    # a search that works out links anew after each merge is no SQL: tests/test_haplotypes.py
+    "d53_haplotype_sets": (lambda s, d: haplotypes.haplotype_sets(*_haplotypes(s, d), least=100.0, offset=0.5), None),
     "f34_minimal_coverage": (lambda s, d: coverage.minimal_coverage(A.item(s, d)), COVERAGE),
     "f10_difference_clips": (_difference_clips, DIFFERENCES),
     "a8_bam_round_trip": (_through_bam, f"WITH {A.ALIGNED} SELECT * FROM aligned"),
