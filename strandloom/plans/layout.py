@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import consensus, coverage, haplotypes, pileups, shuffling
+from strandloom.operators import consensus, contig_order, coverage, haplotypes, pileups, ranges, shuffling, spans
 from strandloom.operators import pairs as P
+from strandloom.operators.composition import words
 from strandloom.sources import adapters as A
 from strandloom.sources import bam
 from strandloom.sources.shared import fresh_path, written
@@ -143,7 +144,37 @@ def _chimera(s, d):
     return haplotypes.chimera_scores(sites, found).withColumn("chimera", F.round("chimera", 6))
 
 
+#: Reads 1 and 2, 3 and 4, .. of a template within 800 columns of contig ends, seen from both contigs.
+EDGES = f"""WITH {A.ITEM}, ends AS (SELECT contig_id, min("start") AS f, max("end") AS l FROM item GROUP BY 1), near AS (
+  SELECT item.*, "start" - f <= 800 OR l - "end" <= 800 AS at_end FROM item JOIN ends USING (contig_id)
+) SELECT a.contig_id, b.contig_id AS mate_id, count(*) AS n, CASE WHEN count(*) FILTER (WHERE a.comp) > count(*) FILTER (WHERE NOT a.comp) THEN -1 ELSE 1 END AS side
+FROM near a JOIN near b ON a.template = b.template AND (a.end_no - 1) // 2 = (b.end_no - 1) // 2 AND a.contig_id <> b.contig_id AND a.at_end AND b.at_end GROUP BY 1, 2"""
+#: Windows of 15 letters, over the ends too; the two pads differ, so they agree with nothing.
+SPANS = f"""WITH {A.SEQ}, {A.BENCH}, w1 AS (
+  SELECT id, p, substr('-------' || seq || '-------', CAST(p + 7 AS BIGINT), 15) AS w FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) - 7 AS p FROM seqs WHERE length(seq) >= 15)
+), w2 AS (
+  SELECT id, p, substr('#######' || seq || '#######', CAST(p + 7 AS BIGINT), 15) AS w FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) - 7 AS p FROM probe WHERE length(seq) >= 15)
+), shared AS (
+  SELECT DISTINCT a.id AS id1, b.id AS id2 FROM (SELECT DISTINCT id, substr(seq, CAST(unnest(range(1, length(seq) - 14)) AS BIGINT), 16) AS w FROM seqs WHERE length(seq) >= 16) a
+  JOIN (SELECT DISTINCT id, substr(seq, CAST(unnest(range(1, length(seq) - 14)) AS BIGINT), 16) AS w FROM probe WHERE length(seq) >= 16) b USING (w)
+) SELECT id1, id2, w1.p AS pos1, w2.p AS pos2, 15 - hamming(w1.w, w2.w) AS score FROM shared JOIN w1 ON w1.id = id1 JOIN w2 ON w2.id = id2 WHERE hamming(w1.w, w2.w) <= 2"""
+
+
+def _similar_spans(s, d):
+    seqs, probes = A.seq(s, d), A.seq(s, d, "benchmark", "item_id")
+    return spans.similar_spans(seqs, probes, spans.sharing_pairs(words(seqs, 16), words(probes, 16)), 15, 13)
+
+
+def _signed_edges(s, d):
+    items = A.item(s, d)
+    return contig_order.signed_edges(P.mates(items), ranges.contig_ranges(A.visible(items)), 800)
+
+
 QUERIES = {
+    "d40_signed_edges": (_signed_edges, EDGES),
+    # paths are searched through each component in turn: tests/test_spans_order.py
+    "d41_contig_order": (lambda s, d: contig_order.contig_order(written(_signed_edges(s, d), "contig-edges")), None),
+    "d30_similar_spans": (_similar_spans, SPANS),
     "e56_spaced_sites": (lambda s, d: _sites(s, d).withColumn("score", F.round("score", 6)), SITES + "SELECT contig_id, pos, round(score, 6) AS score FROM site"),
     "e58_template_bases": (lambda s, d: _haplotypes(s, d)[1], SITES + "SELECT * FROM of_template"),
     "e59_chimera_scores": (_chimera, CHIMERA),

@@ -18,7 +18,7 @@ def test_matches_sql(spark, duck, name):
 
 
 #: Per-read state that SQL does not express; tests/test_perread.py and the tests of the operators have their cases.
-NO_SQL = {"d53_haplotype_sets", "e29_library_sizes", "e31_largest_insert", "d11_internal_joins", "j11_shuffled_pads", "f12_adaptive_quality_clips", "f21_low_complexity", "j1_global_alignments", "j8_local_alignments"}
+NO_SQL = {"d41_contig_order", "d53_haplotype_sets", "e29_library_sizes", "e31_largest_insert", "d11_internal_joins", "j11_shuffled_pads", "f12_adaptive_quality_clips", "f21_low_complexity", "j1_global_alignments", "j8_local_alignments"}
 
 
 def test_only_per_read_operators_lack_sql():
