@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import consensus, contig_order, coverage, haplotypes, pileups, ranges, shuffling, spans
+from strandloom.operators import consensus, contig_order, coverage, extension, haplotypes, pileups, ranges, shuffling, spans
 from strandloom.operators import pairs as P
 from strandloom.operators.composition import words
 from strandloom.sources import adapters as A
@@ -170,7 +170,56 @@ def _signed_edges(s, d):
     return contig_order.signed_edges(P.mates(items), ranges.contig_ranges(A.visible(items)), 800)
 
 
+#: Both ends of contigs, the left one mirrored; clipped parts against the calls, columns behind the end, sums along reads.
+EXTENSION = f"""WITH {A.ITEM}, {A.BASES}, {A.VISIBLE}, pile AS (
+  SELECT b.contig_id, b.pos, count(*) AS depth, {", ".join(f"count(*) FILTER (WHERE code = {i}) AS c{i}" for i in range(5))} FROM bases b JOIN vis v ON b.rec = v.rec AND b.pos BETWEEN v.vstart AND v.vend GROUP BY 1, 2
+), calls AS (
+  SELECT contig_id, pos, CASE WHEN 100 * greatest(c0, c1, c2, c3, c4) // depth < 50 THEN '-' WHEN c0 = greatest(c0, c1, c2, c3, c4) THEN 'A' WHEN c1 = greatest(c0, c1, c2, c3, c4) THEN 'C'
+         WHEN c2 = greatest(c0, c1, c2, c3, c4) THEN 'G' WHEN c3 = greatest(c0, c1, c2, c3, c4) THEN 'T' ELSE '*' END AS base FROM pile
+), sided AS (
+  SELECT contig_id, 'right' AS side, rec, "start" AS s, "end" AS e, vend FROM vis UNION ALL SELECT contig_id, 'left', rec, -"end", -"start", -vstart FROM vis
+), reads AS (
+  SELECT * FROM (SELECT *, max(vend) OVER (PARTITION BY contig_id, side) AS last FROM sided) WHERE s <= last AND last <= e AND last - vend < 1024
+), seen AS (
+  SELECT r.*, b.pos, b.code AS told, CASE WHEN side = 'left' AND b.code < 4 THEN 3 - b.code ELSE b.code END AS code, CASE WHEN side = 'left' THEN -b.pos ELSE b.pos END - last AS place FROM reads r JOIN bases b ON r.rec = b.rec
+), bad AS (
+  SELECT contig_id, side, rec FROM seen LEFT JOIN calls USING (contig_id, pos) WHERE place > vend - last AND place <= 0 GROUP BY 1, 2, 3
+  HAVING 100 * count(*) FILTER (WHERE coalesce(substr('ACGT*N', told + 1, 1) <> base, true)) // count(*) > 5
+), kept AS (
+  SELECT * FROM seen ANTI JOIN bad USING (contig_id, side, rec) WHERE place BETWEEN 1 AND 1024
+), cols AS (
+  SELECT contig_id, side, place, count(*) AS depth, {", ".join(f"count(*) FILTER (WHERE code = {i}) AS n{i}" for i in range(4))} FROM kept WHERE code < 4 GROUP BY 1, 2, 3 HAVING count(*) >= 2
+), scored AS (
+  SELECT *, CASE greatest(n0, n1, n2, n3) WHEN n0 THEN 0 WHEN n1 THEN 1 WHEN n2 THEN 2 ELSE 3 END AS call, row_number() OVER (PARTITION BY contig_id, side ORDER BY place) AS i,
+         CAST(round((2 * greatest(n0, n1, n2, n3) - depth) / depth::DOUBLE * 1e9::DOUBLE) AS BIGINT) AS gain FROM cols
+), summed AS (
+  SELECT *, CAST(sum(gain) OVER (PARTITION BY contig_id, side ORDER BY place) AS BIGINT) AS score FROM scored WHERE i = place
+), best AS (
+  SELECT contig_id, side, place AS grown FROM (SELECT *, row_number() OVER (PARTITION BY contig_id, side ORDER BY score DESC, place DESC) AS r FROM summed WHERE score >= 0) WHERE r = 1
+), fresh AS (
+  SELECT s.*, grown FROM summed s JOIN best b ON s.contig_id = b.contig_id AND s.side = b.side AND s.place <= grown
+), along AS (
+  SELECT k.contig_id, k.side, k.rec, k.place, k.code = f.call AS same, sum(CASE WHEN k.code = f.call THEN 1 ELSE -3 END) OVER (PARTITION BY k.contig_id, k.side, k.rec ORDER BY k.place) AS total
+  FROM kept k JOIN fresh f ON k.contig_id = f.contig_id AND k.side = f.side AND k.place = f.place
+) """
+GROWN = EXTENSION + "SELECT contig_id, side, CAST(any_value(grown) AS BIGINT) AS grown, string_agg(substr('ACGT', call + 1, 1), '' ORDER BY place) AS sequence FROM fresh GROUP BY 1, 2"
+SHOWN = EXTENSION + "SELECT contig_id, side, rec, CAST(place AS BIGINT) AS clip FROM (SELECT *, row_number() OVER (PARTITION BY contig_id, side, rec ORDER BY total DESC, place DESC) AS r FROM along WHERE same AND total >= 0) WHERE r = 1"
+
+
+def _extensions(s, d):
+    items = A.visible(A.item(s, d))
+    reads = written(extension.end_reads(items), "end-reads")
+    near = items.join(reads.select("rec").distinct(), "rec", "left_semi")
+    # only what lies within reach of the contigs' ends is called
+    last = reads.groupBy("contig_id").agg(F.max(F.when(F.col("side") == "right", F.col("last"))).alias("high"), F.min(F.when(F.col("side") == "left", -F.col("last"))).alias("low"))
+    shown = items.join(last, "contig_id").filter((F.col("vend") > F.col("high") - extension.REACH) | (F.col("vstart") < F.col("low") + extension.REACH))
+    calls = consensus.frequency_consensus(consensus.pileup(A.column_bases(shown.withColumns({"start": F.col("vstart"), "end": F.col("vend")}))))
+    return extension.extensions(reads, A.bases(near), calls, 2)
+
+
 QUERIES = {
+    "j16_contig_extension": (lambda s, d: _extensions(s, d)[0], GROWN),
+    "j16_extension_clips": (lambda s, d: _extensions(s, d)[1], SHOWN),
     "d40_signed_edges": (_signed_edges, EDGES),
     # paths are searched through each component in turn: tests/test_spans_order.py
     "d41_contig_order": (lambda s, d: contig_order.contig_order(written(_signed_edges(s, d), "contig-edges")), None),
