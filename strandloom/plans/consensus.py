@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from strandloom.operators import consensus as C
+from strandloom.operators import tiles
 from strandloom.sources import adapters as A
 
 BASES = f"WITH {A.ITEM}, {A.BASES} "
@@ -41,8 +42,16 @@ def _bases(s, d):
     return A.bases(A.item(s, d))
 
 
+def _pile(s, d):
+    return tiles.pileup(A.item(s, d), A.base_arrays)
+
+
 def _freq(s, d):
-    return C.frequency_consensus(C.pileup(A.column_bases(A.item(s, d))))
+    return C.frequency_consensus(_pile(s, d))
+
+
+def _bayes(s, d, *names):
+    return tiles.bayes_consensus(A.item(s, d), A.base_arrays, names or tuple(tiles.TYPES))
 
 
 def _confidence_sql() -> str:
@@ -53,36 +62,36 @@ def _confidence_sql() -> str:
 RATES = CALLED + ", rates AS (SELECT qual, count(*) FILTER (WHERE code = called) AS matches, count(*) FILTER (WHERE code <> called) AS mismatches FROM called WHERE base NOT IN ('-', 'N') GROUP BY 1) "
 
 QUERIES = {
-    "e1_pileup": (lambda s, d: C.pileup(A.column_bases(A.item(s, d))), PILE + "SELECT * FROM pile"),
+    "e1_pileup": (lambda s, d: _pile(s, d), PILE + "SELECT * FROM pile"),
     "s22_frequency_consensus": (_freq, FREQ + "SELECT * FROM freq"),
     "s22_weighted_consensus": (
         lambda s, d: C.weighted_consensus(A.column_bases(A.item(s, d))),
         BASES + ", w AS (SELECT contig_id, pos, " + ", ".join(f"CAST(sum(CASE WHEN code = {i} THEN qual ELSE 0 END) AS BIGINT) AS w{i}" for i in range(5)) + " FROM bases GROUP BY 1, 2), p AS (SELECT *, greatest(w0, w1, w2, w3, w4) AS m, CASE WHEN w0 + w1 + w2 + w3 + w4 = 0 THEN 0 ELSE 100 * greatest(w0, w1, w2, w3, w4) // (w0 + w1 + w2 + w3 + w4) END AS percent FROM w) SELECT contig_id, pos, CASE WHEN w0 + w1 + w2 + w3 + w4 = 0 OR percent < 60 THEN '-' WHEN w0 = m THEN 'A' WHEN w1 = m THEN 'C' WHEN w2 = m THEN 'G' WHEN w3 = m THEN 'T' ELSE '*' END AS base, percent FROM p",
     ),
-    "e2_bayes_consensus": (lambda s, d: C.bayes_consensus(A.column_bases(A.item(s, d))), bayes_sql() + "SELECT * FROM bayes"),
+    "e2_bayes_consensus": (_bayes, bayes_sql() + "SELECT * FROM bayes"),
     "e4_discrepancy": (
-        lambda s, d: C.discrepancies(_bases(s, d), _freq(s, d)),
+        lambda s, d: tiles.discrepancies(A.item(s, d), A.base_arrays),
         CALLED + ", x AS (SELECT contig_id, pos, CAST(round(power(10.0::DOUBLE, -qual / 10) * 1e9::DOUBLE) AS BIGINT) AS e, code <> called AS other FROM called), y AS (SELECT contig_id, pos, CAST(sum(e) AS BIGINT) AS e, CAST(sum(CASE WHEN other THEN 1000000000 - e ELSE 0 END) AS BIGINT) AS m FROM x GROUP BY 1, 2) SELECT contig_id, pos, round(((m - e) / 1e9::DOUBLE) / sqrt(greatest((m + e) / 1e9::DOUBLE, 1e-9::DOUBLE)), 5) AS discrepancy FROM y",
     ),
-    "e22_confidence_list": (lambda s, d: C.confidence_list(C.bayes_consensus(A.column_bases(A.item(s, d)))), _confidence_sql()),
-    "e23_match_rates": (lambda s, d: C.match_rates(_bases(s, d), _freq(s, d)), RATES + "SELECT * FROM rates"),
+    "e22_confidence_list": (lambda s, d: C.confidence_list(_bayes(s, d, "phred")), _confidence_sql()),
+    "e23_match_rates": (lambda s, d: tiles.match_rates(A.item(s, d), A.base_arrays), RATES + "SELECT * FROM rates"),
     "e24_problem_score": (
-        lambda s, d: C.problem_score(C.match_rates(_bases(s, d), _freq(s, d))),
+        lambda s, d: C.problem_score(tiles.match_rates(A.item(s, d), A.base_arrays)),
         RATES + ", x AS (SELECT matches + mismatches AS t, (mismatches + 1) / ((matches + mismatches) * power(10.0::DOUBLE, -qual / 10) + 1) AS r FROM rates WHERE qual >= 3) SELECT round(sum(t * power(greatest(r, 1 / r) - 1, 2)) / sum(t), 4) AS problem_score, CAST(sum(t) AS BIGINT) AS bases FROM x",
     ),
     "f24_check_assembly": (
-        lambda s, d: C.worst_windows(_bases(s, d), _freq(s, d), 29),
+        lambda s, d: tiles.worst_windows(A.item(s, d), A.base_arrays, 29),
         CALLED + ", r AS (SELECT contig_id, rec, CAST(sum((code <> called)::INT) OVER (PARTITION BY rec ORDER BY pos ROWS BETWEEN 28 PRECEDING AND CURRENT ROW) AS BIGINT) AS m, count(*) OVER (PARTITION BY rec) AS len FROM called) SELECT contig_id, rec, 10000 * max(m) // least(min(len), 29) AS worst FROM r GROUP BY 1, 2",
     ),
     "e56_snp_candidates": (
-        lambda s, d: C.snp_candidates(_bases(s, d), 40),
+        lambda s, d: tiles.snp_candidates(A.item(s, d), A.base_arrays, 40),
         BASES + ", q AS (SELECT contig_id, pos, code, CAST(sum(qual) AS BIGINT) AS q FROM bases WHERE code < 4 GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY contig_id, pos ORDER BY q DESC, code) AS r FROM q), p AS (SELECT contig_id, pos, max(code) FILTER (WHERE r = 1) AS first, max(code) FILTER (WHERE r = 2) AS second, max(q) FILTER (WHERE r = 1) AS q1, max(q) FILTER (WHERE r = 2) AS q2 FROM r GROUP BY 1, 2) SELECT contig_id, pos, first, second, least(1000, q1 * q2) AS score FROM p WHERE q2 >= 40",
     ),
     "c23_low_quality_search": (
-        lambda s, d: C.first_column(C.bayes_consensus(A.column_bases(A.item(s, d))), F.col("phred") < 20, 100),
+        lambda s, d: C.first_column(_bayes(s, d, "contig_id", "pos", "phred"), F.col("phred") < 20, 100),
         bayes_sql() + "SELECT contig_id, min(pos) AS pos FROM bayes WHERE phred < 20 AND pos >= 100 GROUP BY 1",
     ),
-    "c24_depth_search": (lambda s, d: C.first_column(C.pileup(A.column_bases(A.item(s, d))), F.col("depth") > 12, 100), PILE + "SELECT contig_id, min(pos) AS pos FROM pile WHERE depth > 12 AND pos >= 100 GROUP BY 1"),
+    "c24_depth_search": (lambda s, d: C.first_column(_pile(s, d), F.col("depth") > 12, 100), PILE + "SELECT contig_id, min(pos) AS pos FROM pile WHERE depth > 12 AND pos >= 100 GROUP BY 1"),
     "c34_good_bases_disagree": (
         lambda s, d: C.first_column(_bases(s, d).filter("qual >= 35 and code < 4").groupBy("contig_id", "pos").agg(F.countDistinct("code").alias("kinds")), F.col("kinds") > 1),
         BASES + ", k AS (SELECT contig_id, pos FROM bases WHERE qual >= 35 AND code < 4 GROUP BY 1, 2 HAVING count(DISTINCT code) > 1) SELECT contig_id, min(pos) AS pos FROM k GROUP BY 1",
@@ -96,11 +105,11 @@ QUERIES = {
         BASES + "SELECT rec, round(avg(qual), 5) AS mean_quality, min(qual) AS least FROM bases GROUP BY 1",
     ),
     "j15_pad_columns": (
-        lambda s, d: C.pileup(A.column_bases(A.item(s, d))).filter("n_pad > greatest(n_a, n_c, n_g, n_t) and (100 * n_pad) div depth >= 80").select("contig_id", "pos", "n_pad", "depth"),
+        lambda s, d: _pile(s, d).filter("n_pad > greatest(n_a, n_c, n_g, n_t) and (100 * n_pad) div depth >= 80").select("contig_id", "pos", "n_pad", "depth"),
         PILE + "SELECT contig_id, pos, n_pad, depth FROM pile WHERE n_pad > greatest(n_a, n_c, n_g, n_t) AND 100 * n_pad // depth >= 80",
     ),
     "e57_consensus_runs": (
-        lambda s, d: C.call_runs(_freq(s, d), 3),
+        lambda s, d: tiles.call_runs(A.item(s, d), A.base_arrays, 3),
         FREQ + ", r AS (SELECT *, pos - row_number() OVER (PARTITION BY contig_id, base ORDER BY pos) AS isl FROM freq WHERE base IN ('A', 'C', 'G', 'T')) SELECT contig_id, base, min(pos) AS pos, count(*) AS run FROM r GROUP BY contig_id, base, isl HAVING count(*) >= 3",
     ),
 }
