@@ -105,7 +105,7 @@ QUERIES = {
         PADDED + f", m AS (SELECT id, seq, regexp_extract(seq, '{M.iub_pattern(IUB_WORD, True)}') AS hit FROM padded) SELECT id, instr(seq, hit) AS place FROM m WHERE hit <> ''",
     ),
     "i29_match_lengths": (
-        lambda s, d: A.seq(s, d).select("id", M.match_length(F.col("seq"), S.rotate(F.col("seq"), F.lit(2)), 1 << 12).alias("n")).filter("n > 0"),
+        lambda s, d: M.match_lengths(A.seq(s, d).select("id", F.col("seq").alias("a"), S.rotate(F.col("seq"), F.lit(2)).alias("b"))).filter("n > 0"),
         SEQ + ", r AS (SELECT id, length(seq) AS l, length(regexp_extract(seq, '^(A+|C+|G+|T+)')) AS run FROM seqs), m AS (SELECT id, CASE WHEN run = l THEN l ELSE run - 1 END AS n FROM r) SELECT id, n FROM m WHERE n > 0",
     ),
     "i31_iub_inexact": (
