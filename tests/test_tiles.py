@@ -61,3 +61,9 @@ def test_no_row_a_base(spark, name):
     """Bases are made inside tasks: no plan explodes reads into positions or joins bases with calls."""
     plan = plans.registered()[name][0](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Generate") == 1 and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("name", ["f7_mean_quality_clip", "f14_best_window", "f15_unknown_density", "f18_bad_data_starts", "f9_unknown_base_clip", "f7_quality_clip_pairs", "f9_unknown_clip_pairs"])
+def test_clips_explode_no_read(spark, name):
+    plan = plans.registered()[name][0](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
