@@ -1,3 +1,6 @@
+import random
+import re
+
 from strandloom.operators import pileups
 from strandloom.streaming import pileup as stream
 
@@ -46,3 +49,38 @@ def test_stream_equals_batch_and_frees_columns(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     assert table(spark.read.parquet(out).collect()) == table(pileups.pileup(df).collect())
     assert pileups.pileup(df.limit(0)).count() == 0
+
+
+def plain_columns(rows):
+    """(contig, pos, nth) to counts, base by base."""
+    found, passing = {}, {}
+    for _, contig, pos, cigar, seq in rows:
+        ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+        last, at, ref, nth = pos + sum(n for n, op in ops if op in "MDN=X") - 1, 0, pos, 0
+        for n, op in ops:
+            for _ in range(n):
+                nth = nth + 1 if op in "IP" else nth if op in "SH" else 0
+                if op in "M=XDIP":
+                    where = (contig, ref - (op in "IP"), nth)
+                    base = "*" if op in "DP" else seq[at : at + 1].upper()
+                    own = found.setdefault(where, [0] * 6)
+                    own["ACGT*".find(base) if base and base in "ACGT*" else 5] += 1
+                    passing[where] = passing.get(where, 0) + (where[1] < last)
+                ref, at = ref + (op in "MDN=X"), at + (op in "MIS=X")
+    for where, own in found.items():
+        if where[2]:
+            own[4] += max(0, passing.get((*where[:2], 0), 0) - sum(own))
+    return {where: (*own, sum(own)) for where, own in found.items()}
+
+
+def test_reads_over_borders_of_blocks_and_batches(spark):
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        cigar = "".join(f"{rng.randint(1, 12)}{rng.choice('MIDNSP=X')}" for _ in range(rng.randint(1, 7)))
+        rows.append((i % 3, f"c{i % 3}", rng.randint(1, 90), cigar, "".join(rng.choice("ACGTacgtN") for _ in range(rng.randint(0, 60)))))
+    df = spark.createDataFrame(rows, "contig_no long, contig string, pos long, cigar string, seq string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert table(pileups.pileup(df, width=8).collect()) == table(pileups.pileup(df).collect()) == plain_columns(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
