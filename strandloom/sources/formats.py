@@ -55,8 +55,9 @@ def annotation_tags(text: Column) -> Column:
     """
     pattern = r"(?s)^\s*([+-]?[0-9]+);\s*([+-]?[0-9]+);(.);([^;]*)(?:;(.*))?$"
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), "[|]"), lambda x: x != "")
-    bad = F.array_position(F.transform(parts, lambda x: x.rlike(pattern)), F.lit(False))
-    good = F.filter(parts, lambda x, i: (bad == 0) | (i + 1 < bad))
+    # bound once: what a lambda captures is worked out anew for each element
+    bound = lambda value, f: F.transform(F.array(value), f)[0]
+    good = bound(parts, lambda ps: bound(F.array_position(F.transform(ps, lambda x: x.rlike(pattern)), F.lit(False)), lambda bad: F.when(bad == 0, ps).otherwise(F.slice(ps, F.lit(1), bad.cast("int") - 1))))
     part = lambda x, i: F.regexp_extract(x, pattern, i)
     return F.transform(
         good,
