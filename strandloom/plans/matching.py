@@ -62,7 +62,7 @@ QUERIES = {
         lambda s, d: C.pad_map(A.padded(s, d)).filter("unpadded % 40 = 1"),
         PADDED + ", b AS (SELECT id, pos AS padded, substr(seq, pos, 1) AS c FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS pos FROM padded)), u AS (SELECT id, padded, row_number() OVER (PARTITION BY id ORDER BY padded) AS unpadded FROM b WHERE c <> '*') SELECT id, padded, unpadded FROM u WHERE unpadded % 40 = 1",
     ),
-    "i12_repad": (lambda s, d: M.repadded(A.padded(s, d).select("id", S.depad(F.col("seq")).alias("seq")), M.gap_rows(A.padded(s, d))), PADDED + "SELECT id, seq FROM padded"),
+    "i12_repad": (lambda s, d: M.repadded(A.padded(s, d).select("id", S.depad(F.col("seq")).alias("seq")), M.gap_lists(A.padded(s, d))), PADDED + "SELECT id, seq FROM padded"),
     "i16_base_at_position": (
         lambda s, d: A.seq(s, d).filter("length(seq) > 30").select("id", M.base_at(F.col("seq"), (F.col("id") % 30 + 1).cast("int"), F.col("id") % 2 == 1).alias("base")),
         SEQ + f"SELECT id, CASE WHEN id % 2 = 1 THEN translate(substr(seq, CAST(length(seq) - id % 30 AS BIGINT), 1), {IUB_SQL}) ELSE substr(seq, CAST(id % 30 + 1 AS BIGINT), 1) END AS base FROM seqs WHERE length(seq) > 30",
