@@ -113,7 +113,7 @@ QUERIES = {
         SEQ + ", " + words_sql(9) + ", m AS (SELECT id, pos + 1 AS pos, " + iub_score_sql("GATRYWNAC") + " AS score FROM words) SELECT * FROM m WHERE score >= 9",
     ),
     "i33_padded_inexact": (
-        lambda s, d: C.inexact_matches(A.padded(s, d).select("id", S.depad(F.col("seq")).alias("seq")), "GATTACAG", 7).join(C.pad_map(A.padded(s, d)).withColumnRenamed("unpadded", "pos"), ["id", "pos"]).select("id", "padded", "score"),
+        lambda s, d: M.padded_inexact(A.padded(s, d), "GATTACAG", 7),
         PADDED + ", seqs AS (SELECT id, replace(seq, '*', '') AS seq FROM padded), " + words_sql(8) + ", m AS (SELECT id, pos + 1 AS u, " + " + ".join(f"(substr(word, {i + 1}, 1) = '{c}')::INT" for i, c in enumerate("GATTACAG")) + " AS score FROM words), b AS (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS u FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS pos FROM padded) WHERE substr(seq, pos, 1) <> '*') SELECT m.id, b.pos AS padded, score FROM m JOIN b ON m.id = b.id AND m.u = b.u WHERE score >= 7",
     ),
     "i34_padded_exact": (
