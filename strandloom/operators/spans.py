@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from strandloom.sources.shared import spread
 
+from .kmers import met
+
 #: Rows and columns of a tile; a task holds one comparison of a tile's bases at a time, 4 million cells of two bytes.
 TILE = 2048
+#: Probes that a stretch meets in one task, and letters of all probes up to which they are broadcast.
+PROBES, MOST_BROADCAST = 64, 1 << 25
 
 
 def _tiles(seqs: DataFrame, n: int, window: int, tile: int) -> DataFrame:
@@ -64,13 +68,22 @@ def similar_spans(seqs: DataFrame, probes: DataFrame, pairs: DataFrame, window:
                 if len(found):
                     yield found[found.pos1 != found.pos2] if skip_main else found
 
-    left = pairs.select("id1", "id2").distinct().join(_tiles(seqs, 1, window, tile), "id1")
-    met = left.join(_tiles(probes, 2, window, tile), "id2").select("id1", "id2", "tile1", "tile2", "text1", "text2")
-    schema = f"id1 {met.schema['id1'].dataType.simpleString()}, id2 {met.schema['id2'].dataType.simpleString()}, pos1 long, pos2 long, score long"
-    return spread(met, "id1", "id2", "tile1", "tile2").mapInPandas(compared, schema)
+    # a stretch of a sequence goes to a task once for some probes; few enough probes are broadcast and meet it there
+    own, found = _tiles(seqs, 1, window, tile), pairs.select("id1", "id2").distinct()
+    other = _tiles(probes, 2, window, tile)
+    if (other.agg(F.sum(F.length("text2"))).first()[0] or 0) <= MOST_BROADCAST:
+        lists = found.groupBy("id1").agg(F.sort_array(F.collect_list("id2")).alias("all"))
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PROBES).cast("int")), lambda i: F.slice("all", i * PROBES + 1, F.lit(PROBES)))
+        left = lists.select("id1", F.posexplode(some).alias("part", "ids")).join(own, "id1")
+        both = spread(left, "id1", "tile1", "part").select("id1", "tile1", "text1", F.explode("ids").alias("id2")).join(F.broadcast(other), "id2")
+    else:
+        both = spread(found.join(own, "id1").join(other, "id2"), "id1", "id2", "tile1", "tile2")
+    both = both.select("id1", "id2", "tile1", "tile2", "text1", "text2")
+    schema = f"id1 {both.schema['id1'].dataType.simpleString()}, id2 {both.schema['id2'].dataType.simpleString()}, pos1 long, pos2 long, score long"
+    return both.mapInPandas(compared, schema)
 
 
 def sharing_pairs(words: DataFrame, other: DataFrame) -> DataFrame:
-    """Pairs of sequences that share a word, each word once a sequence: id1, id2."""
+    """Pairs of sequences that share a word: id1, id2. Few enough words of the other side are broadcast, so those of ``words`` need no shuffle."""
     once = lambda df, n: df.select(F.col("id").alias(f"id{n}"), "word").distinct()
-    return once(words, 1).join(once(other, 2), "word").select("id1", "id2").distinct()
+    return met(words.select(F.col("id").alias("id1"), "word"), once(other, 2)).select("id1", "id2").distinct()
