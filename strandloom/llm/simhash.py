@@ -59,7 +59,10 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """A bit is set if it is set in over half of the shingles' hashes; a text without words gives 0."""
-    hashes = shingle_hashes(text, shingle)
+    return print_of(shingle_hashes(text, shingle))
+
+
+def print_of(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -311,32 +314,33 @@ def near_duplicates(documents: DataFrame, distance: int = 4, shingle: int = 4, i
     return printed.join(of_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "row_key")
 
 
-def _signatures(shingle: int):
-    """Of each text: the digest of its set of shingles, the set's size and its band keys."""
+def _signatures(shingle: int, bands: int, band_rows: int):
+    """Of each text: the digest of its set of shingles, the set's size, fingerprint and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(7)
-        times, plus = (rng.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+        times, plus = (rng.integers(0, 1 << 63, (bands * band_rows, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
         mix = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             raw, at = string_bytes(batch.column("text"))
             for a, b in slices(at, SLICE_BYTES):
-                own, sets, sizes, keys = at[a : b + 1].tolist(), [], [], []
+                own, sets, sizes, prints, keys = at[a : b + 1].tolist(), [], [], [], []
                 for x, y in zip(own, own[1:]):
                     hashes = np.unique(shingle_hashes(raw[x:y].tobytes(), shingle))
                     least = np.full(len(times), np.iinfo(np.uint64).max)
                     for i in range(0, len(hashes), 1 << 12):
                         least = np.minimum(least, (hashes[None, i : i + (1 << 12)] * times + plus).min(1))
-                    key = np.arange(BANDS, dtype=np.uint64)
-                    for column in least.reshape(BANDS, BAND_ROWS).T:
+                    key = np.arange(bands, dtype=np.uint64)
+                    for column in least.reshape(bands, band_rows).T:
                         key = (key ^ column) * mix
                         key ^= key >> np.uint64(29)
                     sets.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
                     sizes.append(len(hashes))
+                    prints.append(print_of(hashes))
                     keys.append(key.view(np.int64))
                 rest = batch.slice(a, b - a)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS), pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([rest.column("id"), rest.column("row_key"), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["id", "row_key", "set", "n", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(keys) + 1, bands), pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([rest.column("id"), rest.column("row_key"), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["id", "row_key", "set", "n", "fp", "bands"])
 
     return run
 
@@ -386,23 +390,30 @@ def _across_labels(similarity: float):
     return run
 
 
-def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, cell_rows: int = 4096) -> DataFrame:
     """(id, row_key, group): texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Equal sets are one from the start. Sets meet in the cells of ``BANDS`` keys of ``BAND_ROWS``
+    Equal sets are one from the start. Sets meet in cells. The first cells are the groups of
+    fingerprints (of the sets' shingles, by ``links_between``) within ``distance`` bits. Pairs whose
+    fingerprints lie further apart meet in the cells of ``BANDS`` keys of ``BAND_ROWS``
     minimal hashes each: a pair of similarity 0.8 misses all of them 3 times in a million, a closer
     one less often. All pairs of a cell that can still join two groups are compared: first those
     with the cell's least member, then, where a cell still holds several groups, the others
-    between its groups, inside tasks that hand on only what joins groups. Texts without words are
-    one group.
+    between its groups, inside tasks that hand on only what joins groups. So no link of either kind
+    of cell goes without the exact check: a fingerprint follows the many and two texts of other words may share it.
+    Texts without words are one group.
     """
     scratch = Scratch(documents.sparkSession, "copies")
     rows = documents.select(F.col(id_col).alias("id"), F.unhex(text_key(id_col, text_col)).alias("row_key"), F.col(text_col).alias("text"))
     kind = documents.schema[id_col].dataType.simpleString()
-    signed = scratch.save(rows.mapInArrow(_signatures(shingle), f"id {kind}, row_key binary, set bigint, n bigint, bands array<bigint>"), "signed")
+    signed = scratch.save(rows.mapInArrow(_signatures(shingle, BANDS, BAND_ROWS), f"id {kind}, row_key binary, set bigint, n bigint, fp bigint, bands array<bigint>"), "signed")
     distinct = signed.groupBy("set").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    dealt = scratch.save(distinct.select("set", "n", F.explode("bands").alias("cell")), "dealt")
-    # cells of equal members are one; no more than BANDS cells have the same least member
+    # the fingerprint follows from the set
+    printed = scratch.save(signed.select("set", "n", "fp").distinct(), "printed")
+    near = components(links_between(scratch.save(printed.select("fp").distinct(), "prints"), distance, scratch, cell_rows), Scratch(documents.sparkSession, "copies"))
+    by_print = printed.join(near, printed["fp"] == near["node"], "left").select("set", "n", F.xxhash64(F.lit("fp"), F.coalesce("label", "fp")).alias("cell"))
+    dealt = scratch.save(distinct.select("set", "n", F.explode("bands").alias("cell")).unionByName(by_print), "dealt")
+    # cells of equal members are one; no more than BANDS + 1 cells have the same least member
     cells = dealt.groupBy("cell").agg(F.count("*").alias("m"), F.min("set").alias("least"), F.bit_xor(F.xxhash64("set")).alias("x")).filter("m > 1")
     cells = scratch.save(cells.groupBy("m", "least", "x").agg(F.min("cell").alias("cell")).select("cell", "least"), "cells")
     members = scratch.save(dealt.join(cells, "cell").select("cell", "least", "set", "n"), "members")
@@ -451,7 +462,7 @@ def keep_one(documents: DataFrame, distance: int = 4, shingle: int = 4, id_col:
 
 
 def keep_one_copy(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near copies by shared shingles, with all columns."""
+    """One document of each group of near copies, found by fingerprints and minimal hashes and decided by shared shingles, with all columns."""
     return _one_of_each(documents, near_copies(documents, similarity, shingle, id_col, text_col), id_col, text_col)
 
 

@@ -77,3 +77,24 @@ def test_links_across_labels():
     assert {tuple(sorted(x)) for x in across.to_numpy().tolist()} == {(2, 3), (1, 4)}
     none = simhash._across_labels(0.8)((7, 0, 0), frame.head(2))
     assert not len(none) and list(none.columns) == ["a", "b"]
+
+
+def test_fingerprints_link_what_shares_no_band(spark, monkeypatch):
+    # one key of 400 minimal hashes: nearly no pair of different sets shares it
+    monkeypatch.setattr(simhash, "BANDS", 1)
+    monkeypatch.setattr(simhash, "BAND_ROWS", 400)
+    rng = random.Random(11)
+    rows = []
+    for _ in range(40):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:-1], "other"]))]
+    hashes = {i: simhash.np.unique(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows}
+    apart = [(simhash.print_of(hashes[i]) ^ simhash.print_of(hashes[i + 1])).bit_count() for i in range(0, 80, 2)]
+    assert all(simhash.print_of(hashes[i]) == simhash.fingerprint(t.encode(), 5) for i, t in rows)
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = {r.doc_id for r in simhash.keep_one_copy(docs).collect()}
+    assert sum(d <= 4 for d in apart) > 30
+    assert all(2 * k in got and (2 * k + 1 not in got) for k, d in enumerate(apart) if d <= 4)
+    # of fingerprints within reach only texts that share their shingles are linked
+    strict = {r.doc_id for r in simhash.keep_one_copy(docs, similarity=0.9999).collect()}
+    assert strict == {i for i, _ in rows}
