@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,18 +47,6 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def _breadth_first(mates: dict, start, free: set):
-    """Parents of all that can be reached over ``free`` contigs, and the last one reached."""
-    parent, queue, last = {start: None}, deque([start]), start
-    while queue:
-        last = queue.popleft()
-        for mate, _, _ in mates[last]:
-            if mate in free and mate not in parent:
-                parent[mate] = last
-                queue.append(mate)
-    return parent, last
-
-
 def ordered_paths(mates: dict) -> list[list[tuple]]:
     """Paths of (contig, direction) through one component; ``mates`` has for each contig (mate, pairs, side), by rising mate.
 
@@ -68,30 +55,74 @@ def ordered_paths(mates: dict) -> list[list[tuple]]:
     the two whose places enclose it; equal means by rising contig. What lies level with the path's start has no place
     between two contigs of it and waits for a later path. A contig whose right neighbour lies to its left is turned (-1).
     """
-    free, paths = set(mates), []
-    while free:
-        reached, far = _breadth_first(mates, min(free), free)
-        parent, end = _breadth_first(mates, far, free)
-        chain = [end]  # from the right end to the left one, places 1, 2, ..
-        while parent[chain[-1]] is not None:
-            chain.append(parent[chain[-1]])
+    rows = [(c, *x) for c in sorted(mates) for x in mates[c]]
+    return paths_of(*(np.array(x) for x in zip(*rows, strict=True))) if rows else []
+
+
+def paths_of(contig: np.ndarray, mate: np.ndarray, n: np.ndarray, side: np.ndarray) -> list[list[tuple]]:
+    """``ordered_paths`` of edges both ways, sorted by contig and mate. The walks go on by a whole level at a time, as arrays."""
+    ids = np.unique(contig)
+    end, at = np.searchsorted(ids, mate), np.concatenate([np.searchsorted(contig, ids), [len(contig)]])
+    seen, parent, mark = np.zeros(len(ids), np.int64), np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+    gone, walk, paths = np.iinfo(np.int64).max, 0, []  # ``seen`` has the last walk that came by, ``gone`` for placed contigs
+
+    def edges_of(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the edges of contigs, in their order, and of the contigs they come from."""
+        size = at[level + 1] - at[level]
+        return np.arange(size.sum()) + np.repeat(at[level] - np.cumsum(size) + size, size), np.repeat(level, size)
+
+    def farthest(start: int) -> int:
+        """The last one reached breadth first over contigs not yet placed; ``parent`` leads back."""
+        level = np.array([start])
+        seen[start], parent[start] = walk, -1
+        while True:
+            edges, source = edges_of(level)
+            to = end[edges]
+            new = seen[to] < walk
+            to, source = to[new], source[new]
+            if not len(to):
+                return int(level[-1])
+            count = np.arange(len(to))
+            mark[to[::-1]] = count[::-1]  # the first that comes to a contig stays
+            first = mark[to] == count
+            level = to[first]
+            parent[level], seen[level] = source[first], walk
+
+    least = 0
+    while least < len(ids):
+        if seen[least] == gone:
+            least += 1
+            continue
+        walk += 1
+        far = farthest(least)
+        walk += 1
+        chain = [farthest(far)]  # from the right end to the left one, places 1, 2, ..
+        while parent[chain[-1]] >= 0:
+            chain.append(int(parent[chain[-1]]))
         place = {c: i for i, c in enumerate(chain, 1)}
-        between = [[] for _ in chain]
-        for c in sorted(free - place.keys()):
-            on_path = [(place[m], n) for m, n, _ in mates[c] if m in place]
-            if on_path:
-                mean = sum(p * n for p, n in on_path) / sum(n for _, n in on_path)
+        between: list = [[] for _ in chain]
+        beside = np.unique(end[edges_of(np.array(chain))[0]])
+        for c in beside[seen[beside] != gone].tolist():
+            own = slice(at[c], at[c + 1])
+            on_path = [(place[m], k) for m, k in zip(end[own].tolist(), n[own].tolist(), strict=True) if m in place]
+            if c not in place and on_path:
+                mean = sum(p * k for p, k in on_path) / sum(k for _, k in on_path)
                 if int(mean) + 1 < len(chain):  # the first place over the mean isn't the left end's
                     between[int(mean)].append((mean, c))
         order = [chain[0]]
         for i in range(1, len(chain)):
             order += [c for _, c in sorted(between[i])] + [chain[i]]
         order.reverse()
-        side = {c: {m: s for m, _, s in mates[c]} for c in order}
-        turned = [-1 if side[a].get(b) == -1 else 1 for a, b in zip(order, order[1:])]
-        turned.append(-1 if len(order) > 1 and side[order[-1]].get(order[-2]) == 1 else 1)
-        paths.append(list(zip(order, turned)))
-        free -= set(order)
+
+        def side_of(a: int, b: int) -> int:
+            """The side of b for a; 0 without an edge."""
+            k = at[a] + np.searchsorted(end[at[a] : at[a + 1]], b)
+            return int(side[k]) if k < at[a + 1] and end[k] == b else 0
+
+        turned = [-1 if side_of(a, b) == -1 else 1 for a, b in zip(order, order[1:])]
+        turned.append(-1 if len(order) > 1 and side_of(order[-1], order[-2]) == 1 else 1)
+        paths.append(list(zip(ids[order].tolist(), turned)))
+        seen[order] = gone
     return paths
 
 
@@ -106,10 +137,7 @@ def contig_order(edges: DataFrame) -> DataFrame:
 
     def placed(rows: pd.DataFrame) -> pd.DataFrame:
         ranked = rows.sort_values(["contig_id", "mate_id"])
-        mates: dict = {}
-        for c, m, n, s in zip(ranked.contig_id.tolist(), ranked.mate_id.tolist(), ranked.n.tolist(), ranked.side.tolist()):
-            mates.setdefault(c, []).append((m, n, s))
-        found = [(p, i, c, d) for p, path in enumerate(ordered_paths(mates), 1) for i, (c, d) in enumerate(path, 1)]
+        found = [(p, i, c, d) for p, path in enumerate(paths_of(*(ranked[x].to_numpy() for x in ("contig_id", "mate_id", "n", "side"))), 1) for i, (c, d) in enumerate(path, 1)]
         return pd.DataFrame(found, columns=["path", "place", "contig_id", "direction"]).assign(component=rows["component"].iloc[0])
 
     dealt = spread(edges.join(parts, "contig_id").select("component", "contig_id", "mate_id", "n", "side"), "component")
