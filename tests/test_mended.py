@@ -96,3 +96,9 @@ def test_library_sizes_worked_by_hand(spark):
     assert pairs.largest_insert(pairs.library_sizes(df)).first()["size"] == 255
     assert pairs.largest_insert(pairs.library_sizes(df.filter("library = 'One'"))).first()["size"] == 1000
     assert [pairs.bin_of_size(x) for x in (0, 255, 256, 300, 1 << 22)] == [r.b for r in spark.createDataFrame([(x,) for x in (0, 255, 256, 300, 1 << 22)], "s int").select(pairs.insert_bin(F.col("s")).alias("b")).collect()]
+
+
+def test_scores_of_exactly_three_stay(spark):
+    # eight diagonals of 1 hit, six of 2, one of 4: mean 1.6, deviation 0.8, z = 3
+    hits = spark.createDataFrame([(1, 2, d, 1 if d < 8 else 2 if d < 14 else 4) for d in range(15)], "id1 long, id2 long, diagonal long, n long")
+    assert [tuple(r) for r in kmers.diagonal_zscores(hits).collect()] == [(1, 2, 14, 4, 3.0)]
