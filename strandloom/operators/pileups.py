@@ -7,7 +7,7 @@ block at hand and some reads.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,3 +171,16 @@ def pileup(alignments: DataFrame, width: int = WIDTH) -> DataFrame:
     reads = alignments.filter("contig <> '*' and cigar <> '*'").select("contig", F.col("pos").cast("long").alias("pos"), "cigar", "seq").filter("pos is not null")
     dealt = spread(reads.withColumn("block", F.explode(F.sequence(low, high))), "contig", "block").sortWithinPartitions("contig", "block")
     return dealt.mapInArrow(_blocks(width), SCHEMA)
+
+
+def placed_pileup(places: DataFrame, source: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], width: int = WIDTH) -> DataFrame:
+    """The same of reads whose alignments are made in the task that adds up their columns, so that no CIGAR and no sequence is shuffled.
+
+    ``places`` has contig_id and what else ``source`` needs, and the positions low..high that an alignment's columns lie
+    between; ``source`` makes batches of contig, block, pos, cigar, seq of batches of these rows and their block.
+    """
+    needed = [c for c in places.columns if c not in ("low", "high")]
+    blocks = F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))
+    dealt = spread(places.select(*needed, F.explode(blocks).alias("block")), "contig_id", "block").sortWithinPartitions("contig_id", "block")
+    added_up = _blocks(width)
+    return dealt.mapInArrow(lambda batches: added_up(source(batches)), SCHEMA)

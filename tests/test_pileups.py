@@ -84,3 +84,28 @@ def test_reads_over_borders_of_blocks_and_batches(spark):
         assert table(pileups.pileup(df, width=8).collect()) == table(pileups.pileup(df).collect()) == plain_columns(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_alignments_made_where_columns_are_added_up(spark):
+    from strandloom import plans
+    from strandloom.sources import adapters as A
+
+    reads = [(1, 7 * i, 3 * i % 40, 3 * i % 40 + i % 13) for i in range(60)] + [(2, 14, 7, 7), (2, 21, 5, 30), (None, 28, 5, 9), (3, 35, 9, 8)]
+    items = spark.createDataFrame(reads, "contig_id long, rec long, start long, end long")
+    want = table(pileups.pileup(A.aligned_reads(items)).collect())
+    for width in (4, 8, 4096):
+        assert table(pileups.placed_pileup(A.alignment_places(items), A.placed_alignments, width).collect()) == want
+    plan = plans.registered()["a19_column_pileup"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cigar" not in plan[plan.index("RepartitionByExpression") :]  # below the exchange reads have no texts yet
+
+
+def test_cigars_of_short_runs_alone():
+    """A batch in which no run has ten bases, as a task's last few reads can be."""
+    import numpy as np
+
+    from strandloom.sources import adapters as A
+
+    kind = np.frombuffer(b"MMDMIM", np.uint8)
+    assert A.cigar_texts(kind, np.array([0, 0, 0, 2, 2, 2]), 3).to_pylist() == ["2M1D", "", "1M1I1M"]
+    assert A.cigar_texts(kind[:0], np.zeros(0, np.int64), 2).to_pylist() == ["", ""]
+    assert A.cigar_texts(np.full(12, 77, np.uint8), np.zeros(12, np.int64), 1).to_pylist() == ["12M"]
