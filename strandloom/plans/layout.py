@@ -46,19 +46,22 @@ def _through_bam(s, d):
 
 
 def _streamed(s, d, steps: int = 4):
-    """The alignments as a stream of sorted files, written one after the other, with one beyond all others at its end."""
-    reads = A.aligned_reads(A.item(s, d)).select("contig_no", "contig", "pos", "cigar", "seq")
-    source, out = fresh_path(s, "sorted"), fresh_path(s, "columns")
-    ranged = reads.repartitionByRange(steps, "contig_no", "pos").withColumn("step", F.spark_partition_id())
-    kept = fresh_path(s, "ranged")
-    ranged.write.partitionBy("step").parquet(kept)
-    ranged = s.read.parquet(kept)
+    """The alignments as a stream of sorted files that come in steps, with one beyond all others at its end.
+
+    The stream takes all files of a step as one batch and goes on from its checkpoint at the next, so a step is as many files and tasks as it needs.
+    """
+    source, out, progress = fresh_path(s, "sorted"), fresh_path(s, "columns"), fresh_path(s, "progress")
+    files = steps * -(-int(s.conf.get("spark.sql.shuffle.partitions")) // steps)
+    items = A.item(s, d).select("contig_id", "rec", "start", "end").repartitionByRange(files, "contig_id", "start").sortWithinPartitions("contig_id", "start")
+    reads = A.aligned_reads(items).select("contig_no", "contig", "pos", "cigar", "seq")
+    ranged = written(reads.withColumn("step", F.floor(F.spark_partition_id() * steps / files)), "ranged")
+    longest = ranged.agg(F.max(F.length("seq") + 1000)).first()[0]
     for step in range(steps):
-        ranged.filter(F.col("step") == step).drop("step").coalesce(1).write.mode("append").parquet(source)
-    s.createDataFrame([(1 << 22, "end", 1, "1M", "A")], reads.schema).coalesce(1).write.mode("append").parquet(source)
-    longest = s.read.parquet(source).agg(F.max(F.length("seq") + 1000)).first()[0]
-    columns = stream.stream_columns(s.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(source), longest)
-    stream.write_columns(columns, out, fresh_path(s, "progress")).awaitTermination()
+        ranged.filter(F.col("step") == step).drop("step").write.mode("append").parquet(source)
+        if step == steps - 1:
+            s.createDataFrame([(1 << 22, "end", 1, "1M", "A")], reads.schema).coalesce(1).write.mode("append").parquet(source)
+        columns = stream.stream_columns(s.readStream.schema(reads.schema).parquet(source), longest)
+        stream.write_columns(columns, out, progress).awaitTermination()
     return s.read.parquet(out).drop("batch").filter("contig <> 'end'")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ BLOCK = 256
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns of some reads, added up, as one row for each contig and block: keys and then counts, as whole numbers."""
+    """Columns of some reads, added up, as one row for each contig and block: keys and counts, whole numbers, compressed (most counts are 0)."""
     for batch in batches:
         for some in pileups.some_reads(batch) if batch.num_rows else ():
             names, number = some.column("contig").to_pylist(), some.column("contig_no").to_numpy()
@@ -32,7 +33,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, counts = pileups.tallied((at << rest) | ((where - block * BLOCK) << pileups.SHIFT) | nth, code, goes_on)
             ends = np.searchsorted(key, np.arange(len(tile) + 1) << rest).tolist()
             key &= (1 << rest) - 1
-            parts = [np.column_stack([key[a:b], counts[a:b]]).tobytes() for a, b in zip(ends, ends[1:])]
+            parts = [zlib.compress(np.column_stack([key[a:b], counts[a:b]]).tobytes(), 1) for a, b in zip(ends, ends[1:])]
             own = (tile // span).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(contig[own]), pa.array([names[of[i]] for i in own], pa.string()), pa.array(tile % span + least), pa.array(parts, pa.binary())], ["contig_no", "contig", "block", "part"])
 
@@ -40,7 +41,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for contig, block, parts in zip(*(batch.column(n).to_pylist() for n in ("contig", "block", "parts")), strict=True):
-            all_ = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 8)
+            all_ = np.frombuffer(b"".join(map(zlib.decompress, parts)), np.int64).reshape(-1, 8)
             yield pileups._told(contig, block * BLOCK, *pileups.added(all_[:, 0], all_[:, 1:]))
 
 

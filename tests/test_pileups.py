@@ -109,3 +109,13 @@ def test_cigars_of_short_runs_alone():
     assert A.cigar_texts(kind, np.array([0, 0, 0, 2, 2, 2]), 3).to_pylist() == ["2M1D", "", "1M1I1M"]
     assert A.cigar_texts(kind[:0], np.zeros(0, np.int64), 2).to_pylist() == ["", ""]
     assert A.cigar_texts(np.full(12, 77, np.uint8), np.zeros(12, np.int64), 1).to_pylist() == ["12M"]
+
+
+def test_steps_of_a_stream_are_many_files(spark, tmp_path, monkeypatch):
+    from strandloom.plans import layout
+
+    monkeypatch.setattr(layout, "fresh_path", lambda s, name: str(tmp_path / name))
+    items = "/root/testdata/sf0.001"
+    got = layout._streamed(spark, items).count()
+    assert len(list((tmp_path / "sorted").glob("*.parquet"))) > 5  # one a step and the end before, each written and read by one task
+    assert got == layout.QUERIES["a19_column_pileup"][0](spark, items).count()
