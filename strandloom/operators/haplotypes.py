@@ -79,10 +79,24 @@ class Graph:
         known = norm > 0
         return np.where(known, np.rint(100 * (a @ b.T / np.where(known, norm, 1) - self.offset) * score / UNIT), 0).astype(np.int64), known
 
-    def _edge_of(self, a: int, b: int) -> int:
-        mine, other = self.rows[a], self.rows[b]
-        shared = [s for s in mine if s in other]
-        return sum(int(self._gains(mine[s][None], other[s][None], self.scores[s])[0][0, 0]) for s in shared)
+    def _edges_of(self, a: int, near: np.ndarray) -> np.ndarray:
+        """Edge scores of one node with others; all the sites that it shares with any of them at once."""
+        mine, of, sites, one, two = self.rows[a], [], [], [], []
+        for i, x in enumerate(near.tolist()):
+            other = self.rows[x]
+            for s in mine.keys() & other.keys():
+                of.append(i)
+                sites.append(s)
+                one.append(mine[s])
+                two.append(other[s])
+        total = np.zeros(len(near), np.int64)
+        if of:
+            p, q = (x - x.mean(1, keepdims=True) for x in (np.array(one), np.array(two)))
+            norm = np.sqrt((p * p).sum(1) * (q * q).sum(1))
+            known = norm > 0
+            gain = np.rint(100 * ((p * q).sum(1) / np.where(known, norm, 1) - self.offset) * self.scores[sites] / UNIT)
+            np.add.at(total, of, np.where(known, gain, 0).astype(np.int64))
+        return total
 
     @staticmethod
     def _agreement(p, q):
@@ -145,15 +159,13 @@ class Graph:
         self.joined[a, a] = False
         self.edge[b, :] = self.edge[:, b] = 0
         near = near[(near != a) & (near != b)]
-        for x in near.tolist():
-            self.edge[a, x] = self.edge[x, a] = self._edge_of(a, x)
+        self.edge[a, near] = self.edge[near, a] = self._edges_of(a, near)
         shared[np.ix_(near, near)] += self._agreement(self.edge[a, near], self.edge[a, near])
         # what a has in common with each neighbour, over all common neighbours
         shared[a, :] = shared[:, a] = 0
-        for x in near.tolist():
-            both = np.flatnonzero(self.joined[a] & self.joined[x])
-            p, q = self.edge[a, both], self.edge[x, both]
-            shared[a, x] = shared[x, a] = (np.abs(p + q) - np.abs(p - q)).sum()
+        p, q = self.edge[a, near], self.edge[np.ix_(near, near)]
+        both = np.where(self.joined[np.ix_(near, near)], np.abs(p + q) - np.abs(p - q), 0).sum(1)
+        shared[a, near] = shared[near, a] = both
 
 
 def _graph(rows: pd.DataFrame, offset: float):

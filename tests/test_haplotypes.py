@@ -161,3 +161,20 @@ def test_empty_tables(spark):
     sites, calls, weights = tables(spark, [made(1)])
     assert H.haplotype_sets(sites.limit(0), calls, weights).count() == 0
     assert H.chimera_scores(sites, calls.limit(0)).count() == 0
+
+
+def test_edges_of_a_node_are_those_of_its_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    cells = sorted({(int(n), int(p)) for n, p in rng.integers(0, [12, 9], (60, 2))})
+    node, site = (np.array(x) for x in zip(*cells))
+    graph = H.Graph(node, site, rng.integers(0, 3, (len(cells), 5)), rng.uniform(1, 1000, 9), 0.25)
+    near = np.array([x for x in range(graph.size) if x != 4])
+
+    def pair(x):
+        shared = graph.rows[4].keys() & graph.rows[x].keys()
+        return sum(int(graph._gains(graph.rows[4][p][None], graph.rows[x][p][None], graph.scores[p])[0][0, 0]) for p in shared)
+
+    assert graph._edges_of(4, near).tolist() == [pair(x) for x in near.tolist()]
+    assert graph._edges_of(4, near[:0]).tolist() == []
